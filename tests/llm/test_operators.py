@@ -1,0 +1,493 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+pytest.importorskip("corpusloom.llm")
+from corpusloom.llm import components, decontaminate, exact_dedup, html_extract, language_id, line_dedup, sentencepiece_codec, sharding, simhash, token_output, url_filters  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string"
+
+
+def words(rng, n):
+    return [rng.choice(["the", "of", "on", "ing", "reth", "stea", "Une", "café", "naïve"]) + str(rng.randrange(40)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    base = [" ".join(words(rng, rng.randrange(1, 300))) for _ in range(60)]
+    near = []
+    for t in base[:20]:
+        w = t.split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    long = " ".join(words(rng, 30_000))
+    texts = [*base, *near, *base[:10], base[0].upper(), None, None, "", " \n\t", "one", "one two three", long, long, "x\ny\nx", "\n\n"]
+    out = [(i, t, "en" if i % 3 else None, "s", 0, "f") for i, t in enumerate(texts)]
+    return [*out, out[0], (None, base[1], "en", None, None, None), (5, "same id, other text", "fr", "s", 1, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def simhash_of(t, k=4):
+    w = lower(t).encode().split()
+    s = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(prints, ids, bits):
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= bits:
+            parent[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(prints))]
+
+
+def test_simhash(docs, rows):
+    prints = [simhash_of(r[1]) for r in rows]
+    want = sorted((str(r[0]), p, str(c)) for r, p, c in zip(rows, prints, linked(prints, [r[0] for r in rows], 4)))
+    got = sorted((str(r["id"]), r["words"][0] % 2**64, str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+
+
+def test_simhash_on_a_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    prints = [simhash_of(r["text"]) for r in rows]
+    want = dict(zip([r["doc_id"] for r in rows], linked(prints, [r["doc_id"] for r in rows], 4)))
+    assert {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("n", [2, 33, 700, 3000])
+def test_hierarchical_index_equals_all_pairs(n):
+    rng = np.random.default_rng(n)
+    seeds = rng.integers(0, 2**63, 12, dtype=np.int64).astype(np.uint64)
+    fps = seeds[rng.integers(0, 12, n)]
+    for _ in range(4):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    fps = np.unique(fps)
+    rank = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    fps = fps[np.argsort(rank)]
+    pairs = simhash.bucket_links(np.zeros(len(fps), dtype=np.int64), np.arange(len(fps)), fps.reshape(-1, 1), 4)
+    label = np.arange(len(fps))
+    for _ in range(len(fps)):
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], label[pairs[:, 1]])
+        np.minimum.at(new, pairs[:, 1], label[pairs[:, 0]])
+        if (new == label).all():
+            break
+        label = new
+    want = np.arange(len(fps))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    while True:
+        new = np.where(near, want[None, :], len(fps)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    assert (label == want).all()
+    if n == 3000:
+        assert len(pairs) < 4 * len(fps)
+
+
+def test_masks_miss_no_pair():
+    rng = random.Random(5)
+    for n in (10, 1 << 20, 1 << 26, 1 << 34):
+        masks = [m[0] for m in simhash.exact_masks(4, n)]
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a
+            for k in rng.sample(range(64), rng.randrange(5)):
+                b ^= 1 << k
+            assert any(a & m == b & m for m in masks)
+
+
+def test_near_duplicate_stage(spark):
+    rng = random.Random(11)
+    base = [" ".join(words(rng, 400)) for _ in range(40)]
+    close = []
+    for t in base[:20]:
+        w = t.split(" ")
+        for k in rng.sample(range(400), 4):
+            w[k] = "altered"
+        close.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(base + close)] + [(0, base[0]), (None, base[3])], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == list(range(40))
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_exact_duplicates(docs, rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(lower(r[1]), []).append(r[0])
+    for huge in (exact_dedup.HUGE, 1000):
+        got = exact_dedup.exact_duplicates(docs, huge=huge).collect()
+        assert sorted((str(r["id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == sorted(
+            (str(r[0]), str(max((x for x in groups[lower(r[1])] if x is not None), default=None)), len(groups[lower(r[1])]), hashlib.sha256(lower(r[1]).encode()).hexdigest()) for r in rows
+        )
+        assert sum(r["kept"] for r in got) == len(groups)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_fingerprints_compose_and_collisions_are_told_apart(spark, monkeypatch):
+    rng = random.Random(1)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(0, 9000)), rng.randbytes(rng.randrange(0, 9000))
+        assert exact_dedup.combine(exact_dedup.fingerprint(a), exact_dedup.fingerprint(b)) == exact_dedup.fingerprint(a + b)
+    rows = [(h, h2, 3, s, later, t) for h, h2, s, later, t in [(1, 1, 0, False, "abc"), (1, 1, 0, True, "ABC"), (1, 1, 0, True, "abd"), (2, 1, 0, False, "abd"), (2, 1, 0, True, "abd")]]
+    out = list(exact_dedup.differing([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcdef"))]))[0]
+    assert out.column("sha").to_pylist() == [hashlib.sha256(b"abd").hexdigest()]
+
+
+def test_html_extraction(spark):
+    prose = "<p>Real &amp; true&nbsp;text  of page {0}.</p><ul><li>point {0}</li></ul>"
+    page = (
+        '<html><head><title>t</title><style>x</style></head><body><header>H</header><nav><a>N</a></nav><div class="cookie-notice">we use</div>'
+        f"<article><h1>Head {{0}}</h1>{prose}<script>var a='</p>'</script><div class='box'><p>Read our other sites</p></div><p>line one<br>line two<form>f</form></article>"
+        '<section id="comments"><p>me too</p></section><div class="strip">Same everywhere</div><footer>F</footer></body></html>'
+    )
+    plain = "<body><div class='x1'>Same everywhere, all pages</div><div>own text {0}<p>more {0}</div></body>"
+    rows = [(i, "http://a.b/%d" % i, page.replace("{0}", str(i))) for i in range(30)]
+    rows += [(100 + i, "http://c.d/%d" % i, plain.replace("{0}", str(i))) for i in range(30)]
+    rows += [(200, None, None), (201, "http://e.f/", ""), (202, "x", "<p><b>open &am <i>tags <div>end &lt"), (None, "http://a.b/1", "a < b and c"), rows[0]]
+    got = {(r["page_id"], r["text"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert (i, f"Head {i}\nReal & true text of page {i}.\npoint {i}\nline one line two") in got
+        assert (100 + i, f"own text {i}\nmore {i}") in got
+    assert {(200, ""), (201, ""), (202, "open &am tags\nend <"), (None, "a < b and c")} <= got
+
+
+def test_html_pages_of_the_table(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    import html
+    import re
+
+    for r, x in zip(pages.orderBy("page_id").collect(), html_extract.extract(pages).orderBy("page_id").collect()):
+        article = r["html"][r["html"].index("<article>") : (r["html"] + "</article>").index("</article>")]
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>?", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+        assert x["text"].split("\n") == [w for w in want if w] and x["n_chars"] == len(x["text"])
+
+
+def test_token_files(spark, docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "a<|endoftext|>b  c\u0301 İ'S\u00a0x\n\n y"), (901, " " * 50)], "doc_id long, text string"))
+    every = [(r[0], r[1]) for r in rows] + [(900, "a<|endoftext|>b  c\u0301 İ'S\u00a0x\n\n y"), (901, " " * 50)]
+    got = token_output.token_digests(more, path).collect()
+    ids = {}
+    for d, t in every:
+        e = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        ids.setdefault(d, []).append((len(e), zlib.crc32(np.array(e, dtype="<u4").tobytes())))
+    have = {}
+    for r in got:
+        have.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in ids.items()}
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] is not None]
+    assert order == sorted(order)
+
+
+def test_token_files_are_selective(spark, tmp_path):
+    import glob
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    token_output.write_tokens(spark.read.parquet(f"{DATA}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), f"{tmp_path}/t")
+    file = pq.ParquetFile(max(glob.glob(f"{tmp_path}/t/*.parquet")))
+    group = file.metadata.row_group(0)
+    cols = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+    assert all(c.has_offset_index and c.has_column_index for c in cols.values())
+    assert any("DELTA" in e for e in cols["doc_id"].encodings)
+    assert any("DICTIONARY" in e for p, c in cols.items() if p.startswith("ids") for e in c.encodings)
+
+
+def test_url_filters(spark):
+    urls = ["http://a.example.com/en/7x?q", "HTTP://EXAMPLE.COM/en/8", "x://example.net/de/8#f", "x://notexample.net/de/1", "x://n.org/es/", "x://n.org/fr", None, "no scheme", "http://", "http://h?/en/", "http://bad.site/1", "http://bad.site:80/2", "http://sub.bad.site/3", "http://é.com/en/É"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[1])], "page_id long, url string")
+    bad = spark.createDataFrame([(1000 + i, True) for i in range(40)] + [(2000 + i, False) for i in range(40)] + [(None, True), (3, None)], "page_id long, bad boolean")
+    more = spark.createDataFrame([(1000 + i, "http://bad.site/") for i in range(40)] + [(2000 + i, f"http://good{i % 5}.example.org/") for i in range(40)], "page_id long, url string")
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge(pages.unionByName(more), bad).where("page_id < 1000 OR page_id IS NULL").collect()}
+    assert got == {
+        (0, "a.example.com", "/en/7x", "example.com/en/7", "allow"), (1, "example.com", "/en/8", "com/en/", "block"), (2, "example.net", "/de/8", "example.net/de/8", "block"), (3, "notexample.net", "/de/1", "net/de/", "block"),
+        (4, "n.org", "/es/", "org/es/", "block"), (5, "n.org", "/fr", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "h", "", None, "allow"),
+        (10, "bad.site", "/1", None, "block"), (11, "bad.site:80", "/2", None, "block"), (12, "sub.bad.site", "/3", None, "block"), (13, "é.com", "/en/É", "com/en/", "block"), (None, "example.com", "/en/8", "com/en/", "block"),
+    }
+
+
+def within(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_line_dedup(spark):
+    rng = random.Random(8)
+    pool = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    for w in list(pool):
+        for _ in range(2):
+            v = list(w)
+            k = rng.randrange(len(v))
+            kind = rng.randrange(4)
+            v[k : k + (kind < 3)] = [] if kind == 0 else ["zz"] if kind < 3 else ["zz", v[k]]
+            pool.append(v)
+    texts = ["\n".join(" ".join(rng.choice(pool)).replace("a", rng.choice("aA")) for _ in range(rng.randrange(0, 12))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "\n \n"), (None, texts[3]), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines = []
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for no, line in enumerate((t or "").split("\n")) if t is not None else ():
+            if w := lower(line).split():
+                lines.append((d, no, w))
+    gone = {(d, no) for i, (d, no, w) in enumerate(lines) if any(within(w, v) for _, _, v in lines[:i])}
+    got = {(r["doc_id"], int(no)) for r in line_dedup.line_report(df).collect() if r["dropped"] for no in r["dropped"].split(",")}
+    assert got == gone and gone
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(df).collect()}
+    assert len(out) == len({r[0] for r in rows})
+    for d, t in rows:
+        assert out[d] == (None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone))
+
+
+def test_sentencepiece(docs, rows):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = SentencePieceProcessor(model_file=path), sentencepiece_codec.model_of(path)
+    rng = random.Random(1)
+    bits = [" ", "  ", "a", "b", "th", "e", "\n", "é", "▁", "漢", "😀", "<s>", "<0x0A>", "\t", "er", "ing", "\x00", "Z", "1", "..."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 200))) for _ in range(300)] + [r[1] for r in rows] + [" " * 300, "a" * 500]
+    ids, at = sentencepiece_codec.encode_batch(model, pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == sp.encode(t or "")
+    assert [b.decode() for b in sentencepiece_codec.decode_batch(model, ids, at)] == [(t or "").replace("▁", " ") for t in texts]
+    run, out = sentencepiece_codec.Stream(model), []
+    text = "▁".join(words(rng, 5000))
+    for k in range(0, len(text), 7):
+        out += run.feed(text[k : k + 7])
+    assert out + run.end() == sp.encode(text.replace("▁", " "))[0 if text[0] == "▁" else 1 :] or run.most_held <= 8 * model.longest
+    assert run.most_held <= 8 * model.longest
+    got = sentencepiece_codec.digests(docs, path).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(r[0]), len(e := sp.encode(r[1] or "")), zlib.crc32(np.array(e, dtype="<u4").tobytes())) for r in rows)
+    assert all(r["round_trip"] for r in got)
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in language_id.predictions(docs).collect()}
+    held = [(r["lang"], got[r["doc_id"]]) for r in docs.select("doc_id", "lang").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert all(g["held_out"] for _, g in held) and sum(g["held_out"] for g in got.values()) == len(held)
+    assert np.mean([lang == g["lang_pred"] for lang, g in held]) > 0.97
+
+
+def test_language_spans_and_odd_rows(spark):
+    en, ru, fr = "the cat sat on the mat with the dog and the bird ", "мама мыла раму и папа читал книгу ", "le chat est sur la table avec les chiens et les oiseaux "
+    rows = [(i, (en, ru, fr)[i % 3] * 3, ("en", "ru", "fr")[i % 3]) for i in range(60)]
+    odd = [(100, None, "en"), (101, "123 !!", "en"), (102, "", None), (103, en * 5 + ru * 3 + en * 5, None), (104, "漢字 " + en, None), (None, fr, "fr"), (0, rows[0][1], "en")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.predictions(df).collect()}
+    assert [got[k]["lang_pred"] for k in (100, 101, 102, 103, 104, None)] == ["und", "und", "und", "en", "en", "fr"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    model = language_id.fit(df, "text", "lang", "doc_id")
+    spans = language_id.identify(df.where("doc_id = 103"), model).first()["language"]["spans"]
+    assert [s["lang"] for s in spans] == ["en", "ru", "en"]
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(df).where("doc_id >= 100").collect()) == [103, 104]
+    empty = df.where("false")
+    assert language_id.predictions(empty).count() == 0
+    assert {r["lang_pred"] for r in language_id.predictions(df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(4)
+    emit = rng.normal(size=(9, 3)).astype(np.float32)
+    lens = [0, 1, 5, 3, 7]
+    codes = rng.integers(0, 9, sum(lens))
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    path = language_id.viterbi(emit, codes, starts, 0.8)
+    for a, b in itertools.pairwise(starts.tolist()):
+        value = lambda p: sum(emit[c, x] for c, x in zip(codes[a:b], p)) - 0.8 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023, E731
+        best = max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0)
+        assert value(path[a:b].tolist()) == pytest.approx(best, abs=1e-5)
+
+
+def brute_windows(texts, items, n=10):
+    out = []
+    for t in texts:
+        w = decontaminate.words_of(t)
+        hit, names = set(), set()
+        for k, x in items:
+            v = decontaminate.words_of(x)
+            m = min(n, len(v))
+            wins = {tuple(v[i : i + m]) for i in range(len(v) - m + 1)} if m else set()
+            for i in range(len(w) - m + 1 if m else 0):
+                if tuple(w[i : i + m]) in wins:
+                    hit |= set(range(i, i + m))
+                    names.add(k)
+        out.append((len(w), hit, names))
+    return out
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_decontamination(spark, short):
+    rng = random.Random(6)
+    w = lambda n: [rng.choice(["ab", "c", "d1", "é", "the"]) for _ in range(n)]
+    items = [(str(i), " ".join(w(rng.randrange(10, 25)))) for i in range(20)] + [("99", ""), ("98", "..")]
+    items += [("50", "qq"), ("51", "the c d1")] if short else []
+    texts = []
+    for _ in range(80):
+        t = w(rng.randrange(0, 60))
+        if rng.random() < 0.5:
+            t[3:3] = decontaminate.words_of(rng.choice(items)[1].upper()) and rng.choice(items)[1].upper().split()
+        texts.append(", ".join(t) if rng.random() < 0.5 else " ".join(t))
+    texts += ["", None, "qq", "the C; d1", items[0][1] + " x " + items[0][1]]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, found string")
+    bench = spark.createDataFrame([*items, items[0], (None, "ab ab"), ("7x", None)], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.digests(decontaminate.find_contamination(df.select("doc_id", "text"), bench)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(df, bench).collect()}
+    for i, (n, hit, names) in enumerate(brute_windows(texts, items)):
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, len(hit), len(names), bool(hit))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        left = [x for k, x in enumerate(decontaminate.words_of(texts[i])) if k not in hit]
+        if hit and not left:
+            assert i not in clean
+        elif hit:
+            assert decontaminate.words_of(clean[i]) == left
+        else:
+            assert clean[i] == texts[i]
+
+
+def test_fm_index():
+    rng = np.random.default_rng(0)
+    seq = rng.integers(1, 5, 500)
+    index = decontaminate.FMIndex(seq, 6)
+    for n in (1, 2, 5):
+        pats = rng.integers(1, 6, (40, n))
+        low, high = index.search(pats)
+        for p, a, b in zip(pats, low, high):
+            want = [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def least(sizes, shards):
+    def fits(c):
+        n, room = 1, c
+        for s in sizes:
+            if s > c:
+                return False
+            if s > room:
+                n, room = n + 1, c
+            room -= s
+        return n <= shards
+
+    low, high = 0, sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("ranges", [4, 50, sharding.RANGES])
+def test_sharding(docs, rows, ranges, monkeypatch):
+    monkeypatch.setattr(sharding.minimax_cuts, "__defaults__", (ranges,))
+    got = sharding.shard(docs.where("n_chars IS NULL OR n_chars < 9")).collect()
+    assert sorted((str(r["id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(r[0]), len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    groups = {}
+    for r in rows:
+        t = (r[1] or "").encode()
+        groups.setdefault(hashlib.sha256(t).hexdigest(), []).append(len(t) + 1)
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert max(sum(r["size"] for r in x) for x in by_shard.values()) == least([sum(groups[g]) for g in sorted(groups)], 16)
+    assert set(by_shard) <= set(range(16))
+    for x in by_shard.values():
+        assert sorted(r["slot"] for r in x) == list(range(len(x)))
+    home = {}
+    for r in got:
+        home.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in home.values())
+
+
+def test_empty_tables(spark, docs):
+    import public_tokenizers
+
+    none = docs.where("false")
+    word, piece = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    outcomes = spark.createDataFrame([], "page_id long, bad boolean")
+    for df in (
+        simhash.near_duplicates(none), simhash.drop_near_duplicates(none), exact_dedup.exact_duplicates(none), token_output.token_digests(none, word), line_dedup.line_report(none), sentencepiece_codec.digests(none, piece),
+        decontaminate.find_contamination(none, bench), sharding.shard(none), html_extract.extract(pages), url_filters.judge(pages, outcomes),
+    ):
+        assert df.count() == 0
+    assert decontaminate.remove_contamination(docs, bench).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op5_url_filters", "op9_decontaminate"])
+def test_sql(spark, name, tmp_path):
+    from corpusloom.llm import queries
+
+    df = queries.queries()[name](spark, DATA)
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    cols = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select(*cols).collect())
