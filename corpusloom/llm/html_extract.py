@@ -43,6 +43,9 @@ OUTSIDE = set(
     "comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager skip search form copyright legal tags trending".split()
 )
+READERS = set("comment comments disqus reply replies respond".split())
+#: Beginnings of class names of article elements that aren't the page's article.
+SMALL_ARTICLES = ("comment", "reply", "related", "recommended", "promo", "sponsor", "teaser", "ad-")
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^>]*\Z|[^<]+|<", regex.DOTALL)
 ATTR = regex.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = regex.compile(r"[a-z]+")
@@ -53,6 +56,7 @@ SPACES = regex.compile(r"[\s ]+")
 class Node:
     name: str
     outside: bool = False
+    always: bool = False
     main: bool = False
     marks: str = ""
     kids: list = field(default_factory=list)
@@ -65,13 +69,24 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in ATTR.findall(text)}
 
 
-def is_outside(name: str, has: dict[str, str]) -> bool:
+def is_outside(name: str, has: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is no part of the article, and whether so whatever it holds.
+
+    A name such as ``with-sidebar`` on a wrapper doesn't count if the wrapper holds the main part; names of
+    reader comments always do, on an article element too (as a whole word of its class).
+    """
     if name in NEVER or has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden", "").lower() == "true":
-        return True
-    if name in ("html", "body", "main", "article"):
-        return False
+        return True, True
+    if name in ("html", "body"):
+        return False, False
     named = f"{has.get('class', '')} {has.get('id', '')}".lower()
-    return bool(named.strip()) and not OUTSIDE.isdisjoint(WORDS.findall(named))
+    if not named.strip():
+        return False, False
+    if name in ("article", "main"):
+        told = any(w.startswith(SMALL_ARTICLES) for w in named.split())
+        return told, told
+    words = set(WORDS.findall(named))
+    return not OUTSIDE.isdisjoint(words), not READERS.isdisjoint(words)
 
 
 def parse(page: str) -> Node:
@@ -102,7 +117,7 @@ def parse(page: str) -> Node:
         if name in SIBLINGS:
             close(stack, *SIBLINGS[name])
         has = attributes(m["attrs"])
-        node = Node(name, is_outside(name, has), name in ("article", "main") or has.get("role") == "main" or has.get("itemprop") == "articleBody", f"{has.get('class', '')} {has.get('id', '')}".strip())
+        node = Node(name, *is_outside(name, has), name in ("article", "main") or has.get("role") == "main" or has.get("itemprop") == "articleBody", f"{has.get('class', '')} {has.get('id', '')}".strip())
         stack[-1].kids.append(node)
         if name in RAW:
             end = regex.compile(rf"</{regex.escape(name)}\s*>", regex.IGNORECASE).search(page, at)
@@ -110,9 +125,21 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif name not in VOID and not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
+    spare_wrappers(root)
     return root
 
 
+def spare_wrappers(root: Node) -> None:
+    """Elements that only their name puts outside are inside if they hold a main part that nothing else puts outside."""
+    nodes, held = walk(root), set()
+    for n in reversed(nodes):
+        inner = any(id(k) in held for k in n.kids if isinstance(k, Node))
+        if inner and n.outside and not n.always:
+            n.outside = False
+        if not n.outside and (n.main or inner):
+            held.add(id(n))
+
+
 def close(stack: list[Node], names: set[str], barrier: set[str]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].name in names:
@@ -168,7 +195,12 @@ def blocks(root: Node, gone: set[int]) -> list[str]:
     """The texts of the main part's blocks, in page order."""
     out: list[str] = []
     piece: list[str] = []
-    has_main = any(n.main and not n.outside for n in walk(root))
+    has_main, look = False, [root]
+    while look and not has_main:
+        node = look.pop()
+        if not node.outside and signed(node.hash) not in gone:
+            has_main = node.main
+            look += [k for k in node.kids if isinstance(k, Node)]
 
     def flush() -> None:
         text = SPACES.sub(" ", entities.unescape("".join(piece))).strip()

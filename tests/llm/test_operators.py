@@ -198,11 +198,13 @@ def test_html_extraction(spark):
     rows = [(i, "http://a.b/%d" % i, page.replace("{0}", str(i))) for i in range(30)]
     rows += [(100 + i, "http://c.d/%d" % i, plain.replace("{0}", str(i))) for i in range(30)]
     rows += [(200, None, None), (201, "http://e.f/", ""), (202, "x", "<p><b>open &am <i>tags <div>end &lt"), (None, "http://a.b/1", "a < b and c"), rows[0]]
+    wrapped = "<body><div class='layout with-sidebar'><main>Kept <p>text</main><div class='sidebar'>S</div></div><section class='comments'><article class='comment'>me</article></section></body>"
+    rows += [(300, "u://w", wrapped), (301, "u://w", "<div>only <b>this</b></div><section id=comments><article>c</article></section>")]
     got = {(r["page_id"], r["text"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(30):
         assert (i, f"Head {i}\nReal & true text of page {i}.\npoint {i}\nline one line two") in got
         assert (100 + i, f"own text {i}\nmore {i}") in got
-    assert {(200, ""), (201, ""), (202, "open &am tags\nend <"), (None, "a < b and c")} <= got
+    assert {(300, "Kept\ntext"), (301, "only this"), (200, ""), (201, ""), (202, "open &am tags\nend <"), (None, "a < b and c")} <= got
 
 
 def test_html_pages_of_the_table(spark):
