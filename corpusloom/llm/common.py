@@ -36,8 +36,18 @@ def work_dir(spark: SparkSession) -> str:
     return kept.get()
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete the work tables of this session; results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

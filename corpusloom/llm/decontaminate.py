@@ -236,7 +236,7 @@ MOST_BYTES = 1 << 30
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "found") -> DataFrame:
-    """docs with a column ``into``: struct of n_words, n_hit, items (sorted as strings), spans (hit words, merged).
+    """docs with a column ``into`` (one of that name is replaced): struct of n_words, n_hit, items (sorted as strings), spans (hit words, merged).
 
     Words are runs of 0-9, a-z and characters outside ASCII after lower-casing A-Z. A window is ``window``
     consecutive words of an item, or all of an item with fewer. Null texts have no words and no hits;

@@ -493,3 +493,15 @@ def test_sql(spark, name, tmp_path):
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select(*cols).collect())
+
+
+def test_work_tables_can_be_dropped(spark, docs):
+    import os
+
+    from corpusloom.llm import common
+
+    common.materialise(docs, "x")
+    folder = common.session_dir(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    common.drop_work_tables(spark)
+    assert not os.path.exists(folder)
