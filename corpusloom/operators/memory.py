@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.hashing import fingerprint, uniform
 
 FORMAT_VERSION = 1
@@ -70,6 +71,25 @@ def recorded(memory: DataFrame, accepted: DataFrame) -> DataFrame:
     return memory.unionByName(accepted.join(memory.select("fingerprint").distinct(), "fingerprint", "left_anti"))
 
 
+def judged(candidates: DataFrame, known: DataFrame, old: str, new: str, technique: str, scope: str) -> DataFrame:
+    """Candidates with fingerprint, reason (of the first failed check, or null) and status: failed, duplicate or success.
+
+    A duplicate has a known fingerprint or that of an earlier candidate (the smallest old text) that passes.
+    """
+    rows = candidates.withColumns({"fingerprint": fingerprint(F.col(new)), "reason": X.rejection(F.col(old), F.col(new), F.col(technique), F.col(scope))})
+    seen = known.select("fingerprint", F.lit(True).alias("__seen")).distinct()
+    first = rows.where("reason IS NULL").groupBy("fingerprint").agg(F.min(old).alias("__first"))
+    joined = rows.join(seen, "fingerprint", "left").join(first, "fingerprint", "left")
+    status = F.when(F.col("reason").isNotNull(), "failed").when(F.col("__seen") | (F.col(old) > F.col("__first")), "duplicate").otherwise("success")
+    return joined.withColumn("status", status).drop("__seen", "__first")
+
+
+def mutated(templates: DataFrame, known: DataFrame, generate, schema: str, old: str, new: str, technique: str, scope: str, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Templates through a generator (it adds ``new``), its output cleaned, checked and held against what is known."""
+    made = generated(templates, generate, schema)
+    return judged(made.withColumn(new, X.cleaned_output(F.col(new), prefixes)), known, old, new, technique, scope)
+
+
 def generated(df: DataFrame, generate, schema: str) -> DataFrame:
     """Rows through a caller's generator over Arrow batches: the place for a model, none is built in."""
     return df.mapInArrow(generate, schema)

@@ -5,7 +5,7 @@ Templates, carriers and value pools are the caller's tables; nothing is built in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -67,13 +67,14 @@ def assigned_columns(constraints: DataFrame, tables: DataFrame, columns: DataFra
     return every.groupBy(key, db, "table_id", "column_id", "table_name").agg(F.min_by(F.struct("column_name", "column_type"), order).alias("c")).select(key, db, "table_id", "column_id", "table_name", "c.*")
 
 
-def name_text(name: Column) -> Column:
+def column_text(name: Column) -> Column:
+    """A column's name, in back-ticks if it has a space, a hyphen or a parenthesis."""
     return F.when(name.rlike(r"[ (-]"), F.concat(F.lit("`"), name, F.lit("`"))).otherwise(name)
 
 
-def qualified(db: Column, table: Column, scope: Column) -> Column:
+def table_text(db: Column, table: Column, scope: Column) -> Column:
     """tsr names tables alone, other scopes with their database."""
-    return F.when(scope == "tsr", name_text(table)).otherwise(F.concat(name_text(db), F.lit("."), name_text(table)))
+    return F.when(scope == "tsr", table).otherwise(F.concat(db, F.lit("."), table))
 
 
 def fixed_value(kind: Column, scalars: dict[str, Column], quoted: Column) -> Column:
@@ -95,6 +96,19 @@ def filled_templates(templates: DataFrame, values: DataFrame, key: str, text: st
     return templates.join(by_place, key, "left").withColumn("filled", X.filled(F.col(text), listed)).drop("__v")
 
 
+def pooled_values(wanted: DataFrame, pool: DataFrame, key: str, pos: str, kind: str, value: str, seed: int) -> DataFrame:
+    """wanted (key, pos, kind) with a value of the pool (kind, value) of that kind, drawn for each place; ``all`` draws from the whole pool.
+
+    A kind that the pool lacks draws from the whole pool too.
+    """
+    each = pool.select(kind, value).unionByName(pool.select(F.lit("all").alias(kind), value))
+    numbered = each.withColumns({"__n": F.row_number().over(Window.partitionBy(kind).orderBy(value)) - 1, "__c": F.count("*").over(Window.partitionBy(kind))})
+    sizes = numbered.groupBy(kind).agg(F.first("__c").alias("__c"))
+    known = wanted.join(sizes.select(F.col(kind), F.lit(True).alias("__has")), kind, "left").withColumn(kind, F.when(F.col("__has"), F.col(kind)).otherwise("all")).drop("__has")
+    drawn = known.join(sizes, kind).withColumn("__n", F.floor(uniform(seed, F.col(key), F.col(pos)) * F.col("__c")).cast("int")).drop("__c")
+    return drawn.join(numbered.drop("__c"), [kind, "__n"]).select(key, pos, kind, value)
+
+
 def comment_strategy(u: Column, rational_share: float = 0.2) -> Column:
     """``rational`` below the share, else ``local``."""
     return F.when(u < rational_share, "rational").otherwise("local")

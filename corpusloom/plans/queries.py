@@ -662,6 +662,66 @@ def rates(t):
     return t.events.groupBy("event_type").agg(rounded(metrics.ratio(n, F.lit(60.0))).alias("per_second"), rounded(metrics.ratio(F.lit(60000.0), n)).alias("ms_each"))
 
 
+@query("s2_s12_parsed_lines", "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_valid(props) GROUP BY 1")
+def parsed_lines(t):
+    from ..sources.io import parsed_lines
+
+    good, _ = parsed_lines(t.events, "props", "k long")
+    return good.groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("p1_training_rows", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+def training_rows(t):
+    from ..sources.io import training_rows
+
+    return training_rows(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("set")), value="O").select("o_orderkey")
+
+
+@query("f8_pooled_values", f"WITH w AS (SELECT doc_id, p AS pos, CASE WHEN doc_id % 3 = 0 THEN 'odd' WHEN doc_id % 3 = 1 THEN 'even' ELSE 'all' END AS kind FROM documents, range(2) r(p)), pool AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, n_name AS v FROM nation UNION ALL SELECT 'all', n_name FROM nation), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY kind) AS c FROM pool) SELECT doc_id, pos::BIGINT AS pos, w.kind, v AS value FROM w JOIN n ON n.kind = w.kind AND i = floor({U(SEED, 'doc_id || chr(58) || pos')} * c)")
+def pooled_values(t):
+    d = F.col("doc_id")
+    wanted = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("pos"), F.when(d % 3 == 0, "odd").when(d % 3 == 1, "even").otherwise("all").alias("kind"))
+    pool = t.nation.select(F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("kind"), F.col("n_name").alias("value"))
+    return longs(templates.pooled_values(wanted, pool, "doc_id", "pos", "kind", "value", SEED), "pos")
+
+
+@query("f12_resolved_names", "SELECT n_nationkey::BIGINT AS k, n_name AS alone, r_name || '.' || n_name AS full_name, CASE WHEN contains(r_name, ' ') THEN '`' || r_name || '`' ELSE r_name END AS column_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def resolved_names(t):
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    table = lambda scope: templates.table_text(F.col("r_name"), F.col("n_name"), F.lit(scope))
+    return rows.select(F.col("n_nationkey").cast("long").alias("k"), table("tsr").alias("alone"), table("lor").alias("full_name"), templates.column_text(F.col("r_name")).alias("column_name"))
+
+
+@query("l9_judged_candidates", f"WITH {TPL} SELECT CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 <> 0 THEN 'failed' WHEN doc_id % 7 = 1 THEN 'duplicate' ELSE 'new' END AS status, count(*) AS n FROM tpl GROUP BY 1")
+def judged_candidates(t):
+    d = F.col("doc_id")
+    new = F.when(d % 7 == 0, " ").when(d % 7 == 1, F.col("payload")).otherwise(F.concat("payload", F.lit(" "), d.cast("string")))
+    rows = toy_templates(t).withColumns({"new": new, "technique": F.lit("tautology"), "scope": F.lit("tsr")})
+    known = memory.known_fingerprints(toy_templates(t), text="payload")
+    out = memory.judged(rows, known, "payload", "new", "technique", "scope")
+    return out.groupBy(F.when(F.col("status") == "success", "new").otherwise(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("j6_positional_records", "SELECT a.doc_id AS output_id, b.doc_id AS parent_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, lang FROM documents) a JOIN (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS i, lang FROM documents) b USING (lang, i)")
+def positional_records(t):
+    at = lambda *o: F.row_number().over(sampling.Window.partitionBy("lang").orderBy(*o)).alias("i")
+    a = t.documents.select("lang", F.col("doc_id").alias("output_id"), at("doc_id"))
+    b = t.documents.select("lang", F.col("doc_id").alias("parent_id"), at(F.desc("doc_id")))
+    return a.join(b, ["lang", "i"]).select("output_id", "parent_id")
+
+
+@query("u3_set_equality", "SELECT TRUE AS same, FALSE AS other")
+def set_equality(t):
+    keys = t.nation.select("n_regionkey").distinct()
+    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"))
+    return t.spark.range(1).select(F.lit(contracts.same_set(keys, regions)).alias("same"), F.lit(contracts.same_set(keys, regions.where("n_regionkey > 0"))).alias("other"))
+
+
+@query("v9_restored_weights", f"WITH {ARMS} SELECT cluster, round(weight, 9) AS weight FROM wt")
+def restored_weights(t):
+    return r9(contracts.restored_weights(event_weights(t), event_arms(t)), "weight")
+
+
 @query("a2_category_counts", f"WITH {TAXONOMY} SELECT technique || '||' || reference_scope AS category, count(*) AS n FROM ax GROUP BY 1")
 def category_counts(t):
     return taxonomy.arms(t.spark).groupBy("category").agg(F.count("*").alias("n"))

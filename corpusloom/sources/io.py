@@ -5,6 +5,7 @@ Readers fail on what they can't read, or give the bad rows beside the good ones.
 
 from __future__ import annotations
 
+import json
 import os
 from pathlib import Path
 
@@ -22,14 +23,43 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, lines that aren't JSON objects of the schema); blank lines are skipped."""
-    lines = spark.read.text(path).where(F.col("value").rlike("\\S"))
-    parsed = lines.select("value", F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+def parsed_lines(lines: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(columns of the good JSON lines, the lines that aren't JSON objects of the schema); blank lines are skipped."""
+    some = lines.select(F.col(column).alias("value")).where(F.col("value").rlike("\\S"))
+    parsed = some.select("value", F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
     return parsed.where(~bad).select("r.*").drop(CORRUPT), parsed.where(bad).select("value")
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """parsed_lines of text files."""
+    return parsed_lines(spark.read.text(path), "value", schema)
+
+
+def read_mapping(path: str) -> dict:
+    """A settings file (JSON, or YAML where a YAML library is installed): empty is {}, anything but a mapping raises."""
+    text = Path(path).read_text()
+    try:
+        import yaml
+
+        found = yaml.safe_load(text)
+    except ImportError:
+        found = json.loads(text) if text.strip() else None
+    if found is None:
+        return {}
+    if not isinstance(found, dict):
+        raise TypeError(f"{path} holds no mapping")
+    return found
+
+
+def training_rows(df: DataFrame, split: str = "set", value: str = "train") -> DataFrame:
+    """The rows of the training split; raises if there are none."""
+    rows = df.where(F.col(split) == value)
+    if rows.isEmpty():
+        raise ValueError(f"no rows with {split} = {value}")
+    return rows
+
+
 def first_lines(df: DataFrame, order: str, n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(order).limit(n)
 
