@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -84,7 +85,7 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
     return hit.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*docs.columns)
 
 
-def slices(array: pa.Array, most_bytes: int = 8 << 20):
+def slices(array: pa.Array, most_bytes: int = 4 << 20):
     """array in consecutive slices of about most_bytes of text, one row at least."""
     lens = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lens, dtype=np.int64)
@@ -117,25 +118,56 @@ def ragged_take(values: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tu
 
 
 class ListCache:
-    """Short lists of 32-bit integers by string, at most ``most`` of them; emptied when full, so memory stays bounded."""
+    """Short lists of 32-bit integers by string, in two generations of ``most`` at most.
 
-    def __init__(self, make, most: int = 700_000):
-        self.make, self.most, self.has = make, most, {}
+    When the young one is full it becomes the old one, whose words come back when they are asked for:
+    frequent words stay, and memory stays bounded.
+    """
+
+    def __init__(self, make, most: int = 120_000):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
 
     def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Values and starts of the words' lists, in order. ``make`` gives the lists of new words as bytes."""
-        if len(self.has) > self.most:
-            self.has = {}
-        has = self.has
-        new = [w for w in words if w not in has]
-        if new:
-            has.update(zip(new, self.make(new), strict=True))
-        found = [has[w] for w in words]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = [young.get(w) or old.get(w) for w in words]
+        new = [w for w, x in zip(words, found) if x is None]
+        made = dict(zip(new, self.make(new), strict=True)) if new else {}
+        found = [made[w] if x is None else x for w, x in zip(words, found)]
+        room = max(0, self.most + 1 - len(young))
+        young.update(zip(words[:room], found[:room]))
         starts = np.zeros(len(found) + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4, out=starts[1:])
         return np.frombuffer(b"".join(found), dtype=np.int32), starts
 
 
+#: Rows of one Arrow batch at most: two tasks of an executor hold a batch on both sides of the pipe each.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends BATCH_ROWS rows to Python at once, or fewer if it is set so."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def on_arrow(ddl: str):
     """Make a function over iterators of Arrow arrays into one over columns; the UDF is built on each call, when a session is there."""
 

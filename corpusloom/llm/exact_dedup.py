@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, materialise, on_arrow, text_key
+from .common import ascii_lower, bounded_batches, keep_rows, materialise, on_arrow, text_key
 
 PRIMES = (2147483647, 2147483629)
 BASE = (1_000_003, 998_244_353)
@@ -128,7 +128,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with the largest id stays (a null id is the smallest; of rows that share it, one). Exactly one row of
     each group is kept. Other columns of docs are not read. An empty table gives no rows.
     """
-    prints = materialise(row_prints(docs, id_col, text_col, huge).withColumn("row", F.monotonically_increasing_id()), "prints")
+    prints = materialise(row_prints(bounded_batches(docs), id_col, text_col, huge).withColumn("row", F.monotonically_increasing_id()), "prints")
     same = ["h1", "h2", "len"]
     groups = prints.groupBy(*same).agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1")
     # texts again, only of groups with more than one row; hot groups in several parts, each with the row that stays

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, on_arrow, text_key
+from .common import ascii_lower, bounded_batches, materialise, on_arrow, text_key
 
 #: A subtree is of the template if it is on so many distinct pages of its host at least, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
@@ -275,7 +275,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     it are never taken for a template. A null or empty html gives an empty text; a null url is a host of
     its own. Rows that share id and html get the same text. Other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     seen = rows.select("page_id", text_key(F.col("html")).alias("key"), host_of(F.col("url")).alias("host"), subtrees_of("html").alias("s"))
     seen = materialise(seen.select("page_id", "key", "host", F.col("s.content").alias("content"), F.col("s.subtrees").alias("subtrees")), "subtrees")
     found = materialise(templates(seen, least_pages, least_share), "templates")

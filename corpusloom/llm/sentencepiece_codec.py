@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ListCache, fresh_name, on_arrow, ragged_take, slices, word_codes
+from .common import ListCache, bounded_batches, fresh_name, give_back, on_arrow, ragged_take, slices, word_codes
 
 SPACE = "▁"
 #: Odd, so that hashes of different characters differ; pieces are short.
@@ -51,8 +51,10 @@ class Model:
         #: The order of merging: a better score comes first.
         self.rank = {p: k for k, p in enumerate(sorted(self.ids, key=lambda p: -self.score[p]))}
         self.made_of: dict[str, tuple[str, str]] = {}
+        self.known_steady: dict[str, bool] = {}
         #: Neighbouring characters within pieces; between all others every path has a boundary.
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.newline_apart = not any("\n" in p for p in self.ids)
         self.known: dict[tuple[str, str], bool] = {}
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.names = pieces
@@ -68,7 +70,6 @@ class Model:
             self.hashed.append((h[order], np.array([self.ids[p] for p in of], dtype=np.int64)[order]))
         self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.stems = ListCache(self.search_many)
-        self.cache = ListCache(self.encode_words)
 
     def merged(self, text: str) -> list[str]:
         """Merge a short string: always the pair whose joined piece has the best score, the leftmost of equals."""
@@ -94,8 +95,12 @@ class Model:
 
     def steady(self, piece: str) -> bool:
         """Whether every part of a piece is made before it, and no two equal characters meet in it."""
-        parts = self.halves(piece)
-        return parts is None or (parts[0][-1] != parts[1][0] and all(len(p) == 1 or self.rank[p] < self.rank[piece] and self.steady(p) for p in parts))
+        found = self.known_steady.get(piece)
+        if found is None:
+            parts = self.halves(piece)
+            found = parts is None or (parts[0][-1] != parts[1][0] and all(len(p) == 1 or self.rank[p] < self.rank[piece] and self.steady(p) for p in parts))
+            self.known_steady[piece] = found
+        return found
 
     def last_step(self, piece: str) -> int:
         """Where the last merge of a piece joins its two parts."""
@@ -138,7 +143,7 @@ class Model:
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """compatible() of pairs of ids; -1 is the start."""
         key = (left + 1) * (1 << 32) + right
-        if len(self.pair_keys) > 2_000_000:
+        if len(self.pair_keys) > 1_000_000:
             self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
         at = np.searchsorted(self.pair_keys, key)
         have = at < len(self.pair_keys)
@@ -206,21 +211,24 @@ class Model:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip((ends - count).tolist(), ends.tolist())]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of marked words; a last character that no piece joins to the one before is looked up apart from its stem."""
-        cut = [len(w) > 1 and w[-2:] not in self.inside for w in words]
-        stems = list(dict.fromkeys(w[:-1] if c else w for w, c in zip(words, cut)))
-        values, starts = self.stems.lists(stems)
-        data = values.tobytes()
-        at = dict(zip(stems, zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist())))
-        tail: dict[str, bytes] = {}
-        out = []
-        for w, c in zip(words, cut):
-            a, b = at[w[:-1] if c else w]
-            if c and w[-1] not in tail:
-                tail[w[-1]] = np.array(self.piece_ids(w[-1]), dtype=np.int32).tobytes()
-            out.append(data[a:b] + tail[w[-1]] if c else data[a:b])
-        return out
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of marked words and where each word's begin. What no piece joins is searched apart: newlines, and last characters that follow a stem."""
+        lines = self.newline_apart
+        order: dict[str, int] = {}  # segments that are searched, each once
+        picks, ends, inside = [], [0], self.inside
+        for w in words:
+            for k, part in enumerate(w.split("\n") if lines and "\n" in w else (w,)):
+                if k:
+                    picks.append(order.setdefault("\n", len(order)))
+                if len(part) > 1 and part[-2:] not in inside:
+                    picks.append(order.setdefault(part[:-1], len(order)))
+                    picks.append(order.setdefault(part[-1], len(order)))
+                else:
+                    picks.append(order.setdefault(part, len(order)))
+            ends.append(len(picks))
+        values, starts = self.stems.lists(list(order))
+        ids, begin = ragged_take(values, starts, np.array(picks, dtype=np.int64))
+        return ids, begin[np.array(ends)]
 
     def encode_text(self, text: str) -> np.ndarray:
         """Ids of a text in which spaces are already marked."""
@@ -240,7 +248,7 @@ class Stream:
     def feed(self, part: str) -> list[int]:
         model, last, out = self.model, self.last, []
         ids, longest, known, patience = model.ids, model.longest, model.known, 4 * model.longest
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         self.text += part
         at = len(last) - 1
@@ -319,7 +327,7 @@ def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
             out += run.feed(marked[at : at + 4096])
         streamed[i] = np.array(out + run.end(), dtype=np.int32)
     codes, starts, words = split_at_spaces(["" if i in streamed else (t or "") for i, t in enumerate(rows)])
-    values, begins = model.cache.lists([SPACE + w if w else "" for w in words])
+    values, begins = model.encode_words([SPACE + w if w else "" for w in words])
     ids, at = ragged_take(values, begins, codes)
     at = at[starts]
     if streamed:
@@ -359,6 +367,8 @@ def encode_udf(path: str):
             ends = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32) if lens else np.zeros(1, dtype=np.int32)
             flat = np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, type=pa.bool_())], names=["ids", "round_trip"])
+            give_back()
+        model.stems.forget()
 
     return encode
 
@@ -381,7 +391,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", into: str
     round_trip tells whether decoding the ids gives the text back (a literal U+2581 comes back as a
     space). Null and empty texts have no ids and round_trip true. All rows and columns stay.
     """
-    return docs.withColumn(into, encode_udf(model)(F.col(text_col)))
+    return bounded_batches(docs).withColumn(into, encode_udf(model)(F.col(text_col)))
 
 
 @on_arrow("long")

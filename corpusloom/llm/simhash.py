@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialise, text_key
+from .common import bounded_batches, give_back, keep_rows, materialise, text_key
 from .components import connected_components
 
 SEED = 42
@@ -75,6 +75,7 @@ def fingerprint_udf(shingle: int, width: int):
                     out[i] = [majority(mixed(h, k)) for k in range(width)]
             ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
             yield pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1).view(np.int64)))
+            give_back()
 
     return fingerprint
 
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if miss is None and width != 1:
         raise ValueError("the exact search is for fingerprints of one word")
-    prints = materialise(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_udf(shingle, width)(F.col(text_col)).alias("words")), "prints")
+    prints = materialise(bounded_batches(docs).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_udf(shingle, width)(F.col(text_col)).alias("words")), "prints")
     words = [F.col("words")[k].alias(f"w{k}") for k in range(width)]
     names = [f"w{k}" for k in range(width)]
     nodes = materialise(prints.select("id", *words).groupBy(*names).agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ListCache, new_path, on_arrow, ragged_take, slices, word_codes
+from .common import ListCache, bounded_batches, give_back, new_path, on_arrow, ragged_take, slices, word_codes
 
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
 #: Ids are few against their number: a dictionary; counters grow slowly: deltas (Parquet's version 2 writes them where no dictionary is).
@@ -95,8 +95,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None =
                 )
                 start += int(at[-1])
                 done += len(n)
+            give_back()
+        enc.cache.forget()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(over, SCHEMA).write.options(**WRITER).parquet(to)
 
