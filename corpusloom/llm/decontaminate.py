@@ -10,13 +10,14 @@ spans found are merged for each document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, on_arrow
+from .common import bounded_batches, fresh_name, give_back, on_arrow, slices
 
 WINDOW = 10
 #: Benchmark items are searched in blocks of so many bytes of text, so what each task holds is bounded.
@@ -142,7 +143,7 @@ class Windows:
         get, sizes = self.code.get, [len(d) for d in docs]
         total = sum(sizes)
         ends = np.cumsum(sizes)
-        seq = np.fromiter((get(w, 1) for d in docs for w in d), dtype=np.int64, count=total)
+        seq = np.fromiter(map(get, chain.from_iterable(docs), repeat(1)), dtype=np.int64, count=total)
         cover = np.zeros(total + 1, dtype=np.int64)
         items: dict[int, set[str]] = {}
         starts = ends - np.array(sizes, dtype=np.int64)
@@ -173,14 +174,16 @@ class Windows:
             index = FMIndex(text, self.sigma)
             for n, (patterns, owners) in self.by_length.items():
                 low, high = index.search(patterns)
-                hit = np.flatnonzero(low < high)
-                for p in hit:
-                    # places of one window at a time: memory follows its occurrences in the shard
-                    begin = where[index.locate(np.arange(low[p], high[p]))]
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, begin + n, -1)
-                    for d in np.unique(np.searchsorted(ends, begin, side="right")).tolist():
-                        items.setdefault(d, set()).update(owners[p])
+                # a place begins one window of each length at most, so all places together are bounded by the shard
+                sizes = high - low
+                window = np.repeat(np.arange(len(sizes)), sizes)
+                rank = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[window]
+                begin = where[index.locate(rank)]
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + n, -1)
+                found = np.unique(np.searchsorted(ends, begin, side="right") * len(sizes) + window)
+                for d, p in zip((found // len(sizes)).tolist(), (found % len(sizes)).tolist()):
+                    items.setdefault(d, set()).update(owners[p])
         hits = np.cumsum(cover[:-1]) > 0
         return [(np.flatnonzero(hits[a:b]), items.get(i, set())) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
 
@@ -202,8 +205,6 @@ def search_udf(blocks, window: int):
 
     @F.arrow_udf(RESULT)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from .common import slices
-
         found = [Windows(b, window) for b in blocks.value]
         for batch in batches:
             rows = []
@@ -214,6 +215,7 @@ def search_udf(blocks, window: int):
                     hits = [(np.union1d(a, c), b | d) for (a, b), (c, d) in zip(hits, w.find(docs))]
                 rows += [{"n_words": len(d), "n_hit": len(at), "items": sorted(items), "spans": spans(at)} for d, (at, items) in zip(docs, hits)]
             yield pa.array(rows, type=ARROW)
+            give_back()
 
     return search
 
@@ -247,7 +249,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     if size > MOST_BYTES:
         raise ValueError(f"the benchmark holds {size} bytes of text; {MOST_BYTES} are the most")
     blocks = docs.sparkSession.sparkContext.broadcast(list(benchmark_blocks(benchmark, item_col, item_text_col)))
-    return docs.withColumn(into, search_udf(blocks, window)(F.col(text_col)))
+    return bounded_batches(docs).withColumn(into, search_udf(blocks, window)(F.col(text_col)))
 
 
 #: Text and its words, with where they lie, for cutting spans out of the original.
