@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +152,25 @@ class ListCache:
 BATCH_ROWS = 1000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package's sources, once for each application, wherever the driver has them from."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not package.is_dir():
+        return
+    to = f"{tempfile.mkdtemp(prefix='corpusloom-')}/corpusloom.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f"{package.name}/{f.relative_to(package)}")
+    spark.sparkContext.addPyFile(to)
+    _shipped.add(app)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session sends BATCH_ROWS rows to Python at once, or fewer if it is set so."""
+    """df; from now on its session sends BATCH_ROWS rows to Python at once, or fewer if it is set so, and its workers have this package."""
+    ship_package(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
