@@ -17,13 +17,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, slices, word_codes
+from .common import bounded_batches, fresh_name, give_back, slices, word_codes
 
 SLOTS = 1 << 16
 NGRAMS = (1, 2, 3)
 #: So many labelled texts of each language are expected in the sample that the model is fitted on.
 SAMPLE_PER_LANGUAGE = 4000
 MOST_LANGUAGES = 500
+#: So many words are scored at once.
+BLOCK = 16_384
 PENALTY = 6.0
 #: A language counts as written in a script if so large a share of its letters is.
 SCRIPT_SHARE = 0.01
@@ -87,9 +89,12 @@ class Model:
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of raw tokens: scores by language (n x languages) and numbers of letters."""
-        slots, starts, script, letters = features([" ".join(NOT_LETTERS.split(w.lower())).strip() for w in words])
-        total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.logs[slots], axis=0, dtype=np.float64)])
-        out = (total[starts[1:]] - total[starts[:-1]]).astype(np.float32)
+        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        script, letters = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for at in range(0, len(words), BLOCK):  # a word has several n-grams, each with a row of numbers: not all at once
+            part = slice(at, at + BLOCK)
+            slots, starts, script[part], letters[part] = features([" ".join(NOT_LETTERS.split(w.lower())).strip() for w in words[part]])
+            out[part] = np.add.reduceat(self.logs[slots], starts[:-1], axis=0)
         some = self.allowed[script].any(axis=1)
         out[some] = np.where(self.allowed[script[some]], out[some], -1e6)
         out[~some | (letters == 0)] = 0
@@ -147,7 +152,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     Labels are counted over all rows; n-grams over a sample, chosen by a hash of the id, of about
     per_language texts of each language. What reaches the driver is bounded: SLOTS counts a language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: is {label_col} the label?")
@@ -208,6 +213,7 @@ def predict_udf(shared, spans: bool):
                         found = [{"lang": model.languages[path[a]], "words": int(b - a)} for a, b in zip(cut[:-1], cut[1:])]
                     rows.append({"lang": model.languages[best[i]], "score": float(share[i, best[i]] / total[i]), "spans": found})
             yield pa.array(rows, type=RESULT)
+            give_back()
 
     return predict
 
@@ -219,7 +225,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", into:
     there was nothing to learn from. All rows and columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn(into, predict_udf(shared, spans)(F.col(text_col)))
+    return bounded_batches(docs).withColumn(into, predict_udf(shared, spans)(F.col(text_col)))
 
 
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
