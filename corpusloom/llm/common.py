@@ -87,7 +87,7 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
     return hit.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*docs.columns)
 
 
-def slices(array: pa.Array, most_bytes: int = 4 << 20):
+def slices(array: pa.Array, most_bytes: int = 1 << 20):
     """array in consecutive slices of about most_bytes of text, one row at least."""
     lens = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lens, dtype=np.int64)
@@ -126,7 +126,7 @@ class ListCache:
     frequent words stay, and memory stays bounded.
     """
 
-    def __init__(self, make, most: int = 120_000):
+    def __init__(self, make, most: int = 60_000):
         self.make, self.most, self.young, self.old = make, most, {}, {}
 
     def forget(self) -> None:

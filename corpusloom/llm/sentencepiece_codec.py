@@ -164,8 +164,8 @@ class Model:
         for i in set(range(len(words))).difference(plain):
             out[i] = self.encode_text(words[i]).tobytes()
         plain.sort(key=lambda i: -len(words[i]))
-        for at in range(0, len(plain), 16_384):
-            part = plain[at : at + 16_384]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
             for i, ids in zip(part, self.search_block([words[i] for i in part])):
                 out[i] = ids
         return out
