@@ -12,14 +12,15 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, keep_rows, materialise, text_key
+from .common import bounded_batches, give_back, keep_rows, materialise, ragged_take, text_key
 from .components import connected_components
 
 SEED = 42
@@ -265,24 +266,132 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.select("id", "key", "words", *words).join(of, names).select("id", "key", "words", "component_id")
 
 
-#: Five-word shingles with a Jaccard similarity of 0.8 have a cosine of 1.6 / 1.8; the angle's share of a half turn is the share of differing bits.
-STAGE_WIDTH, STAGE_SHINGLE, STAGE_MISS = 4, 5, 0.01
+STAGE_SHINGLE = 5
+#: Places in the lists of documents that one step of a search looks at.
+STEP = 1 << 22
+#: Of 16 shingles, those whose owners are counted over all texts: more than the fifth that near copies may differ in.
+TRACKED = 5
+#: Rows (an id and two hashes) that a broadcast may have; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
-def bits_at(similarity: float, width: int) -> int:
-    """Differing bits to expect of two texts with this Jaccard similarity of their shingle sets."""
-    return round(64 * width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set_udf(shingle: int):
+    @F.arrow_udf("array<long>")
+    def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), shingle)) for text in batch]
+            ends = np.zeros(len(sets) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in sets], out=ends[1:])
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
+            give_back()
+
+    return shingle_set
+
+
+def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first member of each set's component, linked where Jaccard >= least; values need to hold only what sets share."""
+    n = len(sizes)
+    _, codes = np.unique(values, return_inverse=True)
+    owners = np.repeat(np.arange(n), np.diff(starts))[np.argsort(codes, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        mine = codes[starts[i] : starts[i + 1]]
+        steps = np.cumsum(begin[mine + 1] - begin[mine]) // STEP
+        both = np.zeros(n, dtype=np.int64)
+        for some in np.split(mine, np.flatnonzero(np.diff(steps)) + 1):
+            both += np.bincount(ragged_take(owners, begin, some)[0], minlength=n)
+        near = least.denominator * both >= least.numerator * (sizes[i] + sizes - both)
+        for j in np.flatnonzero(near[i + 1 :]) + i + 1:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(n)], dtype=np.int64)
+
+
+def components_of(least: Fraction):
+    """Over rows (block, node, n, shared) sorted by block: (node, label), label a node of the component."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the block that may go on in the next batch
+
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            block, node, n = (rows[c].to_numpy() for c in ("block", "node", "n"))
+            lists = rows["shared"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            starts, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            label = np.concatenate([node[a + similar_sets(n[a:b], values[starts[a] : starts[b]], starts[a : b + 1] - starts[a], least)] for a, b in itertools.pairwise(cuts)])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], names=["node", "label"])
+            give_back()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            last = int(np.searchsorted(block, block[-1]))
+            if last:
+                yield from found([*held, batch.slice(0, last)])
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != block[0]:
+                yield from found(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from found(held)
+
+    return over
+
+
+def similar_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, set of distinct values) -> (node, label) of rows that may have a partner; no pair is missed and each link is counted out.
+
+    Values are in order of how many rows hold them. Two sets at the similarity share a value among the
+    first |x| - ceil(similarity |x|) + 1 of each, so rows whose first values are all their own have no
+    partner. Rows that share such a value make up blocks (through the smallest row of each value, not as
+    pairs), and a block's sets are compared by what they share with any row.
+    """
+    least = Fraction(str(similarity))
+    spots = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("x"))
+    held = spots.withColumn("held", F.count("*").over(Window.partitionBy("x"))).where("held > 1")
+    shared = materialise(held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("by")), "shared")
+    first = F.expr(f"cast(n - (({least.numerator} * n + {least.denominator - 1}) div {least.denominator}) + 1 - (n - size(by)) as int)")
+    lists = shared.select("node", F.explode(F.slice("by", 1, F.greatest(first, F.lit(0)))).alias("v")).select("node", F.col("v.x").alias("x"))
+    links = lists.join(lists.groupBy("x").agg(F.min("node").alias("b")), "x").where("node <> b").select(F.col("node").alias("a"), "b")
+    blocks = connected_components(links).select("node", F.col("label").alias("block"))
+    rows = shared.join(blocks, "node").select("block", "node", "n", F.col("by.x").alias("shared"))
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(components_of(least), "node long, label long")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each component the row with the smallest id (ties: smallest text key) stays.
 
-    Texts are near copies if the 256-bit SimHash of their five-word shingles estimates a Jaccard
-    similarity of at least the given one. Texts without words are all alike: one stays. All columns
-    come back; a row with a null id stays only in a component without other ids.
+    Texts are near copies if the sets of their five-word shingles (A-Z lower-cased, as 64-bit hashes) have
+    at least the given Jaccard similarity. Every such pair is found, and no other pair links. Texts without
+    words are all alike: one stays. All columns come back; a row with a null id stays only in a component
+    without other ids.
     """
-    found = near_duplicates(docs, id_col, text_col, STAGE_SHINGLE, STAGE_WIDTH, bits_at(similarity, STAGE_WIDTH), STAGE_MISS)
-    # a component without ids is told by its fingerprint
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("words").cast("string"))]
+    text = shingle_set_udf(STAGE_SHINGLE)(F.col(text_col))
+    docs_ = bounded_batches(docs).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col))
+    tracked = F.filter("set", lambda x: x.bitwiseAND(F.lit(15)) < TRACKED)
+    prints = materialise(docs_.select("id", "key", text.alias("set")).select("id", "key", F.size("set").cast("long").alias("n"), tracked.alias("tracked")).withColumn("node", F.monotonically_increasing_id()), "tracked")
+    nodes = prints.groupBy("id", "key").agg(F.min("node").alias("node"), F.max("n").alias("n"))
+    # a text with more shingles of its own than a partner may lack has no partner
+    own = prints.select("node", F.explode("tracked").alias("x")).groupBy("x").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("own"))
+    least = Fraction(str(similarity))
+    open_ = F.coalesce("own", F.lit(0)) <= F.expr(f"n - (({least.numerator} * n + {least.denominator - 1}) div {least.denominator})")
+    told = materialise(nodes.join(own, "node", "left").select("node", "id", "key", "n", open_.alias("open")), "nodes")
+    left = told.where("open AND n > 0").select("node", F.col("id").alias("o_id"), F.col("key").alias("o_key"))
+    left = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    sets = docs_.join(left, F.expr("id <=> o_id AND key = o_key")).select("node", text.alias("set")).dropDuplicates(["node"])
+    labels = similar_rows(materialise(sets, "sets"), similarity)
+    group = F.when(F.col("n") == 0, F.lit(-1)).otherwise(F.coalesce("label", "node")).alias("group")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
-    return keep_rows(docs, found.groupBy(*group).agg(best).select("best.id", "best.key"), id_col, text_col)
+    return keep_rows(docs, told.join(labels, "node", "left").groupBy(group).agg(best).select("best.id", "best.key"), id_col, text_col)

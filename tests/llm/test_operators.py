@@ -145,6 +145,42 @@ def test_near_duplicate_stage(spark):
     assert kept == list(range(40))
 
 
+def shingles_of(t, k=5):
+    w = lower(t).split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def stage_kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
+
+
+def test_near_duplicate_stage_at_its_bound(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in (10, 14, 60, 150, 400):
+        for _ in range(12):
+            t = words(rng, n)
+            # words exchanged at the end until the similarity falls below 0.8: the last copy above it, or the first below
+            above = below = t
+            for cut in range(1, n):
+                above, below = below, t[: n - cut] + words(rng, cut)
+                if jaccard(shingles_of(" ".join(t)), shingles_of(" ".join(below))) < 0.8:
+                    break
+            texts += [" ".join(t), " ".join(rng.choice([above, below]))]
+    sets = [shingles_of(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            parent = [parent[i] if p == parent[j] else p for p in parent]
+    want = sorted({p: min(i for i, q in enumerate(parent) if q == p) for p in parent}.values())
+    assert stage_kept(spark, texts) == want and 60 < len(want) < len(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)] + [(7, 7), (None, 3)]
