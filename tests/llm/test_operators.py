@@ -181,6 +181,14 @@ def test_near_duplicate_stage_at_its_bound(spark):
     assert stage_kept(spark, texts) == want and 60 < len(want) < len(texts)
 
 
+def test_near_duplicate_stage_counts_a_repeated_line_once(spark):
+    rng = random.Random(22)
+    line = " ".join(words(rng, 14))
+    texts = ["\n".join([line] * 60 + [" ".join(words(rng, 100))]) for _ in range(6)]
+    assert max(jaccard(shingles_of(a), shingles_of(b)) for a, b in itertools.combinations(texts, 2)) < 0.2
+    assert stage_kept(spark, texts) == list(range(6))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)] + [(7, 7), (None, 3)]
