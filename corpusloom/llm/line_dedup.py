@@ -1,10 +1,11 @@
 """Near-duplicate lines by a deletion-neighbourhood join. DataFrame functions only.
 
-Lines are compared by their words; the edit bound is one word put in, taken out or exchanged. A line's
-neighbourhood is the line itself and the line without each one of its words, as hashed keys; two lines
+Lines are compared by their words; the edit bound is one character (unit ``char``: of the words joined by
+single spaces) or one word (``word``) put in, taken out or exchanged. Below, a unit is either. A line's
+neighbourhood is the line itself and the line without each one of its units, as hashed keys; two lines
 within the bound share a key. Of two such lines, one half is untouched: only lines that share a half with
-another line emit variants, and only those without a word of the other half. Equal keys are joined through
-the earliest line of each key, never as all pairs, and each join is verified on the words themselves.
+another line emit variants, and only those without a unit of the other half. Equal keys are joined through
+the earliest line of each key, never as all pairs, and each join is verified on the lines themselves.
 """
 
 from __future__ import annotations
@@ -21,40 +22,55 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(ascii_lower(line), BLANK), lambda w: w != "")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def units_of(line: Column, unit: str) -> Column:
+    """The words of a line as an array, or as one string to be taken by characters."""
+    if unit not in ("word", "char"):
+        raise ValueError(f"unknown unit: {unit}")
+    return words_of(line) if unit == "word" else F.array_join(words_of(line), " ")
+
+
+def length_of(line: Column, unit: str) -> Column:
+    return F.size(line) if unit == "word" else F.char_length(line)
+
+
+def part(line: Column, start: Column, length: Column, unit: str) -> Column:
+    return F.slice(line, start, length) if unit == "word" else F.substring(line, start, length)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     """(id, key, no, words) of every line that has a word; the rows of docs that share id and text count as one."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return rows.select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "key", "no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    return rows.select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "key", "no", units_of(F.col("line"), unit).alias("words")).where(length_of(F.col("words"), unit) > 0)
 
 
-def half_keys(words: Column) -> Column:
-    """Keys of the two halves of a line, as one of its own length and as one that a word was put into: (left, hash)."""
-    n = F.size(words)
+def half_keys(words: Column, unit: str) -> Column:
+    """Keys of the two halves of a line, as one of its own length and as one that a unit was put into: (left, hash)."""
+    n = length_of(words, unit)
 
     def keys(length: Column) -> list[Column]:
         left = F.floor(length / 2).cast("int")
         right = length - left
         return [
-            F.struct(F.lit(True).alias("left"), F.xxhash64(F.lit("l"), length, F.slice(words, F.lit(1), left)).alias("half")),
-            F.struct(F.lit(False).alias("left"), F.xxhash64(F.lit("r"), length, F.slice(words, n - right + 1, right)).alias("half")),
+            F.struct(F.lit(True).alias("left"), F.xxhash64(F.lit("l"), length, part(words, F.lit(1), left, unit)).alias("half")),
+            F.struct(F.lit(False).alias("left"), F.xxhash64(F.lit("r"), length, part(words, n - right + 1, right, unit)).alias("half")),
         ]
 
     return F.array(*keys(n), *keys(n - 1))
 
 
-def variants(words: Column, left: Column, right: Column) -> Column:
-    """Keys of the neighbourhood: the line itself, and without each word that lies outside a shared half.
+def variants(words: Column, left: Column, right: Column, unit: str) -> Column:
+    """Keys of the neighbourhood: the line itself, and without each unit that lies outside a shared half.
 
     kind: ``s`` the place and what is left (lines of one length that differ there), ``i`` what is left
-    alone (lines with one more word), ``w`` the line itself (to meet the latter).
+    alone (lines with one more unit), ``w`` the line itself (to meet the latter).
     """
-    n = F.size(words)
-    # a shared left half leaves the words after it, from the middle on; one place more for lines of other lengths
+    n = length_of(words, unit)
+    # a shared left half leaves the units after it, from the middle on; one place more for lines of other lengths
     first = F.when(right, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(n / 2).cast("int")))
     last = F.when(left, n).otherwise(F.least(n, F.floor(n / 2).cast("int") + 1))
     at = F.sequence(first, last)
-    rest = lambda i: F.xxhash64(F.slice(words, F.lit(1), i - 1), F.lit(0), F.slice(words, i + 1, n))
-    joined = lambda i: F.xxhash64(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n)))
+    rest = lambda i: F.xxhash64(part(words, F.lit(1), i - 1, unit), F.lit(0), part(words, i + 1, n, unit))
+    joined = lambda i: F.xxhash64(F.concat(part(words, F.lit(1), i - 1, unit), part(words, i + 1, n, unit)))
     one = lambda kind, place, h: F.struct(F.lit(kind).alias("kind"), place.alias("place"), h.alias("hash"))
     none = F.lit(0)
     return F.concat(
@@ -76,16 +92,16 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), unlike <= 1).when(F.size(a) == F.size(b) + 1, longer(a, b)).when(F.size(b) == F.size(a) + 1, longer(b, a)).otherwise(False)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, no) of every line that an equal line, or one within one word, precedes.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "word") -> DataFrame:
+    """(id, key, no) of every line that an equal line, or one within one unit (word or char), precedes.
 
     Lines are in order of id (null first), then text key, then number. A line goes if any earlier line is
     within the bound, whether that one goes itself or not. Lines without a word never go. Rows of docs that
     share id and text are one document here. Null and empty texts have no lines that go.
     """
     order = lambda *extra: F.struct("id", "key", "no", *extra)
-    lines = lines_of(docs, id_col, text_col)
-    hashed = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), order().alias("spot"), half_keys(F.col("words")).alias("halves"))
+    lines = lines_of(docs, id_col, text_col, unit)
+    hashed = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), order().alias("spot"), half_keys(F.col("words"), unit).alias("halves"))
     distinct = materialise(hashed.groupBy("h1", "h2").agg(F.min("spot").alias("spot"), F.first("halves").alias("halves")), "lines")
     halves = distinct.select("spot", F.explode("halves").alias("x")).select("spot", F.col("x.left").alias("left"), F.col("x.half").alias("half"))
     shared = materialise(halves.groupBy("left", "half").agg(F.count_distinct("spot").alias("n")).where("n > 1").select("left", "half"), "halves")
@@ -95,15 +111,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.split(text_col, "\n").alias("parts"))
     hit = texts.alias("t").join(of_doc.alias("w"), F.expr("t.id <=> w.id AND t.key = w.key")).select("t.id", "t.key", F.explode("wanted").alias("no", "sides"), "parts")
     known = materialise(
-        hit.select(order().alias("spot"), words_of(F.col("parts")[F.col("no")]).alias("words"), "sides.left", "sides.right").dropDuplicates(["spot"]).withColumn("line", F.monotonically_increasing_id()),
+        hit.select(order().alias("spot"), units_of(F.col("parts")[F.col("no")], unit).alias("words"), "sides.left", "sides.right").dropDuplicates(["spot"]).withColumn("line", F.monotonically_increasing_id()),
         "known",
     )
-    emitted = known.select("line", "spot", F.size("words").alias("n"), F.explode(variants(F.col("words"), F.col("left"), F.col("right"))).alias("v")).select("line", "spot", "n", F.col("v.kind").alias("kind"), F.col("v.place").alias("place"), F.col("v.hash").alias("hash"))
+    emitted = known.select("line", "spot", length_of(F.col("words"), unit).alias("n"), F.explode(variants(F.col("words"), F.col("left"), F.col("right"), unit)).alias("v")).select("line", "spot", "n", F.col("v.kind").alias("kind"), F.col("v.place").alias("place"), F.col("v.hash").alias("hash"))
     first = F.min(F.struct("spot", "line")).alias("first")
     # lines of one length: the earliest of each key; one within the bound is one that shares a key
     same = emitted.where("kind = 's'")
     swaps = same.join(same.groupBy("n", "place", "hash").agg(first, F.count("*").alias("c")).where("c > 1"), ["n", "place", "hash"]).where(F.col("spot") > F.col("first.spot")).select("line", F.col("first.line").alias("by"))
-    # a whole line meets those with one more word: the later one goes
+    # a whole line meets those with one more unit: the later one goes
     whole = emitted.where("kind = 'w'").select("hash", F.col("line").alias("a"), F.col("spot").alias("a_spot"))
     more = emitted.where("kind = 'i'").select("hash", F.col("line").alias("b"), F.col("spot").alias("b_spot"))
     met = more.join(whole, "hash")
@@ -111,7 +127,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     puts = met.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("line"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("by"))
     pairs = swaps.unionByName(puts).distinct()
     x, y = known.select("line", "spot", F.col("words").alias("x")), known.select(F.col("line").alias("by"), F.col("words").alias("y"))
-    near = pairs.join(x, "line").join(y, "by").where(within_one_word(F.col("x"), F.col("y"))).select("spot").distinct()
+    near = pairs.join(x, "line").join(y, "by").where(within_one_word(F.col("x"), F.col("y")) if unit == "word" else F.levenshtein("x", "y", 1) >= 0).select("spot").distinct()
     # of equal lines all but the first go, and the first goes with a near one before it
     near = materialise(near, "near")
     copies = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), order().alias("spot"))
@@ -120,10 +136,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.distinct()
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "word") -> DataFrame:
     """docs with the lines of repeated_lines taken out of their texts; all rows and columns stay, a null text too."""
     key, gone = fresh_name(docs, "__key"), fresh_name(docs, "__gone")
-    out = repeated_lines(docs, id_col, text_col).groupBy("id", "key").agg(F.collect_set("no").alias("nos"))
+    out = repeated_lines(docs, id_col, text_col, unit).groupBy("id", "key").agg(F.collect_set("no").alias("nos"))
     out = out.select(F.col("id").alias("__o_id"), F.col("key").alias("__o_key"), F.col("nos").alias(gone))
     left = docs.withColumn(key, text_key(F.col(text_col)))
     joined = left.join(out, left[id_col].eqNullSafe(out["__o_id"]) & (left[key] == out["__o_key"]), "left")
@@ -131,9 +147,9 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "word") -> DataFrame:
     """One row for each row of docs: doc_id, n_lines (0 for null), n_dropped, dropped (their numbers from 0, in order, comma-joined)."""
-    out = repeated_lines(docs, id_col, text_col).groupBy("id", "key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("no")), lambda x: x.cast("string")), ",").alias("nos"))
+    out = repeated_lines(docs, id_col, text_col, unit).groupBy("id", "key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("no")), lambda x: x.cast("string")), ",").alias("nos"))
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col(text_col).isNull().alias("none"))
     joined = rows.alias("r").join(out.alias("o"), F.expr("r.id <=> o.id AND r.key = o.key"), "left")
     return joined.select(F.col("r.id").alias("doc_id"), F.when(F.col("none"), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("nos", F.lit("")).alias("dropped"))

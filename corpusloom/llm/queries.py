@@ -44,7 +44,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+    return line_dedup.line_report(read(spark, sf_dir, "documents"), unit="char")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

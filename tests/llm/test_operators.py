@@ -349,6 +349,22 @@ def test_line_dedup(spark):
         assert out[d] == (None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone))
 
 
+def test_line_dedup_query_counts_characters(spark, tmp_path):
+    from corpusloom.llm import queries
+
+    rng = random.Random(18)
+    pool = ["Of.", "Thing.", "UND.", "a", "b", "é", "one two", "one six", "x"] + [" ".join(rng.choice(("né", "old", "thing", "Und")) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    for line in list(pool):
+        k = rng.randrange(len(line))
+        pool += [line[:k] + line[k + 1 :], line[:k] + "q" + line[k:], line[:k] + "q" + line[k + 1 :], "zz " + line]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(50)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(d, no, " ".join(lower(x).split())) for d, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if x.strip()]
+    want = {(d, no) for i, (d, no, x) in enumerate(lines) if any(within(x, y) for _, _, y in lines[:i])}
+    got = {(r["doc_id"], int(no)) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect() if r["dropped"] for no in r["dropped"].split(",")}
+    assert got == want and 0 < len(want) < len(lines)
+
+
 def test_sentencepiece(docs, rows):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
