@@ -376,7 +376,7 @@ CASE WHEN bad = 0 AND NOT hidden AND quote = '' AND c IN (')',']','}') AND right
 FROM (SELECT *, substr(x, i + 1, 1) AS c FROM s) WHERE i < length(x))
 SELECT page_id, bad = 0 AND stack = '' AND quote = '' AS balanced FROM s WHERE i = length(x)""")
 def balanced_symbols(t):
-    return t.pages.select("page_id", X.balance(F.substring("html", 1, 300))["balanced"].alias("balanced"))
+    return t.pages.select("page_id", X.balance(F.col("html"))["balanced"].alias("balanced"))
 
 
 @query("f30_f31_answers", "WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS x FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, CASE WHEN contains(lower(x), 'not malicious') OR contains(lower(x), 'is benign') THEN 'benign' WHEN contains(lower(x), 'malicious') THEN 'malicious' WHEN contains(lower(x), 'benign') THEN 'benign' ELSE regexp_extract(x, '^(\\S*)', 1) END AS answer FROM c")

@@ -250,3 +250,28 @@ def test_assigned_columns_fit_where_they_can(spark):
     rows = QUERIES["f11_f12_c13_assigned_columns"](spark, DATA).collect()
     assert rows and all((r["db"] == "shop") == (r["table_name"] in ("part", "orders")) for r in rows)
     assert all(r["column_type"] == "int" or r["column_type"] == "double" for r in rows if r["db"] == "shop" and r["table_id"] == 1)
+
+
+def balanced(text):
+    stack, quote, hidden = [], "", False
+    for c in text:
+        if not hidden:
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "'\"`":
+                quote = c
+            elif c in "([{":
+                stack.append(c)
+            elif c in ")]}" and (not stack or stack.pop() != {")": "(", "]": "[", "}": "{"}[c]):
+                return False
+        hidden = c == "\\"
+    return not stack and not quote
+
+
+def test_balanced_symbols_reads_whole_pages(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    pages = ["x" * 400, "x" * 400 + ")", "(" + "x" * 400 + ")", "x" * 299 + "'a'", "x" * 350 + "[(])", "(" * 10, "a" * 500 + "\\(", "x" * 400 + "'"]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["balanced"] for r in QUERIES["f17_balanced_symbols"](spark, str(tmp_path)).collect()}
+    assert got == {i: balanced(h) for i, h in enumerate(pages)}
