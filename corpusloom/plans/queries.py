@@ -226,7 +226,7 @@ def stratified_quota(t):
 
 @query("c10_token_selection", f"WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id < 100), k AS (SELECT vec_id, pos FROM x ORDER BY {U(SEED, 'vec_id || chr(58) || pos')}, vec_id, pos LIMIT (SELECT floor(count(*) * 0.3)::BIGINT FROM x)) SELECT e.vec_id, count(k.pos) AS kept FROM embeddings e LEFT JOIN k USING (vec_id) WHERE e.vec_id < 100 GROUP BY 1")
 def token_selection(t):
-    rows = t.embeddings.where("vec_id < 100").select("vec_id", F.transform("embedding", lambda x, i: i).alias("labels"))
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda x, i: i).alias("labels"))
     out = sampling.token_selection(rows, "labels", "vec_id", 0.3, SEED)
     return out.select("vec_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("kept"))
 

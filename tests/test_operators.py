@@ -275,3 +275,16 @@ def test_balanced_symbols_reads_whole_pages(spark, tmp_path):
     spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["balanced"] for r in QUERIES["f17_balanced_symbols"](spark, str(tmp_path)).collect()}
     assert got == {i: balanced(h) for i, h in enumerate(pages)}
+
+
+def test_token_selection_takes_all_vectors(spark, tmp_path):
+    from corpusloom.functions import hashing
+    from corpusloom.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, [0.5] * 8) for i in range(150)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spots = spark.range(150).selectExpr("id AS v", "explode(sequence(0, 7)) AS pos").select("v", "pos", hashing.uniform(42, F.col("v"), F.col("pos")).alias("u")).collect()
+    want = dict.fromkeys(range(150), 0)
+    for r in sorted(spots, key=lambda r: (r["u"], r["v"], r["pos"]))[: 150 * 8 * 3 // 10]:
+        want[r["v"]] += 1
+    got = {r["vec_id"]: r["kept"] for r in QUERIES["c10_token_selection"](spark, str(tmp_path)).collect()}
+    assert got == want
