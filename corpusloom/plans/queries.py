@@ -504,7 +504,7 @@ def contextual_sentence(t):
 
 @query("f22_cleaned_output", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1], '') AS line FROM documents WHERE NOT contains(text, '```')")
 def cleaned_output(t):
-    return t.documents.where(~F.col("text").contains("```")).select("doc_id", X.cleaned_output(F.col("text"), ("Output:", "Answer:")).alias("line"))
+    return t.documents.select("doc_id", X.cleaned_output(F.col("text"), ("Output:", "Answer:")).alias("line"))
 
 
 @query("f23_f24_f25_f27_rejections", f"WITH {TPL} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'empty' WHEN doc_id % 7 = 1 THEN 'placeholder' WHEN doc_id % 5 <> 0 THEN 'paren' END AS code FROM tpl")

@@ -288,3 +288,12 @@ def test_token_selection_takes_all_vectors(spark, tmp_path):
         want[r["v"]] += 1
     got = {r["vec_id"]: r["kept"] for r in QUERIES["c10_token_selection"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_cleaned_output_keeps_texts_with_fences(spark, tmp_path):
+    from corpusloom.plans.registry import QUERIES
+
+    rows = [(0, "plain\nmore"), (1, "```sql\n\n hello\nthere```"), (2, "```")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["line"] for r in QUERIES["f22_cleaned_output"](spark, str(tmp_path)).collect()}
+    assert got == {0: "plain", 1: "hello", 2: ""}
