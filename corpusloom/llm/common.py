@@ -119,33 +119,138 @@ def ragged_take(values: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tu
     return values[at], begin
 
 
-class ListCache:
-    """Short lists of 32-bit integers by string, in two generations of ``most`` at most.
-
-    When the young one is full it becomes the old one, whose words come back when they are asked for:
-    frequent words stay, and memory stays bounded.
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row and where each text begins; a null text is empty."""
+    texts = pc.fill_null(texts, "")
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]] if len(texts) else np.zeros(0, dtype=np.uint8)
+    return data, at - at[0]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and after-last byte of each word between separators, and where each text begins in the list of words."""
+    inside = np.ones(256, dtype=bool)
+    inside[list(separators)] = False
+    inside = inside[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = at[:-1] < at[1:]
+    first[at[:-1][full]] = inside[at[:-1][full]]
+    last[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, at)
+
+
+class WordTable:
+    """Lists of 32-bit integers by word, each word told by its bytes; it lives as long as the Python worker.
+
+    Words of up to 8 * WIDTH bytes stand as 64-bit numbers in a hash table that is searched for many words
+    at once; longer ones in a dictionary. A table that holds ``most`` words is emptied before the next
+    block, so memory stays bounded; it is a cache, and every result is the same without it.
     """
 
-    def __init__(self, make, most: int = 60_000):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+    WIDTH, BLOCK = 4, 1 << 17
+    MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+
+    def __init__(self, make, most: int = 1 << 21):
+        #: ``make`` takes distinct words (bytes) and gives the list of each as bytes of 32-bit integers.
+        self.make, self.most, self.bits = make, most, (2 * most - 1).bit_length()
+        self.forget()
 
     def forget(self) -> None:
-        self.young, self.old = {}, {}
-
-    def lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Values and starts of the words' lists, in order. ``make`` gives the lists of new words as bytes."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
-        new = [w for w, x in zip(words, found) if x is None]
-        made = dict(zip(new, self.make(new), strict=True)) if new else {}
-        found = [made[w] if x is None else x for w, x in zip(words, found)]
-        room = max(0, self.most + 1 - len(young))
-        young.update(zip(words[:room], found[:room]))
-        starts = np.zeros(len(found) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4, out=starts[1:])
-        return np.frombuffer(b"".join(found), dtype=np.int32), starts
+        self.slot = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.keys = np.zeros((1024, self.WIDTH), dtype=np.uint64)
+        self.size = np.zeros(1024, dtype=np.int32)
+        self.starts = np.zeros(1025, dtype=np.int64)
+        self.values = np.zeros(4096, dtype=np.int32)
+        self.n, self.long = 0, {}
+
+    def packed(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The first bytes of each word as numbers; data has 8 * WIDTH spare bytes at its end."""
+        eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        out = np.zeros((len(starts), self.WIDTH), dtype=np.uint64)
+        rows = np.arange(len(starts))
+        for k in range(self.WIDTH):
+            if k:
+                rows = rows[lens[rows] > 8 * k]
+            out[rows, k] = eight[starts[rows] + 8 * k] & self.MASKS[np.minimum(lens[rows] - 8 * k, 8)]
+        return out
+
+    def home(self, keys: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        h = lens.astype(np.uint64)
+        for k in range(self.WIDTH):
+            h = (h ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for unknown ones."""
+        out, live, at = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), self.home(keys, lens)
+        while len(live):
+            seen = self.slot[at]
+            some = seen >= 0
+            live, at, seen = live[some], at[some], seen[some]
+            same = (self.size[seen] == lens[live]) & (self.keys[seen] == keys[live]).all(axis=1)
+            out[live[same]] = seen[same]
+            live, at = live[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, words: list[bytes]) -> None:
+        """Put in distinct unknown words."""
+        made, m = self.make(words), len(words)
+        to = self.n + m
+        while to > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) - 1, dtype=np.int64)])
+        ends = self.starts[self.n] + np.cumsum(np.fromiter(map(len, made), dtype=np.int64, count=m) // 4)
+        while ends[-1] > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[self.starts[self.n] : ends[-1]] = np.frombuffer(b"".join(made), dtype=np.int32)
+        self.starts[self.n + 1 : to + 1] = ends
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=m)
+        self.size[self.n : to] = lens
+        at = np.cumsum(lens) - lens
+        self.keys[self.n : to] = self.packed(np.frombuffer(b"".join(words) + bytes(8 * self.WIDTH), dtype=np.uint8), at, lens)
+        number = np.arange(self.n, to)
+        for i in np.flatnonzero(lens > 8 * self.WIDTH).tolist():
+            self.long[words[i]] = self.n + i
+        number = number[lens <= 8 * self.WIDTH]
+        spot = self.home(self.keys[number], self.size[number])
+        while len(number):
+            free = self.slot[spot] < 0
+            self.slot[spot[free]] = number[free]
+            left = self.slot[spot] != number
+            number, spot = number[left], (spot[left] + 1) & ((1 << self.bits) - 1)
+        self.n = to
+
+    def lists(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of the words data[starts:ends], one after the other, and how long each is."""
+        data = np.concatenate([data, np.zeros(8 * self.WIDTH, dtype=np.uint8)])
+        values, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(starts), self.BLOCK):
+            if self.n >= self.most:
+                self.forget()
+            a, b = starts[at : at + self.BLOCK], ends[at : at + self.BLOCK]
+            lens = b - a
+            keys = self.packed(data, a, lens)
+            code = self.find(keys, lens)
+            if self.long:
+                for i in np.flatnonzero(lens > 8 * self.WIDTH).tolist():
+                    code[i] = self.long.get(data[a[i] : b[i]].tobytes(), -1)
+            miss = np.flatnonzero(code < 0)
+            if len(miss):
+                low = int(a[miss[0]])
+                view = data[low : int(b[miss[-1]])].tobytes()
+                words = [view[x:y] for x, y in zip((a[miss] - low).tolist(), (b[miss] - low).tolist())]
+                new: dict[bytes, int] = {}
+                code[miss] = [new.setdefault(w, self.n + len(new)) for w in words]
+                self.add(list(new))
+            taken, begin = ragged_take(self.values, self.starts, code)
+            values.append(taken)
+            sizes.append(np.diff(begin))
+        return np.concatenate(values), np.concatenate(sizes)
 
 
 #: Rows of one Arrow batch at most: two tasks of an executor hold a batch on both sides of the pipe each.

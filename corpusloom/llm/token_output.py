@@ -2,8 +2,8 @@
 
 Rows are dealt by ranges of the document id and sorted, so files and pages hold narrow id ranges: a
 reader of some documents skips the pages of all others by the column index, and a reader of counts never
-touches the ids. Documents are encoded word by word with a bounded cache, since the tokenizer's own
-pre-split never joins what a space or newline separates.
+touches the ids. Documents are encoded word by word with a bounded table of known words, since the
+tokenizer's own pre-split never joins what a space or newline separates.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ListCache, bounded_batches, give_back, new_path, on_arrow, ragged_take, slices, word_codes
+from .common import WordTable, bounded_batches, give_back, new_path, on_arrow, slices, text_bytes, word_spans
 
+#: The tokenizer's own pre-split never joins what these separate.
+SEPARATORS = b" \n"
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
 #: Ids are few against their number: a dictionary; counters grow slowly: deltas (Parquet's version 2 writes them where no dictionary is).
 WRITER = {
@@ -37,25 +39,33 @@ WRITER = {
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens added."""
 
+    JOINED = 500
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = ListCache(self.encode_words)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 20_000):
-            out += [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+        self.words = WordTable(self.encode_words)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Many words are one text with a newline between them; the places of the tokens tell the words apart."""
+        out, step = [], self.JOINED
+        parts = [[w.decode() for w in words[at : at + step]] for at in range(0, len(words), step)]
+        for part, found in zip(parts, self.tokenizer.encode_batch(["\n".join(p) for p in parts], add_special_tokens=False)):
+            ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            spots = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
+            cuts = (4 * np.searchsorted(spots, ends)).tolist()
+            ids = array("i", found.ids).tobytes()
+            out += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
         return out
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin; end_id follows each text."""
-        codes, starts, words = word_codes(texts)
-        values, begins = self.cache.lists(words)
-        ids, at = ragged_take(values, begins, codes)
-        at = at[starts]
+        data, begin = text_bytes(texts)
+        first, after, words_at = word_spans(data, begin, SEPARATORS)
+        ids, sizes = self.words.lists(data, first, after)
+        at = np.concatenate([[0], np.cumsum(sizes)])[words_at]
         if end_id is not None:
             n = len(texts)
             ids = np.insert(ids, at[1:], end_id)
@@ -96,7 +106,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None =
                 start += int(at[-1])
                 done += len(n)
             give_back()
-        enc.cache.forget()
 
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
