@@ -36,5 +36,5 @@ def random_scalars(seed: int | str, *key: Column) -> dict[str, Column]:
         "hex": F.concat(F.lit("0x"), F.lower(F.hex(whole("hex", 65536).cast("long")))),
         "int": whole("int", 101).cast("string"),
         "float": F.format_string("%.2f", F.round(u("float") * 10, 2)),
-        "char": F.chr(97 + whole("char", 26).cast("int")),
+        "character": F.chr(97 + whole("char", 26).cast("int")),
     }

@@ -6,6 +6,8 @@ against.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ UNION = r"\b(UNION|ORDER\s+BY\s+\d|GROUP\s+BY\s+\d)"
 ERRORS = r"(CAST|CONVERT|SQRT|LOG\d*|MOD|EXTRACTVALUE|UPDATEXML|GTID_SUBSET|GTID_SUBTRACT)\s*\("
 EXTRACTORS = r"SUBSTR|ASCII|ORD|LENGTH"
 QUOTED_LOGIC = r"'\s+(OR|AND)\s+"
+#: No pattern fits a text without any of these: one pass tells most texts.
+HINT = r"[;(']|\bUNION|\bGROUP\s|SUBSTR|ASCII|ORD|LENGTH"
 SCOPES = ("lor", "tsr", "scr")
 TABLE_REFERENCE = r"\$(?:table_\d+|column_t\d+_\d+|sample_t\d+_\d+)\$"
 SYSTEM_REFERENCE = "$sysInfo$"
@@ -29,22 +33,61 @@ TYPE_NAMES = {
     "text": "VARCHAR", "varchar": "VARCHAR", "char": "VARCHAR", "string": "VARCHAR", "int": "INTEGER", "integer": "INTEGER", "real": "REAL", "float": "REAL",
     "double": "DOUBLE", "number": "DECIMAL", "decimal": "DECIMAL", "bool": "BOOLEAN", "boolean": "BOOLEAN", "date": "DATE", "datetime": "DATETIME", "timestamp": "TIMESTAMP",
 }
+# What a technique is called in a sentence.
 SUBJECTS = {"tautology": "condition", "union_query": "report field", "piggy_backed": "maintenance action", "error_based": "database diagnostic", "boolean_blind": "validation result", "time_blind": "response timing check"}
-NUMERIC_TYPES = ("int", "integer", "bigint", "smallint", "tinyint", "mediumint", "float", "double", "decimal", "numeric", "real")
-TEXT_TYPES = ("char", "varchar", "text", "tinytext", "mediumtext", "longtext", "string")
-TEMPORAL_TYPES = ("date", "datetime", "timestamp", "time", "year")
+# Declared types, as whole names, by how their values are written in SQL.
+NUMERIC_TYPES = ("int", "integer", "double", "float", "real", "numeric", "decimal", "bigint", "smallint", "tinyint")
+TEXT_TYPES = ("varchar", "char", "text", "nvarchar", "nchar", "clob", "blob", "string")
+TEMPORAL_TYPES = ("date", "datetime", "timestamp", "time")
+# Expected types that a placeholder's own name tells.
+NAMED_TYPES = {"int": "integer", "float": "float", "hex": "hex", "time": "time", "date": "date", "character": "character"}
+# Expected types by context. All patterns of a rule must be in the text; @ stands for the
+# placeholder. Patterns with (?i) ignore case; rules are tried in order, ``system`` is for $sysInfo$, ``stored`` for others.
+ANY_CONTEXT = (
+    ((r"(?i)(extractvalue|updatexml)\s*\(", r"(?i)concat\s*\([^)]*@"), "integer"),
+    ((r"(?i)GTID_(SUBSET|SUBTRACT)\s*\(\s*\(?@",), "integer"),
+    ((r"(?i)(SUBSTR|SUBSTRING|LEFT|RIGHT|MID)\s*\(\s*\(?@",), "string"),
+    ((r"(?i)ASCII\s*\(\s*(SUBSTR|SUBSTRING|LEFT|RIGHT|MID)?\s*\(?@",), "string"),
+    ((r"(?i)LENGTH\s*\(\s*@",), "string"),
+    ((r"(?i)@\s*\)?\s*LIKE",), "string"),
+    ((r"(?i)@\s*\)?\s*REGEXP",), "string"),
+)
+TECHNIQUE_CONTEXTS = (
+    (("error",), (
+        ((r"(?i)CAST\s*\(\s*\(?@",), "string"),
+        ((r"(?i)CONVERT\s*\(\s*\(?@",), "string"),
+        ((r"(?i)(SQRT|LOG|LOG2|LOG10|LN|MOD|EXP|POW|POWER)\s*\(\s*\(?@",), "string"),
+        ((r"@\s*\)?\s*[><=!]+\s*\$int\$",), "string"),
+        ((r"@\s*\)?\s*[><=!]+\s*\d+",), "string"),
+        ((r"(?i)GTID_(SUBSET|SUBTRACT)",), "integer"),
+        ((r"(?i)(TO_DAYS|FROM_DAYS|YEAR|MONTH|DAY|HOUR|MINUTE|SECOND|WEEKDAY|DAYOFWEEK)\s*\(\s*\(?@",), "integer"),
+        ((r"(?i)(DATE|TIME)\s*\(\s*\(?@",), "string"),
+        ((r"(?i)(extractvalue|updatexml)",), "integer"),
+    ), "string"),
+    (("tautolog",), (
+        ((r"@\s*\)?\s*[><=]+\s*\d+",), {"system": "integer", "stored": "number"}),
+        ((r"@\s*\)?\s*[><=]+\s*\$int\$",), {"system": "integer", "stored": "number"}),
+        ((r"(?i)@\s*\)?\s*BETWEEN",), {"system": "integer", "stored": "number"}),
+    ), "all"),
+    (("inference", "boolean", "time"), (
+        ((r"@\s*\)?\s*[><=!]+\s*(\d+|\$int\$)",), {"system": "integer"}),
+        ((r"(?i)IF\s*\(\s*\(?@",), {"system": "integer"}),
+    ), "string"),
+    (("union", "piggy"), (), "all"),
+)
 
 
 def technique(text: Column) -> Column:
     """The first technique whose pattern the text has; ``unknown`` for none."""
-    up = F.upper(text)
+    has = lambda pattern: text.rlike(f"(?i){pattern}")
     return (
-        F.when(up.rlike(STACKED), "piggy_backed")
-        .when(up.rlike(TIMING), "time_blind")
-        .when(up.rlike(UNION), "union_query")
-        .when(up.rlike(ERRORS), "error_based")
-        .when(up.contains("AND") & up.rlike(EXTRACTORS), "boolean_blind")
-        .when(up.rlike(QUOTED_LOGIC), "tautology")
+        F.when(~has(HINT), UNKNOWN)
+        .when(has(STACKED), "piggy_backed")
+        .when(has(TIMING), "time_blind")
+        .when(has(UNION), "union_query")
+        .when(has(ERRORS), "error_based")
+        .when(has("AND") & has(EXTRACTORS), "boolean_blind")
+        .when(has(QUOTED_LOGIC), "tautology")
         .otherwise(UNKNOWN)
     )
 
@@ -122,15 +165,15 @@ def filled(text: Column, values: Column) -> Column:
 
 
 def sql_literal(value: Column, kind: Column) -> Column:
-    """A value as SQL text by its declared type (exact names): numbers bare, temporal and text quoted, null NULL.
+    """A value as SQL text by its declared type (exact names): numbers bare, temporal and text quoted, null and ``NULL`` as NULL.
 
-    A value that reads as a number is bare unless its type is text.
+    A value of other types that has nothing but digits, points and hyphens is bare too.
     """
     low = F.lower(kind)
     quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
-    looks = value.rlike(r"^-?\d+(\.\d+)?$")
+    looks = F.translate(value, ".-", "").rlike(r"^\d+$")
     return (
-        F.when(value.isNull(), "NULL")
+        F.when(value.isNull() | (value == "NULL"), "NULL")
         .when(low.isin(*NUMERIC_TYPES), value)
         .when(low.isin(*TEMPORAL_TYPES), F.concat(F.lit("'"), value, F.lit("'")))
         .when(looks & ~F.coalesce(low.isin(*TEXT_TYPES), F.lit(False)), value)
@@ -257,15 +300,36 @@ def type_list(text: Column, n: Column) -> Column:
     return F.slice(F.concat(found, F.array_repeat(F.lit("all"), n)), F.lit(1), n)
 
 
-def guessed_type(kind: Column, before: Column) -> Column:
-    """Expected type of a placeholder from its kind and the text before it."""
-    up = F.upper(before)
-    fixed = F.when(kind.isin("int", "integer"), "integer").when(kind == "float", "float").when(kind == "hex", "hex").when(kind == "time", "time").when(kind == "date", "date").when(kind == "char", "character").when(kind == "table", "table")
-    return F.coalesce(
-        fixed,
-        F.when(up.rlike(r"(SUBSTR|SUBSTRING|ASCII|ORD|LENGTH|CONCAT|LIKE)\s*\(?\s*$"), "string").when(up.rlike(r"(SQRT|LOG\d*|MOD|SUM|AVG|ABS)\s*\(\s*$"), "number").when(up.rlike(r"[<>+*/-]\s*$"), "number"),
-        F.lit("all"),
-    )
+def guessed_type(text: Column, name: Column, technique_: Column) -> Column:
+    """Expected type of the placeholder ``$name$`` in a text: by its name, else by what stands around it and the technique.
+
+    What stands around any of its occurrences counts for all of them.
+    """
+    mark = F.concat(F.lit("\\$"), name, F.lit("\\$"))
+
+    def told(rules, default: str | None) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for patterns, kinds in rules:
+            fits = F.lit(True)
+            for p in patterns:
+                before, *after = p.split("@")
+                fits = fits & (F.rlike(text, F.concat(F.lit(before), mark, F.lit(after[0]))) if after else text.rlike(p))
+            for who, kind in (kinds.items() if isinstance(kinds, dict) else (("any", kinds),)):
+                system = name.contains("sysInfo")
+                out = out.when(fits & {"any": F.lit(True), "system": system, "stored": ~system}[who], kind)
+        return out.otherwise(default)
+
+    low, by_technique = F.lower(F.coalesce(technique_, F.lit(""))), F.when(F.lit(False), F.lit(None).cast("string"))
+    for parts, rules, default in TECHNIQUE_CONTEXTS:
+        named = F.lit(False)
+        for part in parts:
+            named = named | low.contains(part)
+        by_technique = by_technique.when(named, told(rules, default))
+    out = F.when(name.rlike(r"^table(_\d+)?$"), "table")
+    for own, kind in NAMED_TYPES.items():
+        out = out.when(name == own, kind)
+    context = (name == "sysInfo") | name.rlike(r"^(column|sample)_t\d+_\d+$") | (name == "sample")
+    return out.when(context, F.coalesce(told(ANY_CONTEXT, None), by_technique, F.lit("all"))).otherwise("all")
 
 
 def answer(text: Column) -> Column:
@@ -313,9 +377,27 @@ def byte_size(text: Column) -> Column:
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:
-    """A template with ``{{ name }}`` exchanged for columns; null values are empty."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.regexp_replace(out, rf"\{{\{{\s*{name}\s*\}}\}}", F.lit("\u0001"))
-        out = F.replace(out, F.lit("\u0001"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """A template with ``{{ name }}`` exchanged for columns, whose own braces stay; null values are empty, unknown names stay."""
+    parts = re.split(r"(\{\{\s*\w+\s*\}\})", template)
+    name = lambda p: p.strip("{} \t\n")
+    put = lambda k, p: F.coalesce(values[name(p)].cast("string"), F.lit("")) if k % 2 and name(p) in values else F.lit(p)
+    return F.concat(*[put(k, p) for k, p in enumerate(parts)])
+
+
+#: What to vary in a text of each technique.
+GUIDANCE = {
+    "tautology": "Vary the comparison that always holds, its operands and its operators.",
+    "union_query": "Vary the columns asked for, their number and how the second query is joined on.",
+    "piggy_backed": "Vary the statement that follows and what separates it.",
+    "error_based": "Vary the function that is made to fail and its arguments.",
+    "boolean_blind": "Vary the condition that is asked and the part of the value that it looks at.",
+    "time_blind": "Vary what delays the answer and the condition it hangs on.",
+}
+
+
+def guidance(technique_: Column, texts: dict[str, str] = GUIDANCE, default: str = "tautology") -> Column:
+    """The guidance of a technique; of the default one for any other, unknown or null."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, text in texts.items():
+        out = out.when(technique_ == name, text)
+    return out.otherwise(texts[default])

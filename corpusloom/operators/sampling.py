@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniform
 
 
+#: Ranges of draws that rows are numbered in; each has a row of its own in a small table.
+RANGES = 4096
+
+
 def draw(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.withColumn("u", uniform(seed, *[F.col(k) for k in key]))
 
@@ -42,11 +46,11 @@ def with_replacement(df: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
     if not n:
         raise ValueError("no rows to draw from")
     spark = df.sparkSession
-    counts = df.withColumn("__part", F.spark_partition_id())
-    ranked = counts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*key)))
-    sizes = ranked.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    numbered = ranked.join(F.broadcast(before), "__part").withColumn("__pick", F.col("base") + F.col("__at") - 1).drop("__part", "__at", "base")
+    # rows are numbered in order of their draws, within ranges of them: the same numbers in any partitioning
+    ranked = draw(df, seed, *key).withColumn("__range", F.floor(F.col("u") * RANGES)).withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy("u", *key)))
+    sizes = ranked.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = ranked.join(F.broadcast(before), "__range").withColumn("__pick", F.col("base") + F.col("__at") - 1).drop("__range", "__at", "base", "u")
     slots = spark.range(k).select(F.col("id").alias("slot"), F.floor(uniform(seed, F.col("id")) * n).alias("__pick"))
     return slots.join(numbered, "__pick").drop("__pick")
 

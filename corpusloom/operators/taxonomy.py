@@ -32,10 +32,31 @@ def cluster_key(label: Column, *axes: Column) -> Column:
     return F.when(label, BENIGN).otherwise(F.concat_ws("||", *axes))
 
 
+def known_category(technique: Column, scope: Column) -> Column:
+    """Whether a technique and scope are declared and not pruned."""
+    pruned = F.lit(False)
+    for t, s in PRUNED:
+        pruned = pruned | ((technique == t) & (scope == s))
+    return F.coalesce(technique.isin(*TECHNIQUES) & scope.isin(*SCOPES) & ~pruned, F.lit(False))
+
+
+def key_violation(key: Column, parts: int) -> Column:
+    """Why a key of two (category) or three (cluster) parts is none; null for a valid one."""
+    x = F.split(key, r"\|\|", -1)
+    out = F.when(key.isNull() | (F.size(x) != parts), "parts").when(~known_category(F.get(x, 0), F.get(x, 1)), "category")
+    return out.when(~F.get(x, 2).isin(*STATES), "comment_state") if parts == 3 else out
+
+
+def parsed_category(key: Column) -> Column:
+    """Struct (technique, reference_scope) of a valid two-part key, else null."""
+    x = F.split(key, r"\|\|", -1)
+    return F.when(key_violation(key, 2).isNull(), F.struct(F.get(x, 0).alias("technique"), F.get(x, 1).alias("reference_scope")))
+
+
 def parsed_key(key: Column) -> Column:
-    """Struct (technique, reference_scope, comment_state) of a key; null unless it has three parts."""
-    parts = F.split(key, r"\|\|", -1)
-    return F.when(F.size(parts) == 3, F.struct(parts[0].alias("technique"), parts[1].alias("reference_scope"), parts[2].alias("comment_state")))
+    """Struct (technique, reference_scope, comment_state) of a valid three-part key, else null."""
+    x = F.split(key, r"\|\|", -1)
+    return F.when(key_violation(key, 3).isNull(), F.struct(F.get(x, 0).alias("technique"), F.get(x, 1).alias("reference_scope"), F.get(x, 2).alias("comment_state")))
 
 
 def without_benign(df: DataFrame, key: str = "cluster") -> DataFrame:

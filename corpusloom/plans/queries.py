@@ -123,10 +123,12 @@ def wall_times(t):
     return telemetry.wall_times(pairs(t), "round", "stage", "started", "completed").select("round", F.size("stages").cast("long").alias("n"), F.round(F.aggregate(F.map_values("stages"), F.lit(0.0), lambda a, x: a + x), 3).alias("seconds"))
 
 
-@query("j7_a14_t3_resource_slices", f"WITH {PAIRS}, x AS (SELECT stage, value FROM pairs JOIN events ON ts BETWEEN started AND completed UNION ALL SELECT '__all__', value FROM events) SELECT stage, count(*) AS n, round(avg(value), 6) AS value_mean, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.95), 6) AS value_p95, max(value) AS value_max FROM x GROUP BY stage")
+@query("j7_a14_t3_resource_slices", f"""WITH {PAIRS}, x AS (SELECT stage, value, user_id, event_id, ts FROM pairs JOIN events ON ts BETWEEN started AND completed UNION ALL SELECT '__all__', value, user_id, event_id, ts FROM events),
+e AS (SELECT stage, (value + lag(value) OVER w) / 2 * ((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6) AS e FROM x WINDOW w AS (PARTITION BY stage, user_id ORDER BY ts, event_id)), wh AS (SELECT stage, round(coalesce(sum(e), 0) / 3600, 3) AS energy_wh FROM e GROUP BY stage)
+SELECT stage, count(*) AS n, round(avg(value), 6) AS value_mean, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.95), 6) AS value_p95, max(value) AS value_max, max(event_id) AS peak, any_value(energy_wh) AS energy_wh FROM x JOIN wh USING (stage) GROUP BY stage""")
 def resource_slices(t):
-    out = telemetry.resource_slices(t.events.select("ts", "value"), pairs(t), "stage", ["value"], "ts", "started", "completed")
-    return out.withColumns({c: rounded(c, 6) for c in ("value_mean", "value_p50", "value_p95")})
+    out = telemetry.resource_slices(t.events.select("ts", "value", "user_id", "event_id"), pairs(t), "stage", ["value"], "ts", "started", "completed", device="user_id", power="value", order="event_id", peak="event_id")
+    return out.withColumns({c: rounded(c, 6) for c in ("value_mean", "value_p50", "value_p95")}).withColumn("energy_wh", rounded("energy_wh", 3))
 
 
 def U(seed: int, key: str) -> str:
@@ -194,9 +196,9 @@ def uniform_sample(t):
     return sampling.uniform_sample(t.documents.select("doc_id"), 100, SEED, "doc_id").select("doc_id")
 
 
-@query("c4_with_replacement", f"WITH n AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) SELECT slot, r_regionkey::BIGINT AS region FROM (SELECT s AS slot, floor({U(SEED, 's')} * (SELECT count(*) FROM region))::BIGINT AS i FROM range(20) t(s)) JOIN n USING (i)")
+@query("c4_with_replacement", f"WITH n AS (SELECT r_regionkey, row_number() OVER (ORDER BY {U(SEED, 'r_regionkey')}, r_regionkey) - 1 AS i FROM region) SELECT slot, r_regionkey::BIGINT AS region FROM (SELECT s AS slot, floor({U(SEED, 's')} * (SELECT count(*) FROM region))::BIGINT AS i FROM range(20) t(s)) JOIN n USING (i)")
 def with_replacement(t):
-    return sampling.with_replacement(t.region.coalesce(1), 20, SEED, "r_regionkey").select("slot", F.col("r_regionkey").cast("long").alias("region"))
+    return sampling.with_replacement(t.region, 20, SEED, "r_regionkey").select("slot", F.col("r_regionkey").cast("long").alias("region"))
 
 
 @query("c5_mixed_sources", f"WITH u AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {U(SEED, 'doc_id')}, doc_id) AS k FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')) SELECT doc_id, source FROM u WHERE k <= CASE source WHEN 'src0' THEN 18 WHEN 'src1' THEN 6 WHEN 'src2' THEN 7 ELSE 6 END")
@@ -224,7 +226,7 @@ def stratified_quota(t):
     return sampling.per_group(t.documents.select("doc_id", "lang"), "lang", 20, SEED, "doc_id").select("doc_id", "lang")
 
 
-@query("c10_token_selection", f"WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id < 100), k AS (SELECT vec_id, pos FROM x ORDER BY {U(SEED, 'vec_id || chr(58) || pos')}, vec_id, pos LIMIT (SELECT floor(count(*) * 0.3)::BIGINT FROM x)) SELECT e.vec_id, count(k.pos) AS kept FROM embeddings e LEFT JOIN k USING (vec_id) WHERE e.vec_id < 100 GROUP BY 1")
+@query("c10_token_selection", f"WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS pos FROM embeddings), k AS (SELECT vec_id, pos FROM x ORDER BY {U(SEED, 'vec_id || chr(58) || pos')}, vec_id, pos LIMIT (SELECT floor(count(*) * 0.3)::BIGINT FROM x)) SELECT e.vec_id, count(k.pos) AS kept FROM embeddings e LEFT JOIN k USING (vec_id) GROUP BY 1")
 def token_selection(t):
     rows = t.embeddings.select("vec_id", F.transform("embedding", lambda x, i: i).alias("labels"))
     out = sampling.token_selection(rows, "labels", "vec_id", 0.3, SEED)
@@ -306,11 +308,10 @@ def fingerprint_dedup(t):
     return memory.first_of_each(t.documents.select("doc_id", "text"), "text", "doc_id").select("fingerprint", "doc_id", "copies")
 
 
-@query("j8_l8_new_documents", f"WITH b AS (SELECT {FP} AS f FROM benchmark UNION SELECT {FP} FROM documents WHERE doc_id % 5 = 0) SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND {FP} NOT IN (SELECT f FROM b)")
+@query("j8_l8_new_documents", f"SELECT doc_id FROM documents WHERE {FP} NOT IN (SELECT {FP} FROM benchmark UNION SELECT {FP} FROM (SELECT html AS text FROM pages) UNION SELECT {FP} FROM conversations)")
 def new_documents(t):
-    docs = t.documents.select("doc_id", "text")
-    known = memory.known_fingerprints(t.benchmark, docs.where("doc_id % 5 = 0"), text="text")
-    return memory.new_rows(docs.where("doc_id % 5 <> 0"), known, "text").select("doc_id")
+    known = memory.known_fingerprints(t.benchmark, t.pages.select(F.col("html").alias("text")), t.conversations, text="text")
+    return memory.new_rows(t.documents.select("doc_id", "text"), known, "text").select("doc_id")
 
 
 @query("u4_fingerprint_union", f"SELECT count(*) AS n FROM (SELECT {FP} FROM benchmark UNION SELECT {FP} FROM documents)")
@@ -369,12 +370,12 @@ def text_predicates(t):
     return t.documents.select("doc_id", X.parens_even(x).alias("even"), X.single_line_safe(x).alias("safe"), X.has_comment_marker(x).alias("marked"))
 
 
-@query("f17_balanced_symbols", """WITH RECURSIVE s AS (SELECT page_id, substr(html, 1, 300) AS x, 0 AS i, '' AS stack, '' AS quote, FALSE AS hidden, 0 AS bad FROM pages UNION ALL
-SELECT page_id, x, i + 1, CASE WHEN NOT hidden AND quote = '' AND c IN ('(','[','{') THEN stack || c WHEN NOT hidden AND quote = '' AND c IN (')',']','}') AND right(stack, 1) = translate(c, ')]}', '([{') THEN left(stack, length(stack) - 1) ELSE stack END,
+@query("f17_balanced_symbols", """WITH RECURSIVE s AS (SELECT page_id, 0 AS i, '' AS stack, '' AS quote, FALSE AS hidden, 0 AS bad FROM pages UNION ALL
+SELECT page_id, i + 1, CASE WHEN NOT hidden AND quote = '' AND c IN ('(','[','{') THEN stack || c WHEN NOT hidden AND quote = '' AND c IN (')',']','}') AND right(stack, 1) = translate(c, ')]}', '([{') THEN left(stack, length(stack) - 1) ELSE stack END,
 CASE WHEN NOT hidden AND c IN ('''', '"', '`') AND quote = '' THEN c WHEN NOT hidden AND c = quote THEN '' ELSE quote END, c = '\\',
 CASE WHEN bad = 0 AND NOT hidden AND quote = '' AND c IN (')',']','}') AND right(stack, 1) <> translate(c, ')]}', '([{') THEN i + 1 ELSE bad END
-FROM (SELECT *, substr(x, i + 1, 1) AS c FROM s) WHERE i < length(x))
-SELECT page_id, bad = 0 AND stack = '' AND quote = '' AS balanced FROM s WHERE i = length(x)""")
+FROM (SELECT s.*, substr(html, i + 1, 1) AS c FROM s JOIN pages USING (page_id) WHERE i < length(html)))
+SELECT page_id, bad = 0 AND stack = '' AND quote = '' AS balanced FROM s JOIN pages USING (page_id) WHERE i = length(html)""")
 def balanced_symbols(t):
     return t.pages.select("page_id", X.balance(F.col("html"))["balanced"].alias("balanced"))
 
@@ -476,16 +477,66 @@ def filled_templates(t):
     return templates.filled_templates(rows, spots.select("doc_id", "pos", value.alias("value")), "doc_id", "payload").select("doc_id", "filled")
 
 
-@query("f11_f12_c13_assigned_columns")
+ASSIGNED = f"""WITH c AS (SELECT * FROM (VALUES ('shop', 'part', 'p_name', 'varchar(55)', FALSE), ('shop', 'part', 'p_size', 'int', TRUE), ('shop', 'orders', 'o_total', 'double', TRUE), ('world', 'nation', 'n_name', 'text', FALSE), ('world', 'region', 'r_key', 'bigint', TRUE), ('world', 'region', 'r_name', 'nchar(9)', FALSE)) v(db, tab, col, kind, number)),
+w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'shop' ELSE 'world' END AS db, 1 AS id, doc_id % 3 AS column_id, doc_id % 2 = 0 AS number FROM documents UNION ALL SELECT doc_id, 'world', 2, 1, FALSE FROM documents WHERE doc_id % 4 = 1),
+one AS (SELECT doc_id, arg_min(tab, {U(SEED, "doc_id || ':1:' || tab")}) AS tab FROM (SELECT DISTINCT doc_id, tab FROM w JOIN c ON c.db = w.db AND c.number = w.number WHERE id = 1) GROUP BY doc_id),
+two AS (SELECT doc_id, arg_min(tab, {U(SEED, "doc_id || ':2:' || tab")}) AS tab FROM (SELECT DISTINCT w.doc_id, c.tab FROM w JOIN c ON c.db = w.db AND NOT c.number JOIN one f ON f.doc_id = w.doc_id AND f.tab <> c.tab WHERE id = 2) GROUP BY doc_id),
+chosen AS (SELECT doc_id, 1 AS id, tab FROM one UNION ALL SELECT doc_id, 2, tab FROM two),
+each AS (SELECT doc_id, w.db, id, column_id, tab, col, kind, CASE WHEN c.number = w.number THEN 0 ELSE 10 END + {U(SEED, "doc_id || ':' || id || ':' || column_id || ':' || col")} AS u FROM w JOIN chosen USING (doc_id, id) JOIN c USING (tab))
+SELECT doc_id, db, id::BIGINT AS table_id, column_id::BIGINT AS column_id, tab AS table_name, arg_min(col, u) AS column_name, arg_min(kind, u) AS column_type FROM each GROUP BY ALL"""
+
+
+@query("f11_f12_c13_assigned_columns", ASSIGNED)
 def assigned_columns(t):
-    """Templates' columns against the columns of the tables of two small databases; checked in tests by its invariants."""
+    """Templates' columns against the columns of the tables of two small databases."""
     d = F.col("doc_id")
     typed = toy_templates(t).withColumn("types", F.array(F.lit("all"), F.when(d % 2 == 0, "number").otherwise("string"), F.lit("string")))
-    want = templates.merged_constraints(templates.spots(typed, "doc_id", "payload", "types"), "doc_id").withColumn("db", F.when(d % 2 == 0, "shop").otherwise("world"))
-    rows = [("shop", "part", "p_name", "varchar(55)"), ("shop", "part", "p_size", "int"), ("shop", "orders", "o_total", "double"), ("world", "nation", "n_name", "text"), ("world", "region", "r_key", "bigint")]
+    db = F.when(d % 2 == 0, "shop").otherwise("world")
+    spots = templates.spots(typed, "doc_id", "payload", "types")
+    want = templates.merged_constraints(spots, "doc_id").withColumn("db", db)
+    rows = [("shop", "part", "p_name", "varchar(55)"), ("shop", "part", "p_size", "int"), ("shop", "orders", "o_total", "double"), ("world", "nation", "n_name", "text"), ("world", "region", "r_key", "bigint"), ("world", "region", "r_name", "nchar(9)")]
     cols = t.spark.createDataFrame(rows, "db string, table_name string, column_name string, column_type string")
-    tables = templates.assigned_tables(want, cols, "doc_id", "db", SEED)
-    return templates.assigned_columns(want, tables, cols, "doc_id", "db", SEED)
+    tables = templates.assigned_tables(spots.where("table_id IS NOT NULL").withColumn("db", db), want, cols, "doc_id", "db", SEED)
+    return longs(templates.assigned_columns(want, tables, cols, "doc_id", "db", SEED), "table_id", "column_id")
+
+
+FIXED_TEXT = "a $int$ b $time$ $hex$ $float$ $date$ $character$ $int$"
+
+
+def scalar(kind: str, pos: int) -> str:
+    """The SQL of a random scalar at a place of a document's template."""
+    u = lambda what: U(SEED, f"'{what}:' || doc_id || ':{pos}'")
+    return {
+        "int": f"floor({u('int')} * 101)::BIGINT::VARCHAR",
+        "time": f"printf('%02d:%02d:%02d', floor({u('hour')} * 24)::BIGINT, floor({u('minute')} * 60)::BIGINT, floor({u('second')} * 60)::BIGINT)",
+        "hex": f"'0x' || lower(hex(floor({u('hex')} * 65536)::BIGINT))",
+        "float": f"printf('%.2f', round({u('float')} * 10, 2))",
+        "date": f"strftime(DATE '2000-01-01' + floor({u('date')} * 9497)::INTEGER, '%Y-%m-%d')",
+        "character": f"chr(97 + floor({u('char')} * 26)::INTEGER)",
+    }[kind]
+
+
+@query("f7_f18_fixed_values", f"SELECT doc_id, 'a ' || {scalar('int', 0)} || ' b ' || {scalar('time', 1)} || ' ' || {scalar('hex', 2)} || ' ' || {scalar('float', 3)} || ' ' || {scalar('date', 4)} || ' ' || {scalar('character', 5)} || ' ' || {scalar('int', 6)} AS filled FROM documents")
+def fixed_values(t):
+    """Scope tsr: every occurrence drawn on its own, nothing quoted."""
+    rows = t.documents.select("doc_id", F.lit(FIXED_TEXT).alias("payload"))
+    spots = templates.spots(rows, "doc_id", "payload")
+    value = templates.fixed_value(F.col("kind"), hashing.random_scalars(SEED, F.col("doc_id"), F.col("pos")), F.lit(False))
+    return templates.filled_templates(rows, spots.select("doc_id", "pos", value.alias("value")), "doc_id", "payload").select("doc_id", "filled")
+
+
+@query("f8_system_filled", f"""WITH pool AS (SELECT CASE n_nationkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' ELSE 'other' END AS kind, n_name || '()' AS v, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '12.5' WHEN 2 THEN n_name END AS s FROM nation UNION ALL SELECT 'all', n_name || '()', CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '12.5' WHEN 2 THEN n_name END FROM nation),
+n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY kind) AS c FROM pool),
+w AS (SELECT doc_id, pos, CASE WHEN doc_id % 3 = 2 THEN 'all' ELSE CASE pos WHEN 1 THEN CASE doc_id % 3 WHEN 0 THEN 'string' ELSE 'odd' END ELSE CASE doc_id % 3 WHEN 0 THEN 'integer' ELSE 'string' END END END AS kind FROM documents, (VALUES (1), (2)) p(pos)),
+d AS (SELECT doc_id, pos, coalesce(v, '1') AS v, s FROM w LEFT JOIN n ON n.kind = w.kind AND i = floor({U(SEED, "doc_id || ':' || pos")} * c)::BIGINT)
+SELECT doc_id, {scalar('int', 0)} || ' = ' || a.v || ' or ' || b.v || ' = ' || CASE WHEN coalesce(b.s, '') = '' THEN '0' WHEN b.s = '12.5' THEN b.s ELSE chr(39) || b.s || chr(39) END || ' ' || chr(39) || {scalar('time', 4)} || chr(39) || ' $odd$' AS filled FROM (SELECT * FROM d WHERE pos = 1) a JOIN (SELECT * FROM d WHERE pos = 2) b USING (doc_id)""")
+def system_filled(t):
+    d, n = F.col("doc_id"), F.col("n_nationkey")
+    types = F.when(d % 3 == 0, F.array(*map(F.lit, ("integer", "string", "integer")))).when(d % 3 == 1, F.array(*map(F.lit, ("x", "odd", "string")))).otherwise(F.array(F.lit("all")))
+    rows = t.documents.select("doc_id", F.lit("$int$ = $sysInfo$ or $sysInfo$ = $sample$ $time$ $odd$").alias("payload"), types.alias("types"))
+    sample = F.when(n % 4 == 0, "").when(n % 4 == 1, "12.5").when(n % 4 == 2, F.col("n_name"))
+    own = t.nation.select(F.when(n % 3 == 0, "string").when(n % 3 == 1, "integer").otherwise("other").alias("type"), F.concat("n_name", F.lit("()")).alias("variable"), sample.alias("sample"))
+    return templates.system_filled(rows, own.unionByName(own.withColumn("type", F.lit("all"))), "doc_id", "payload", "types", SEED).select("doc_id", "filled")
 
 
 @query("f18_random_scalars", f"SELECT doc_id, strftime(DATE '2000-01-01' + floor({U(SEED, chr(39) + 'date:' + chr(39) + ' || doc_id')} * 9497)::INTEGER, '%Y-%m-%d') AS d, floor({U(SEED, chr(39) + 'int:' + chr(39) + ' || doc_id')} * 101)::BIGINT::VARCHAR AS i FROM documents")
@@ -502,7 +553,7 @@ def contextual_sentence(t):
     return t.documents.select("doc_id", X.contextual_sentence(F.col("text"), F.lit("tautology"), STOP).alias("sentence"))
 
 
-@query("f22_cleaned_output", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1], '') AS line FROM documents WHERE NOT contains(text, '```')")
+@query("f22_cleaned_output", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(regexp_replace(text, '```\\w*', '', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')[1], '') AS line FROM documents")
 def cleaned_output(t):
     return t.documents.select("doc_id", X.cleaned_output(F.col("text"), ("Output:", "Answer:")).alias("line"))
 
@@ -520,9 +571,33 @@ def type_lists(t):
     return t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.array_join(some, ",").alias("types"), F.array_join(X.type_list(F.col("n_name"), F.lit(2)), ",").alias("none"))
 
 
-@query("f20_comment_strategy", f"SELECT doc_id, CASE WHEN {U(SEED, 'doc_id')} < 0.2 THEN 'rational' ELSE 'local' END AS strategy FROM documents")
-def comment_strategy(t):
-    return t.documents.select("doc_id", templates.comment_strategy(hashing.uniform(SEED, F.col("doc_id"))).alias("strategy"))
+SENTENCE = "'Validate the requested ' || coalesce(replace(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*'), lambda x: upper(x) NOT IN ('THE', 'OF', 'AND', 'TO'))[-1], '_', ' ') || ' operation', 'condition') || ' for the current query.'"
+
+
+def comment_sql(model: bool) -> str:
+    rational = f"CASE WHEN doc_id % 5 = 0 THEN 'fine note' ELSE {SENTENCE} END" if model else SENTENCE
+    name = "CASE doc_id % 5 WHEN 3 THEN 'rational_fallback_exception_Timeout' WHEN 0 THEN 'rational_explanation' ELSE 'rational_fallback_invalid_response' END" if model else "'rational_template_explanation'"
+    return f"""WITH pool AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'Irrelevant Text' ELSE 'Authoritative' END AS kind, r_name AS c FROM region), n AS (SELECT *, row_number() OVER (ORDER BY kind, c) - 1 AS i FROM pool)
+SELECT doc_id, CASE WHEN {U(SEED, 'doc_id')} < 0.5 THEN {rational} ELSE c END AS comment, CASE WHEN {U(SEED, 'doc_id')} < 0.5 THEN {name} ELSE CASE WHEN kind = 'Authoritative' THEN 'local_authoritative' ELSE 'local_irrelevant_text' END END AS strategy
+FROM documents JOIN n ON i = floor({U(SEED, "'comment:' || doc_id")} * (SELECT count(*) FROM pool))::BIGINT"""
+
+
+def comments(t, model: bool):
+    d = F.col("doc_id")
+    rows = t.documents.select("doc_id", "text", F.lit("tautology").alias("technique"), F.when(d % 5 == 0, " fine note ").when(d % 5 == 1, "bad -- note").alias("said"), F.when(d % 5 == 3, "Timeout").alias("error"))
+    pool = t.region.select(F.when(F.col("r_regionkey") % 2 == 0, "Irrelevant Text").otherwise("Authoritative").alias("type"), F.explode(F.array(F.concat(F.lit(" "), "r_name"), F.concat("r_name", F.lit(" # unsafe")))).alias("comment"))
+    out = templates.with_comment(rows, pool, "doc_id", "text", "technique", "said", "error", model, SEED, 0.5, STOP)
+    return out.select("doc_id", "comment", F.col("comment_strategy").alias("strategy"))
+
+
+@query("f20_model_comments", comment_sql(True))
+def model_comments(t):
+    return comments(t, True)
+
+
+@query("f20_local_comments", comment_sql(False))
+def template_comments(t):
+    return comments(t, False)
 
 
 @query("f41_routing", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN {U(SEED, 'doc_id')} < 0.3 THEN 'sql_structure' ELSE 'attack_form' END WHEN 1 THEN 'system_context' ELSE 'attack_form' END AS kind FROM documents")
@@ -570,13 +645,19 @@ def count_mismatches(t):
     return contracts.count_mismatches(a, d, "split", "n", "count")
 
 
-@query("v3_j6_a24_selection", "WITH x AS (SELECT doc_id % 50 AS p, count(*) AS n FROM labels GROUP BY 1) SELECT 'unique' AS rule, p::VARCHAR AS subject, '1' AS expected, n::VARCHAR AS observed FROM x WHERE n > 1 UNION ALL SELECT 'quota', quality::VARCHAR, '50', count(*)::VARCHAR FROM labels WHERE toxic = 1 GROUP BY quality HAVING count(*) <> 50")
+@query("v3_j6_a24_selection", """WITH r AS (SELECT l.doc_id AS o, l.doc_id % 50 AS p, toxic = 0 AS label, quality::VARCHAR AS cluster, lang AS sha FROM labels l JOIN documents USING (doc_id)), par AS (SELECT doc_id AS p, lang AS sha, doc_id % 2 = 0 AS label, (doc_id % 3)::VARCHAR AS cluster FROM documents WHERE doc_id < 40)
+SELECT 'unique' AS rule, p::VARCHAR AS subject, '1' AS expected, count(*)::VARCHAR AS observed FROM r GROUP BY p HAVING count(*) > 1
+UNION ALL SELECT 'quota', cluster, '50', count(*)::VARCHAR FROM r WHERE NOT label GROUP BY cluster HAVING count(*) <> 50
+UNION ALL SELECT 'parent_sha256', r.p::VARCHAR, r.sha, par.sha FROM r LEFT JOIN par ON par.p = r.p WHERE par.sha IS DISTINCT FROM r.sha
+UNION ALL SELECT 'parent_label', r.p::VARCHAR, r.label::VARCHAR, par.label::VARCHAR FROM r LEFT JOIN par ON par.p = r.p WHERE par.label IS DISTINCT FROM r.label
+UNION ALL SELECT 'parent_cluster', r.p::VARCHAR, r.cluster, par.cluster FROM r LEFT JOIN par ON par.p = r.p WHERE par.cluster IS DISTINCT FROM r.cluster""")
 def selection(t):
-    rows = t.labels.select(F.col("doc_id").alias("output_index"), (F.col("doc_id") % 50).alias("parent_index"), F.lit("s").alias("record_sha256"), (F.col("toxic") == 0).alias("label"), F.col("quality").cast("string").alias("cluster"))
+    """The first 40 documents are the parents of records that name 50, so some parents are missing."""
+    d = F.col("doc_id")
+    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select(d.alias("output_index"), (d % 50).alias("parent_index"), F.col("lang").alias("record_sha256"), (F.col("toxic") == 0).alias("label"), F.col("quality").cast("string").alias("cluster"))
     outputs = rows.select(F.col("output_index").alias("index"), F.col("record_sha256").alias("sha256"), "label", "cluster")
-    parents = rows.select(F.col("parent_index").alias("index"), F.col("record_sha256").alias("sha256"), "label", "cluster").where("false")
-    found = contracts.selection_violations(rows, outputs, parents, 50)
-    return found.where("NOT rule LIKE 'parent%'")
+    parents = t.documents.where("doc_id < 40").select(d.alias("index"), F.col("lang").alias("sha256"), (d % 2 == 0).alias("label"), (d % 3).cast("string").alias("cluster"))
+    return contracts.selection_violations(rows, outputs, parents, 50)
 
 
 @query("v4_split_specs", "SELECT * FROM (VALUES ('train', 2560::BIGINT, 653::BIGINT), ('validation', 1920, 40), ('test', 3200, 873)) v(split, attack_count, benign_count)")
@@ -727,9 +808,20 @@ def category_counts(t):
     return taxonomy.arms(t.spark).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("l5_l7_round")
+ROUND = f"""WITH {TAXONOMY}, arm AS (SELECT technique || '||' || reference_scope || '||' || comment_state AS cluster, comment_state, ordinal FROM ax),
+picked AS (SELECT cluster, comment_state, ordinal FROM arm ORDER BY -ln({U(SEED + 1, 'cluster')}) LIMIT 8), p AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS i FROM picked),
+slots AS (SELECT s AS slot, cluster, comment_state FROM range(48) r(s) JOIN p ON i = s % 8), tries AS (SELECT * FROM slots, range(4) r(attempt)),
+c AS (SELECT 'SELECT ' || n_name || ' WHERE k = ' AS sql, n_nationkey % 2 = 0 AS req FROM nation), cn AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY sql) - 1 AS i, count(*) OVER (PARTITION BY req) AS c FROM c),
+nt AS (SELECT 'note on ' || r_name AS note, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region),
+filled AS (SELECT slot, attempt, cluster, sql || ' value' || CASE comment_state WHEN 'no_comment' THEN '' WHEN 'clean_comment' THEN '-- ' ELSE '-- ' || note END AS sql
+  FROM tries JOIN cn ON req = (comment_state <> 'no_comment') AND cn.i = floor({U(SEED, "'carrier:' || slot || ':' || attempt")} * c)::BIGINT JOIN nt ON nt.i = floor({U(SEED, "'note:' || slot || ':' || attempt")} * 5)::BIGINT),
+best AS (SELECT slot, arg_min(cluster, u) AS cluster, arg_min(sql, u) AS sql FROM (SELECT *, {U(SEED, "slot || ':' || attempt")} AS u FROM filled) GROUP BY slot)
+SELECT slot, cluster, sql, CASE WHEN contains(cluster, '||lor||') THEN 'simple' WHEN contains(cluster, '||scr||') THEN 'medium' WHEN contains(cluster, '||cepp') THEN 'hard' ELSE 'medium' END AS difficulty FROM best"""
+
+
+@query("l5_l7_round", ROUND)
 def one_round(t):
-    """A round's samples over a toy pool; tests hold it to its quotas and contracts."""
+    """A round's samples over a toy pool."""
     from . import config, rounds
 
     arms = taxonomy.arms(t.spark)
@@ -738,7 +830,7 @@ def one_round(t):
     pool = arms.select("technique", "reference_scope", F.lit("x value").alias("payload")).distinct()
     carriers = t.nation.select(F.concat(F.lit("SELECT "), "n_name", F.lit(" WHERE k = $$")).alias("sql"), F.lit("db").alias("db"), (F.col("n_nationkey") % 2 == 0).alias("requires_comment_delimiter"))
     notes = t.region.select(F.concat(F.lit("note on "), "r_name").alias("comment"))
-    return rounds.synthesised(rounds.chosen_clusters(state, arms, settings, 1), arms, pool, carriers, notes, 48, SEED).select("slot", "cluster", "sql", "difficulty")
+    return rounds.synthesised(rounds.chosen_clusters(state, arms, settings, 1), arms, pool, carriers, notes, 48, SEED).select(F.col("slot").cast("long").alias("slot"), "cluster", "sql", "difficulty")
 
 
 def config_example() -> dict:
