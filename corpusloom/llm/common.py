@@ -142,6 +142,13 @@ def word_spans(data: np.ndarray, at: np.ndarray, separators: bytes) -> tuple[np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def grown(x: np.ndarray) -> np.ndarray:
+    """x with as much room again; memory is taken only when it is written to."""
+    out = np.zeros((2 * len(x), *x.shape[1:]), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class WordTable:
     """Lists of 32-bit integers by word, each word told by its bytes; it lives as long as the Python worker.
 
@@ -150,10 +157,10 @@ class WordTable:
     block, so memory stays bounded; it is a cache, and every result is the same without it.
     """
 
-    WIDTH, BLOCK = 4, 1 << 17
+    WIDTH, BLOCK = 3, 1 << 17
     MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
-    def __init__(self, make, most: int = 1 << 21):
+    def __init__(self, make, most: int = 3 << 19):
         #: ``make`` takes distinct words (bytes) and gives the list of each as bytes of 32-bit integers.
         self.make, self.most, self.bits = make, most, (2 * most - 1).bit_length()
         self.forget()
@@ -201,12 +208,12 @@ class WordTable:
         made, m = self.make(words), len(words)
         to = self.n + m
         while to > len(self.keys):
-            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) - 1, dtype=np.int64)])
+            self.keys, self.size = grown(self.keys), grown(self.size)
+        while to >= len(self.starts):
+            self.starts = grown(self.starts)
         ends = self.starts[self.n] + np.cumsum(np.fromiter(map(len, made), dtype=np.int64, count=m) // 4)
         while ends[-1] > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.values = grown(self.values)
         self.values[self.starts[self.n] : ends[-1]] = np.frombuffer(b"".join(made), dtype=np.int32)
         self.starts[self.n + 1 : to + 1] = ends
         lens = np.fromiter(map(len, words), dtype=np.int64, count=m)

@@ -15,14 +15,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ListCache, bounded_batches, fresh_name, give_back, on_arrow, ragged_take, slices, word_codes
+from .common import WordTable, bounded_batches, fresh_name, give_back, on_arrow, ragged_take, slices, text_bytes
 
 SPACE = "▁"
 #: Odd, so that hashes of different characters differ; pieces are short.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Positions that the search of many words keeps of each; words of more than LANE characters are streamed alone.
+WINDOW, LANE = 64, 256
+ONE, ALL = np.uint64(1), np.uint64(2**64 - 1)
+
+
+def turned(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """x as 64 bits, turned left."""
+    by = by.astype(np.uint64) & np.uint64(63)
+    return (x << by) | (x >> ((np.uint64(64) - by) & np.uint64(63)))
+
+
+def highest_bit(x: np.ndarray) -> np.ndarray:
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return np.bitwise_count(x).astype(np.int64) - 1
+
+
+class Flags:
+    """A bounded table of known answers by 64-bit key (0 and more), asked for many at once."""
+
+    BITS = 22
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.flag, self.n = np.full(1 << self.BITS, -1, dtype=np.int64), np.zeros(1 << self.BITS, dtype=bool), 0
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * FACTOR
+        return ((x ^ (x >> np.uint64(32))) * FACTOR >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def ask(self, keys: np.ndarray) -> np.ndarray:
+        """1, 0, or -1 for unknown."""
+        out, live, at = np.full(len(keys), -1, dtype=np.int8), np.arange(len(keys)), self.home(keys)
+        while len(live):
+            seen = self.key[at]
+            same = seen == keys[live]
+            out[live[same]] = self.flag[at[same]]
+            on = ~same & (seen >= 0)
+            live, at = live[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def tell(self, keys: np.ndarray, flags: np.ndarray) -> None:
+        """keys are distinct and unknown."""
+        if self.n + len(keys) > 1 << (self.BITS - 1):
+            self.clear()
+        self.n += len(keys)
+        at = self.home(keys)
+        while len(keys):
+            free = self.key[at] < 0
+            self.key[at[free]], self.flag[at[free]] = keys[free], flags[free]
+            on = self.key[at] != keys
+            # of several that met in one place the last has it, with its own flag set again
+            self.flag[at[~on]] = flags[~on]
+            keys, flags, at = keys[on], flags[on], (at[on] + 1) & ((1 << self.BITS) - 1)
 
 
 class Model:
@@ -68,8 +125,9 @@ class Model:
                 h = h * FACTOR + marks[:, k]
             order = np.argsort(h)
             self.hashed.append((h[order], np.array([self.ids[p] for p in of], dtype=np.int64)[order]))
-        self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-        self.stems = ListCache(self.search_many)
+        self.pairs = Flags()
+        self.units = WordTable(self.encode_units)
+        self.stems: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge a short string: always the pair whose joined piece has the best score, the leftmost of equals."""
@@ -143,92 +201,113 @@ class Model:
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """compatible() of pairs of ids; -1 is the start."""
         key = (left + 1) * (1 << 32) + right
-        if len(self.pair_keys) > 1_000_000:
-            self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
-        at = np.searchsorted(self.pair_keys, key)
-        have = at < len(self.pair_keys)
-        have[have] = self.pair_keys[at[have]] == key[have]
-        if not have.all():
-            new = np.unique(key[~have])
-            told = [self.compatible(self.names[(k >> 32) - 1] if k >> 32 else "", self.names[k & 0xFFFFFFFF]) for k in new.tolist()]
-            keys, fit = np.concatenate([self.pair_keys, new]), np.concatenate([self.pair_fits, np.array(told, dtype=bool)])
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_fits = keys[order], fit[order]
-            at = np.searchsorted(self.pair_keys, key)
-        return self.pair_fits[at]
+        told = self.pairs.ask(key)
+        unknown = told < 0
+        if unknown.any():
+            new, back = np.unique(key[unknown], return_inverse=True)
+            flags = np.array([self.compatible(self.names[(k >> 32) - 1] if k >> 32 else "", self.names[k & 0xFFFFFFFF]) for k in new.tolist()], dtype=bool)
+            self.pairs.tell(new, flags)
+            told[unknown] = flags[back]
+        return told == 1
 
     def search_many(self, words: list[str]) -> list[bytes]:
         """encode_text() of many words at once: the same search, one position of all words after the other."""
         out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if 0 < len(w) <= 64 and self.ids.keys() >= set(w)]
+        plain = [i for i, w in enumerate(words) if 0 < len(w) <= LANE and self.ids.keys() >= set(w)]
         for i in set(range(len(words))).difference(plain):
             out[i] = self.encode_text(words[i]).tobytes()
         plain.sort(key=lambda i: -len(words[i]))
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             for i, ids in zip(part, self.search_block([words[i] for i in part])):
-                out[i] = ids
+                out[i] = self.encode_text(words[i]).tobytes() if ids is None else ids
         return out
 
-    def search_block(self, words: list[str]) -> list[bytes]:
-        """words come longest first."""
-        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    def search_block(self, words: list[str]) -> list[bytes | None]:
+        """The streaming search in many lanes; words come longest first.
+
+        A lane keeps WINDOW positions: the last piece of each, and as bits the boundaries of its path since
+        the last commit. The boundaries that the paths of all positions a later piece can start at have in
+        common are the bits that are left of their AND; the ids up to the highest are committed. None for a
+        word whose paths don't meet within the window.
+        """
+        n, longest = len(words), self.longest
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
         begin = np.cumsum(lens) - lens
         marks = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        found, h, n = [], np.zeros(len(marks), dtype=np.uint64), len(marks)
-        for size in range(1, min(self.longest, int(lens[0])) + 1):
-            h = h[: n - size + 1] * FACTOR + marks[size - 1 :]
+        found, h, total = [], np.zeros(len(marks), dtype=np.uint64), len(marks)
+        for size in range(1, min(longest, int(lens[0])) + 1):
+            h = h[: total - size + 1] * FACTOR + marks[size - 1 :]
             keys, ids = self.hashed[size - 1]
             if len(keys):
                 near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 found.append(np.where(keys[near] == h, ids[near], -1))
             else:
                 found.append(np.full(len(h), -1, dtype=np.int64))
-        last = np.full((len(words), int(lens[0]) + 1), -1, dtype=np.int64)
+        last = np.full((n, WINDOW), -1, dtype=np.int64)
+        path = np.zeros((n, WINDOW), dtype=np.uint64)
+        base, lost = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # lanes, ends and ids of committed pieces
+
+        def commit(rows: np.ndarray, to: np.ndarray) -> None:
+            lanes, at = rows, to
+            while len(lanes):
+                piece = last[lanes, at % WINDOW]
+                told.append((lanes, at, piece))
+                at = at - self.sizes[piece]
+                on = at > base[lanes]
+                lanes, at = lanes[on], at[on]
+            base[rows] = to
+
         for end in range(1, int(lens[0]) + 1):
             rows = np.arange(int(np.searchsorted(-lens, -end, side="right")))
-            for size in range(min(self.longest, end), 0, -1):
+            active = rows
+            for size in range(min(longest, end), 0, -1):
                 piece = found[size - 1][begin[rows] + end - size]
                 some = piece >= 0
                 maybe, piece = rows[some], piece[some]
-                fit = self.fits(last[maybe, end - size], piece)
-                last[maybe[fit], end] = piece[fit]
-                rows = rows[last[rows, end] < 0]
-                if not len(rows):
+                fit = self.fits(last[maybe, (end - size) % WINDOW], piece)
+                maybe, piece = maybe[fit], piece[fit]
+                last[maybe, end % WINDOW] = piece
+                path[maybe, end % WINDOW] = path[maybe, (end - size) % WINDOW] | (ONE << np.uint64(end % WINDOW))
+                if len(maybe) == len(rows):
                     break
-        at, back, rows = lens.copy(), [], np.arange(len(words))
-        count = np.zeros(len(words), dtype=np.int64)
-        while len(rows):
-            piece = last[rows, at[rows]]
-            back.append((rows, piece))
-            count[rows] += 1
-            at[rows] -= self.sizes[piece]
-            rows = rows[at[rows] > 0]
-        ends = np.cumsum(count)
-        ids = np.zeros(int(ends[-1]), dtype=np.int32)
-        for k, (rows, piece) in enumerate(back):
-            ids[ends[rows] - 1 - k] = piece
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip((ends - count).tolist(), ends.tolist())]
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of marked words and where each word's begin. What no piece joins is searched apart: newlines, and last characters that follow a stem."""
-        lines = self.newline_apart
-        order: dict[str, int] = {}  # segments that are searched, each once
-        picks, ends, inside = [], [0], self.inside
-        for w in words:
-            for k, part in enumerate(w.split("\n") if lines and "\n" in w else (w,)):
-                if k:
-                    picks.append(order.setdefault("\n", len(order)))
-                if len(part) > 1 and part[-2:] not in inside:
-                    picks.append(order.setdefault(part[:-1], len(order)))
-                    picks.append(order.setdefault(part[-1], len(order)))
-                else:
-                    picks.append(order.setdefault(part, len(order)))
-            ends.append(len(picks))
-        values, starts = self.stems.lists(list(order))
-        ids, begin = ragged_take(values, starts, np.array(picks, dtype=np.int64))
-        return ids, begin[np.array(ends)]
+                rows = np.setdiff1d(rows, maybe, assume_unique=True)
+            if end % longest == 0:
+                common = np.full(len(active), ALL)
+                for at in range(end - longest + 1, end + 1):
+                    common &= np.where(at > base[active], path[active, at % WINDOW], ALL)
+                common = turned(common, 63 - base[active])  # the first position after the base is bit 0
+                common &= (ONE << (end - base[active]).astype(np.uint64)) - ONE
+                common[lost[active]] = 0
+                meet = common > 0
+                to = base[active[meet]] + 1 + highest_bit(common[meet])
+                commit(active[meet], to)
+                keep = turned((ONE << (end - to).astype(np.uint64)) - ONE, to + 1)
+                path[active[meet]] &= keep[:, None]
+                lost[active] |= end - base[active] > WINDOW - 2 * longest
+        rows = np.flatnonzero(~lost & (base < lens))
+        commit(rows, lens[rows])
+        lanes, ends, pieces = (np.concatenate(x) for x in zip(*told))
+        order = np.lexsort((ends, lanes))
+        data = pieces[order].astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(lanes[order], np.arange(n + 1))).tolist()
+        return [None if x else data[a:b] for x, a, b in zip(lost.tolist(), cuts, cuts[1:])]
+
+    def encode_units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of words with the space or newline before them. What no piece joins is searched apart: newlines, and last characters that follow a stem."""
+        inside, plans = self.inside, []
+        for u in units:
+            text = u.decode()
+            parts = ["\n", text[1:]] if text[0] == "\n" else [SPACE + text[1:]]
+            if len(parts[-1]) > 1 and parts[-1][-2:] not in inside:
+                parts[-1:] = [parts[-1][:-1], parts[-1][-1]]
+            plans.append([p for p in parts if p])
+        if len(self.stems) > 200_000:
+            self.stems = {}
+        new = [p for p in dict.fromkeys(p for ps in plans for p in ps) if p not in self.stems]
+        self.stems.update(zip(new, self.search_many(new), strict=True))
+        return [b"".join([self.stems[p] for p in ps]) for ps in plans]
 
     def encode_text(self, text: str) -> np.ndarray:
         """Ids of a text in which spaces are already marked."""
@@ -314,36 +393,35 @@ def model_of(path: str) -> Model:
 def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and where each text's begin; null and empty texts have none.
 
-    Words between single spaces are searched once for each distinct word; a text with other spacing
-    goes through the stream as a whole.
+    Words between single spaces and newlines are searched once for each distinct word; a text with other
+    spacing goes through the stream as a whole.
     """
-    rows = texts.to_pylist()
-    odd = [i for i, t in enumerate(rows) if t and (not model.by_words or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t)]
-    plain = [None if t is None else t.replace(" ", SPACE) for t in rows]
+    texts = pc.fill_null(texts, "")
+    odd = np.ones(len(texts), dtype=bool)
+    if model.by_words and model.newline_apart:
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
     streamed = {}
-    for i in odd:
-        run, marked, out = Stream(model), SPACE + plain[i], []
+    for i in np.flatnonzero(odd).tolist():
+        text = texts[i].as_py()
+        run, marked, out = Stream(model), SPACE + text.replace(" ", SPACE) if text else "", []
         for at in range(0, len(marked), 4096):
             out += run.feed(marked[at : at + 4096])
         streamed[i] = np.array(out + run.end(), dtype=np.int32)
-    codes, starts, words = split_at_spaces(["" if i in streamed else (t or "") for i, t in enumerate(rows)])
-    values, begins = model.encode_words([SPACE + w if w else "" for w in words])
-    ids, at = ragged_take(values, begins, codes)
-    at = at[starts]
+    data, at = text_bytes(pc.if_else(pa.array(odd), "", texts) if streamed else texts)
+    # each text begins with a space, so a word stands with the space or newline before it
+    full = at[:-1] < at[1:]
+    data = np.insert(data, at[:-1][full], 0x20)
+    at = at + np.concatenate([[0], np.cumsum(full)])
+    starts = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    ids, sizes = model.units.lists(data, starts, np.append(starts[1:], len(data)))
+    at = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, at)]
     if streamed:
-        parts = [streamed[i] if i in streamed else ids[at[i] : at[i + 1]] for i in range(len(rows))]
-        ids = np.concatenate(parts) if parts else ids
+        parts = [streamed[i] if i in streamed else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+        ids = np.concatenate(parts)
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     return ids.astype(np.int32), at
 
 
-def split_at_spaces(rows: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    # word_codes splits at newlines too, but here they belong to the words: they pass as a character that the texts don't have
-    spare = next(chr(c) for c in range(0xF8FF, 0xE000, -1) if not any(chr(c) in r for r in rows))
-    codes, starts, words = word_codes(pa.array([r.replace("\n", spare) for r in rows], type=pa.string()))
-    return codes, starts, [w.replace(spare, "\n") for w in words]
-
-
 def decode_batch(model: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The texts' bytes: those of the pieces in a row, without the space put before the first."""
     data, begins = ragged_take(model.bytes, model.byte_starts, ids)
@@ -368,7 +446,6 @@ def encode_udf(path: str):
             flat = np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, type=pa.bool_())], names=["ids", "round_trip"])
             give_back()
-        model.stems.forget()
 
     return encode
 

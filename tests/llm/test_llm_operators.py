@@ -387,17 +387,56 @@ def test_sentencepiece(docs, rows):
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == sp.encode(t or "")
     assert [b.decode() for b in sentencepiece_codec.decode_batch(model, ids, at)] == [(t or "").replace("▁", " ") for t in texts]
-    run, out = sentencepiece_codec.Stream(model), []
-    text = "▁".join(words(rng, 5000))
-    for k in range(0, len(text), 7):
-        out += run.feed(text[k : k + 7])
-    assert out + run.end() == sp.encode(text.replace("▁", " "))[0 if text[0] == "▁" else 1 :] or run.most_held <= 8 * model.longest
-    assert run.most_held <= 8 * model.longest
+    text = " ".join(words(rng, 5000))
+    marked = "▁" + text.replace(" ", "▁")
+    for size in (1, 7, 4096):
+        run, out = sentencepiece_codec.Stream(model), []
+        for k in range(0, len(marked), size):
+            out += run.feed(marked[k : k + size])
+        assert len(out) > 0.9 * len(sp.encode(text))  # committed on the way
+        assert out + run.end() == sp.encode(text)
+        assert run.most_held <= 8 * model.longest
     got = sentencepiece_codec.digests(docs, path).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(r[0]), len(e := sp.encode(r[1] or "")), zlib.crc32(np.array(e, dtype="<u4").tobytes())) for r in rows)
     assert all(r["round_trip"] for r in got)
 
 
+def test_lanes_commit_and_equal_the_library():
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = SentencePieceProcessor(model_file=path), sentencepiece_codec.Model(path)
+    rng = random.Random(12)
+    long = ["".join(rng.choice("aehinorst") for _ in range(rng.randrange(1, sentencepiece_codec.LANE))) for _ in range(300)]
+    odd = ["a" * 200, "ab" * 100, "=-" * 90, "0" * 250, "th" * 128, "_" * 255]
+    units = sorted(dict.fromkeys(long + odd), key=len, reverse=True)
+    found = model.search_block(["▁" + w for w in units])
+    assert sum(f is None for f in found) < 20  # all lanes but a few of repeated characters commit within the window
+    for w, f in zip(units, found):
+        assert f is None or np.frombuffer(f, dtype=np.int32).tolist() == sp.encode(w)
+    assert [np.frombuffer(f, dtype=np.int32).tolist() for f in model.search_many(["▁" + w for w in units])] == [sp.encode(w) for w in units]
+
+
+def test_word_table_is_only_a_cache():
+    from corpusloom.llm import common
+
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcé\0") for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    make = lambda words: [np.arange(len(w) % 7, dtype=np.int32).tobytes() for w in words]
+    for most in (1 << 20, 64):
+        table = common.WordTable(make, most)
+        table.BLOCK = 100
+        for _ in range(5):
+            texts = [None, "", " \n "] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 200))) + rng.choice(["", "\n"]) for _ in range(20)]
+            data, at = common.text_bytes(pa.array(texts).slice(1))
+            first, after, begin = common.word_spans(data, at, b" \n")
+            values, sizes = table.lists(data, first, after)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[begin]
+            for k, t in enumerate(texts[1:]):
+                assert values[ends[k] : ends[k + 1]].tolist() == [x for w in t.encode().replace(b"\n", b" ").split(b" ") if w for x in range(len(w) % 7)]
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in language_id.predictions(docs).collect()}
