@@ -251,15 +251,72 @@ def test_html_extraction(spark):
     assert {(300, "Kept\ntext"), (301, "only this"), (200, ""), (201, ""), (202, "open &am tags\nend <"), (None, "a < b and c")} <= got
 
 
-def test_html_pages_of_the_table(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+def article_lines(page):
+    """What stands in the article of a page of the tables, by regular expressions."""
     import html
     import re
 
-    for r, x in zip(pages.orderBy("page_id").collect(), html_extract.extract(pages).orderBy("page_id").collect()):
-        article = r["html"][r["html"].index("<article>") : (r["html"] + "</article>").index("</article>")]
-        want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>?", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
-        assert x["text"].split("\n") == [w for w in want if w] and x["n_chars"] == len(x["text"])
+    article = page[page.index("<article>") : (page + "</article>").index("</article>")]
+    lines = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>?", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+    return [w for w in lines if w]
+
+
+@pytest.mark.parametrize("how", [{}, {"article": False}, {"declared": False, "article": False}])
+def test_html_pages_of_the_table(spark, how):
+    """With names and the article element switched off, recurrence on the host alone gives the same texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    if how:  # hosts with enough pages for anything to recur
+        pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["page_id"]: r for r in html_extract.extract(pages, **how).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = got[r["page_id"]]
+        assert x["text"].split("\n") == article_lines(r["html"]) and x["n_chars"] == len(x["text"])
+
+
+def test_html_templates_equal_a_count_by_hand(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        host = ["a.b", "c.d", "few.e"][0 if k < 30 else 1 if k < 56 else 2]
+        links = "".join(f"<li><a href=/x>{rng.choice('pqrs')}</a></li>" for _ in range(rng.randrange(3, 7)))
+        prose = "".join(f"<p>{' '.join(words(rng, rng.randrange(20, 60)))}</p>" for _ in range(rng.randrange(1, 5)))
+        strip = "<div>same on most pages</div>" if rng.random() < 0.7 else ""
+        odd = "<div><section><p>seldom</p></section></div>" if rng.random() < 0.1 else ""
+        rows.append((k, f"http://{host}/{k}", f"<body><div><ul>{links}</ul></div>{strip}{odd}<div class=c{k % 2}><h1>{k}</h1>{prose}</div><span>x</span></body>"))
+    rows.append((99, "http://a.b/copy", rows[0][2]))  # a copy counts once
+    held = {}
+    for host in ("a.b", "c.d", "few.e"):
+        of = {h for _, u, h in rows if f"//{host}/" in u}
+        pages = []
+        for h in of:
+            root = html_extract.parse(h)
+            html_extract.measure(root)
+            pages.append((html_extract.slots_of(root), root.chars))
+        total, found = sum(c for _, c in pages), set()
+        for path in {s[0] for slots, _ in pages for s in slots}:
+            own = [s for slots, _ in pages for s in slots if s[0] == path]
+            top = lambda i: max(sum(x[i] == y[i] for y in own) for x in own)  # noqa: B023, E731
+            if len(own) >= 5 and len(own) >= 0.3 * len(pages) and (top(3) >= 0.5 * len(own) or top(1) >= 0.8 * len(own) and sum(x[4] for x in own) <= 0.15 * total):
+                found.add(path)
+        if found:
+            held[host] = found
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    seen = df.select(html_extract.host_of(df.url).alias("host"), html_extract.subtrees_of("html").alias("s")).select("host", "s.*")
+    got = {r["host"]: set(r["templates"]) for r in html_extract.templates(seen).collect()}
+    assert got == held and set(held) == {"a.b", "c.d"} and all(held.values())
+
+
+def test_html_keeps_prose_and_survives_odd_pages(spark, monkeypatch):
+    kept = "<article><header><h1>Head</h1><label>by me</label></header><p class='legal'>law</p><p class=notice>note</p><ul class=tags><li>one</li></ul><fieldset>set</fieldset><div class='ad-box'>buy</div></article>"
+    deep = "<div>" * 30_000 + "deep" + "</div>" * 100
+    rows = [(0, "u://a/0", kept, "x", "y"), (1, "u://a/1", deep, "x", "y"), (2, "u://a/2", "<p>" + "long text " * 200_000, "x", "y"), (3, "u://a/3", "<div class=ad>" * 2000 + "<article>in", "x", "y"), (4, "u://a/4", "<a <b <<p>c</", "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, templates string")
+    for hosts in (html_extract.BROADCAST_HOSTS, -1):  # the second joins by a shuffle
+        monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", hosts)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+        assert got[0] == "Head\nby me\nlaw\nnote\none\nset" and got[1] == "deep" and got[2] == ("long text " * 200_000).strip() and got[3] == "in" and len(got) == 5
 
 
 def test_token_files(spark, docs, rows):
