@@ -87,6 +87,27 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
     return hit.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*docs.columns)
 
 
+#: A key with more rows than this is split; at most SPLIT_KEYS keys are (then the bound is higher), so a list of them can be broadcast.
+SPLIT_ROWS, SPLIT_KEYS = 512, 100_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: str, by: Column) -> DataFrame:
+    """left joined with right on keys (never null), which are unique in right; its column ``rows`` tells how many rows of left have each.
+
+    The rows of a frequent key are dealt over several tasks, by a hash of ``by``; right's row goes to each of
+    them. right should be a written table: it is read several times.
+    """
+    total = right.agg(F.sum(rows).alias("n")).first()["n"] or 0
+    most = max(SPLIT_ROWS, -(-total // SPLIT_KEYS))
+    hot = right.where(F.col(rows) > most).select(*keys, F.ceil(F.col(rows) / most).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return left.join(right, keys)
+    salt = F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int").alias("__salt")
+    dealt = left.join(F.broadcast(hot), keys, "left").select(*left.columns, salt)
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > most, F.ceil(F.col(rows) / most)).otherwise(1).cast("int") - 1)))
+    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")
+
+
 def slices(array: pa.Array, most_bytes: int = 1 << 20):
     """array in consecutive slices of about most_bytes of text, one row at least."""
     lens = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)

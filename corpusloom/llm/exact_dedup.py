@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, keep_rows, materialise, on_arrow, text_key
+from .common import ascii_lower, bounded_batches, join_unique, keep_rows, materialise, on_arrow, text_key
 
 PRIMES = (2147483647, 2147483629)
 BASE = (1_000_003, 998_244_353)
 CHUNK = 4096
 HUGE = 8 << 20
 #: Of a group of equal fingerprints, so many rows at most are compared in one task.
-GROUP_ROWS = 2048
+GROUP_ROWS = 512
 POWERS = np.stack([np.array([pow(r, CHUNK - 1 - i, p) for i in range(CHUNK)], dtype=np.uint64) for r, p in zip(BASE, PRIMES)], axis=1)
 SHIFT = tuple(pow(r, CHUNK, p) for r, p in zip(BASE, PRIMES))
 EMPTY = (0, 0, 0)
@@ -130,19 +130,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = materialise(row_prints(bounded_batches(docs), id_col, text_col, huge).withColumn("row", F.monotonically_increasing_id()), "prints")
     same = ["h1", "h2", "len"]
-    groups = prints.groupBy(*same).agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1")
+    groups = materialise(prints.groupBy(*same).agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1"), "groups")
     # texts again, only of groups with more than one row; hot groups in several parts, each with the row that stays
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("p", prints_of("text")).select("id", "text", "p.*")
-    member = texts.join(groups, same).withColumn("parts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
+    member = join_unique(texts, groups, same, "n", F.col("id")).withColumn("parts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
     stays = F.col("id").eqNullSafe(F.col("top"))
     salts = F.when(stays, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
     dealt = member.select(*same, F.explode(salts).alias("salt"), (~stays).alias("later"), "text").repartition(*same, "salt").sortWithinPartitions(*same, "salt", "later")
-    unlike = dealt.mapInArrow(differing, "h1 long, h2 long, len long, sha string").distinct()
+    unlike = materialise(dealt.mapInArrow(differing, "h1 long, h2 long, len long, sha string").distinct(), "unlike")
     # usually no row at all: a class is a fingerprint, and what differs in spite of it is a class by SHA-256
-    classed = prints.join(unlike.select(*same, "sha", F.col("sha").alias("apart")), [*same, "sha"], "left").withColumn("apart", F.coalesce("apart", F.lit("")))
-    classed = materialise(classed, "classes")
+    if unlike.isEmpty():
+        classed = prints.withColumn("apart", F.lit(""))
+    else:
+        classed = materialise(prints.join(unlike.select(*same, "sha", F.col("sha").alias("apart")), [*same, "sha"], "left").withColumn("apart", F.coalesce("apart", F.lit(""))), "classes")
     best = materialise(classed.groupBy(*same, "apart").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "row")).alias("best"), F.count("*").alias("group_size")), "best")
-    return classed.join(best, [*same, "apart"]).select("id", "key", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    found = join_unique(classed, best, [*same, "apart"], "group_size", F.col("row"))
+    return found.select("id", "key", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex(F.col("words")[0])), 16, "0").alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

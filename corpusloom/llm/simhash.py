@@ -1,10 +1,10 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints are dealt into buckets by masked bit patterns. Inside a bucket they are sorted by Gray
-rank, so that neighbours share long bit patterns; runs of them form leaves and runs of leaves form
-upper nodes, each holding the bits that all below agree on. A search adds up the differences on those
-shared bits from the top down and drops whole groups as soon as the sum passes the bound, or when the
-group is known to be in the searcher's component already.
+Distinct fingerprints are dealt into buckets of some thousands by masked bit patterns. Inside a bucket they
+are sorted by Gray rank, so that neighbours share long bit patterns; runs of them form leaves and runs of
+leaves form upper nodes, each holding the bits that all below agree on. The bucket is joined with itself from
+the top down: differences on the bits that two nodes share are added up, and both groups are dropped as soon
+as the sum passes the bound, or when they are known to be in one component already.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, keep_rows, materialise, ragged_take, text_key
+from .common import bounded_batches, give_back, join_unique, keep_rows, materialise, ragged_take, text_key
 from .components import connected_components
 
 SEED = 42
-LEAF, FAN = 32, 32
+#: About so many fingerprints share a bucket; one with more than SPLIT_BUCKET is split over several tasks.
+BUCKET_ROWS, SPLIT_BUCKET = 1 << 13, 1 << 16
+#: Keys that are split may be broadcast up to so many.
+BROADCAST_ROWS = 1 << 20
 #: For each byte, its bits as the bytes of a 64-bit lane: sums of up to 255 lanes don't overflow.
 LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -43,16 +46,6 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent 64-bit hash from h; h itself for 0."""
-    if not k:
-        return h
-    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def majority(h: np.ndarray) -> np.uint64:
     """A bit is 1 if set in over half of h. Memory is bounded: long texts go in blocks."""
     n, counts = len(h), np.zeros(64, dtype=np.int64)
@@ -65,17 +58,16 @@ def majority(h: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
 
 
-def fingerprint_udf(shingle: int, width: int):
-    @F.arrow_udf("array<long>")
+def fingerprint_udf(shingle: int):
+    @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = np.zeros((len(batch), width), dtype=np.uint64)
+            out = np.zeros(len(batch), dtype=np.uint64)
             for i, text in enumerate(batch):
                 h = shingle_hashes(text.as_py(), shingle)
                 if len(h):
-                    out[i] = [majority(mixed(h, k)) for k in range(width)]
-            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
-            yield pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1).view(np.int64)))
+                    out[i] = majority(h)
+            yield pa.array(out.view(np.int64))
             give_back()
 
     return fingerprint
@@ -92,133 +84,156 @@ def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def exact_masks(max_bits: int, n: int) -> list[list[int]]:
-    """Masks of 64 bits such that two patterns at most max_bits apart agree on one mask at least.
+def index_masks(max_bits: int, n: int, rows: int = BUCKET_ROWS) -> list[int]:
+    """Masks of 64 bits such that two patterns at most max_bits apart agree on one mask at least, and a bucket of n has about ``rows``.
 
-    The word is cut into blocks; of any max_bits damaged ones the rest is whole. More blocks give longer
-    masks, so that the buckets stay small as n grows; every choice finds every pair.
+    The word is cut into blocks; of any max_bits damaged ones the rest is whole. A mask has the leading bits
+    of so many blocks as the rows ask for: no bit at all, and one index over everything, if they are few.
     """
+    need = max(0, math.ceil(math.log2(max(n, 1) / rows)))
+    if not need:
+        return [0]
     for spare in range(1, 5):
         blocks = max_bits + spare
         edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-        each = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
-        if 64 * spare / blocks >= math.log2(max(n, 2)) - 3 or spare == 4:
-            return [[sum(c)] for c in itertools.combinations(each, spare)]
+        each = [list(range(a, b)) for a, b in itertools.pairwise(edges)]
+        chosen = [sum(c, []) for c in itertools.combinations(each, spare)]
+        if min(map(len, chosen)) >= need or spare == 4:
+            return [sum(1 << b for b in bits[:need]) for bits in chosen]
     raise AssertionError
 
 
-def band_masks(width: int, share: float, miss: float, n: int) -> list[list[int]]:
-    """Random bit choices over width words: pairs that differ in the given share of bits agree on one of them but for a chance of miss."""
-    bits = max(10, math.ceil(math.log2(max(n, 2))) - 2)
-    tables = math.ceil(math.log(miss) / math.log(1 - (1 - share) ** bits))
-    rng, out = np.random.default_rng(SEED), []
-    for _ in range(tables):
-        mask = [0] * width
-        for b in rng.choice(64 * width, bits, replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        out.append(mask)
-    return out
+class Index:
+    """Fingerprints of one bucket in Gray order, as a tree; joins up what is within max_bits.
 
+    Runs of LEAF fingerprints are leaves, FAN nodes make a node above. A node holds the bits that all below
+    it share and their values. Pairs of nodes are searched from the top: the differences on the bits that
+    both share are added up, counting each bit once on the way down, and a pair is dropped with all below it
+    as soon as the sum passes the bound, or when both sides are known to be in one component.
+    """
 
-class Bucket:
-    """The index over one bucket: fps (n x width words) in Gray order; joins up what is within max_bits."""
+    LEAF, FAN, TOP_ROWS = 8, 4, 2048
 
     def __init__(self, fps: np.ndarray, max_bits: int):
         self.fps, self.most, self.n = fps, max_bits, len(fps)
         self.parent = np.arange(self.n)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up: shared bits and their values
-        ones, zeros, step = fps, ~fps, LEAF
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up: shared bits, their values, first rows
+        ones, zeros, cuts = fps, ~fps, np.arange(self.n)
+        step = self.LEAF
         while True:
-            cuts = np.arange(0, len(ones), step)
-            ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts)
-            self.levels.append((ones | zeros, ones))
+            at = np.arange(0, len(ones), step)
+            ones, zeros, cuts = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at), cuts[at]
+            self.levels.append((ones | zeros, ones, cuts))
             if len(ones) == 1:
                 break
-            step = FAN
-        # a node tests only the bits that its parent hasn't tested
-        self.residual = [m & ~np.repeat(self.levels[k + 1][0], FAN, axis=0)[: len(m)] if k + 1 < len(self.levels) else m for k, (m, _) in enumerate(self.levels)]
+            step = self.FAN
+        #: Pairs of nodes looked at, those dropped with all below them, and pairs of fingerprints compared.
+        self.tested = self.pruned = self.compared = 0
 
     def roots(self, at: np.ndarray) -> np.ndarray:
         up = self.parent[at]
-        while not np.array_equal(nxt := self.parent[up], up):
-            up = nxt
+        while True:
+            over = self.parent[up]
+            if np.array_equal(over, up):
+                break
+            up = over
         self.parent[at] = up
         return up
 
-    def unite(self, at: np.ndarray) -> None:
-        found = np.unique(self.roots(at))
-        self.parent[found] = found[0]
+    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.roots(i), self.roots(j)
+            apart = a != b
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+    def labels(self) -> list[np.ndarray]:
+        """Of each node of each level its one component, or -1."""
+        own, out = self.roots(np.arange(self.n)), []
+        for _, _, cuts in self.levels:
+            low, high = np.minimum.reduceat(own, cuts), np.maximum.reduceat(own, cuts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def down(self, pairs: tuple[np.ndarray, np.ndarray], level: int, labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the level above -> those of this level that can hold a link.
+
+        A child shares all bits that its parent does, so the sum on its bits is its parents' sum and what the new bits add.
+        """
+        bits, value, _ = self.levels[level]
+        a, b = (x * np.int32(self.FAN) for x in pairs)
+        k = np.arange(self.FAN, dtype=np.int32)
+        left, right = (a[:, None] + np.repeat(k, self.FAN)).reshape(-1), (b[:, None] + np.tile(k, self.FAN)).reshape(-1)
+        real = left <= right
+        real &= right < len(bits)
+        left, right = left[real], right[real]
+        fits = np.bitwise_count((value[left] ^ value[right]) & bits[left] & bits[right]) <= self.most
+        self.tested += len(fits)
+        if (labels[level] >= 0).any():
+            mine = labels[level][left]
+            fits &= (mine != labels[level][right]) | (mine < 0)
+        left, right = left[fits], right[fits]
+        self.pruned += len(fits) - len(left)
+        return left, right
 
     def links(self) -> np.ndarray:
         """Of each member of a component, the component's first member; -1 for that one and for single ones."""
-        n, leaves = self.n, len(self.levels[0][0])
-        for leaf in range(leaves):
-            a, b = leaf * LEAF, min(n, leaf * LEAF + LEAF)
-            own = self.fps[a:b]
-            shared, value = self.levels[0][0][leaf], self.levels[0][1][leaf]
-            labels = self.roots(np.arange(n))
-            cuts = np.arange(0, n, LEAF)
-            low, high = np.minimum.reduceat(labels, cuts), np.maximum.reduceat(labels, cuts)
-            mine = labels[a] if low[leaf] == high[leaf] else -1
-            nodes, sums = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-            for k in range(len(self.levels) - 1, -1, -1):
-                diff = (self.levels[k][1][nodes] ^ value) & self.residual[k][nodes] & shared
-                sums = sums + np.bitwise_count(diff).sum(axis=1)
-                fits = sums <= self.most
-                nodes, sums = nodes[fits], sums[fits]
-                if k:
-                    kids = (nodes[:, None] * FAN + np.arange(FAN)).reshape(-1)
-                    sums = np.repeat(sums, FAN)
-                    real = kids < len(self.levels[k - 1][0])
-                    # leaves before this one have searched already
-                    real &= kids >= leaf // FAN ** (k - 1)
-                    nodes, sums = kids[real], sums[real]
-            nodes = nodes[~((low[nodes] == high[nodes]) & (low[nodes] == mine))]
-            for node in nodes:
-                c, d = node * LEAF, min(n, node * LEAF + LEAF)
-                near = np.bitwise_count(own[:, None, :] ^ self.fps[None, c:d, :]).sum(axis=2) <= self.most
-                left, right = np.nonzero(near)
-                l, r = self.roots(left + a), self.roots(right + c)
-                pairs = np.unique(np.stack([l, r])[:, l != r], axis=1)
-                for x, y in pairs.T:
-                    self.unite(np.array([x, y]))
-        top = self.roots(np.arange(n))
-        return np.where(top == np.arange(n), -1, top)
+        n, fps = self.n, self.fps
+        leaves = np.concatenate([fps, np.repeat(fps[-1:], -n % self.LEAF)]).reshape(-1, self.LEAF)
+        for lag in range(1, min(self.LEAF, n)):  # neighbours first: dense groups are one component early
+            near = np.flatnonzero(np.bitwise_count(fps[lag:] ^ fps[:-lag]) <= self.most)
+            self.unite(near, near + lag)
+        top = len(self.levels) - 1
+        labels = self.labels()
+        pairs = np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32)
+        level, width = top, self.LEAF * self.FAN**top
+        while level and width > self.TOP_ROWS:
+            level, width = level - 1, width // self.FAN
+            pairs = self.down(pairs, level, labels)
+        for at in range(0, len(pairs[0]), 16):
+            labels = self.labels()
+            part, k = (pairs[0][at : at + 16], pairs[1][at : at + 16]), level
+            while k:
+                k -= 1
+                part = self.down(part, k, labels)
+            for lo in range(0, len(part[0]), 1 << 12):
+                a, b = (x[lo : lo + (1 << 12)] for x in part)
+                near = np.bitwise_count(leaves[a][:, :, None] ^ leaves[b][:, None, :]) <= self.most
+                self.compared += near.size
+                hit = np.flatnonzero(near)
+                pair, p, q = hit // self.LEAF**2, hit // self.LEAF % self.LEAF, hit % self.LEAF
+                left, right = a[pair] * self.LEAF + p, b[pair] * self.LEAF + q
+                real = (left < n) & (right < n) & (left != right)
+                self.unite(left[real], right[real])
+        first = self.roots(np.arange(n))
+        return np.where(first == np.arange(n), -1, first)
 
 
 def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarray:
     """Links (node, node) that connect what is connected in each bucket; rows come sorted by key and Gray rank."""
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.concatenate([cuts, [len(keys)]]))
-    out = []
-    small = np.repeat(sizes <= LEAF, sizes)
-    for lag in range(1, min(LEAF, int(sizes.max(initial=1)))):
-        i = np.flatnonzero(small[:-lag] & (keys[lag:] == keys[:-lag]))
-        if not len(i):
-            break
-        near = np.bitwise_count(fps[i] ^ fps[i + lag]).sum(axis=1) <= max_bits
-        out.append(np.stack([nodes[i[near]], nodes[i[near] + lag]], axis=1))
-    for at, n in zip(cuts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-        to = Bucket(fps[at : at + n], max_bits).links()
-        i = np.flatnonzero(to >= 0)
-        out.append(np.stack([nodes[at + i], nodes[at + to[i]]], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-    return np.unique(np.stack([found.max(axis=1, initial=np.iinfo(np.int64).min), found.min(axis=1, initial=np.iinfo(np.int64).max)], axis=1), axis=0) if len(found) else found
-
-
-def links_of(width: int, max_bits: int):
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+        if end > at + 1:
+            to = Index(fps[at:end], max_bits).links()
+            i = np.flatnonzero(to >= 0)
+            out.append(np.stack([nodes[at + i], nodes[at + to[i]]], axis=1))
+    return np.concatenate(out)
+
+
+def links_of(max_bits: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the bucket that may go on in the next batch
 
         def found(rows: np.ndarray) -> pa.RecordBatch:
-            pairs = bucket_links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), max_bits)
+            pairs = bucket_links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            last = int(np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))[-1])
             if last:
                 yield found(np.concatenate([*held, rows[:last]]))
                 held = []
@@ -232,38 +247,51 @@ def links_of(width: int, max_bits: int):
     return over
 
 
-def node_links(nodes: DataFrame, width: int, max_bits: int, masks: list[list[int]]) -> DataFrame:
-    """nodes (node, w0 ...) -> links (a, b) among nodes that share a bucket and are within max_bits."""
-    keys = [F.xxhash64(F.lit(t), *[F.col(f"w{k}").bitwiseAND(F.lit(signed(m))) for k, m in enumerate(mask) if m]) for t, mask in enumerate(masks)]
-    rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *[f"w{k}" for k in range(width)])
-    dealt = rows.repartition("key").sortWithinPartitions("key", gray_rank(F.col("w0")), *[f"w{k}" for k in range(width)])
-    return dealt.mapInArrow(links_of(width, max_bits), "a long, b long")
-
+def split_pairs(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """rows with a column ``task``: those of a key that has up to ``most`` rows share one, a larger key is split.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1, max_bits: int = 4, miss: float | None = None) -> DataFrame:
-    """One row for each row of docs: id, key (of the text), words (fingerprint, width x 64 bits), component_id.
+    Its rows are dealt into parts by a hash, and each pair of parts is a task of its own, so any two rows
+    meet in a task and no task has more than about ``most``. Rows of split keys are repeated.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    # keys of more than ``most`` rows are few against the rows; the list is broadcast, checked
+    large = materialise(sizes.select(key, F.ceil(2 * F.col("n") / most).cast("int").alias("__parts")), "large")
+    if large.isEmpty():
+        return rows.withColumn("task", F.col(key))
+    n = large.count()
+    told = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, key, "left")
+    part = F.pmod(F.xxhash64(F.lit("part"), by), F.col("__parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda p: p != part)
+    tasks = F.transform(others, lambda p: F.xxhash64(F.col(key), F.least(p, part), F.greatest(p, part)))
+    return told.withColumn("task", F.explode(F.when(F.col("__parts").isNull(), F.array(F.col(key))).otherwise(tasks))).drop("__parts")
+
+
+def node_links(nodes: DataFrame, max_bits: int, n: int) -> DataFrame:
+    """nodes (node, w) -> links (a, b) that connect what links of max_bits or fewer connect."""
+    keys = [F.xxhash64(F.lit(t), F.col("w").bitwiseAND(F.lit(signed(mask)))) for t, mask in enumerate(index_masks(max_bits, n))]
+    rows = split_pairs(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "w"), "key", "node", SPLIT_BUCKET)
+    dealt = rows.select("task", "node", "w").repartition("task").sortWithinPartitions("task", gray_rank(F.col("w")), "w")
+    return dealt.mapInArrow(links_of(max_bits), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row for each row of docs: id, key (of the text), fingerprint (64 bits), component_id.
 
     Two rows are linked if their fingerprints differ in max_bits or fewer bits; component_id is the
-    smallest id that links reach. With miss None (one word) the search is exact; else buckets come from
-    random bit choices and a pair just at the bound is missed in one bucket search with chance miss.
+    smallest id that links reach. The search is exact: every such pair is connected.
 
     A null or wordless text has fingerprint zero and is linked like any other. A null id never becomes a
     component_id unless the whole component has none (then null). Repeated rows and ids come back as often
     as they are in docs. Other columns of docs are not read. An empty table gives no rows.
     """
-    if miss is None and width != 1:
-        raise ValueError("the exact search is for fingerprints of one word")
-    prints = materialise(bounded_batches(docs).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_udf(shingle, width)(F.col(text_col)).alias("words")), "prints")
-    words = [F.col("words")[k].alias(f"w{k}") for k in range(width)]
-    names = [f"w{k}" for k in range(width)]
-    nodes = materialise(prints.select("id", *words).groupBy(*names).agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    n = nodes.count()
-    masks = exact_masks(max_bits, n) if miss is None else band_masks(width, max_bits / (64 * width), miss, n)
-    labels = connected_components(node_links(nodes, width, max_bits, masks))
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = materialise(labelled.join(least, "label").select(*names, "component_id"), "labels")
-    return prints.select("id", "key", "words", *words).join(of, names).select("id", "key", "words", "component_id")
+    prints = materialise(bounded_batches(docs).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_udf(shingle)(F.col(text_col)).alias("w")), "prints")
+    nodes = materialise(prints.groupBy("w").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = connected_components(node_links(nodes, max_bits, nodes.count()))
+    linked = materialise(nodes.join(labels, "node").select("node", "w", "n", "id", "label"), "linked")
+    least = materialise(linked.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("fps")), "least")
+    of = join_unique(linked, least, ["label"], "fps", F.col("node")).select("node", "component_id", F.lit(True).alias("in_component"))
+    every = nodes.join(of, "node", "left").select("w", "n", F.when(F.col("in_component"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return join_unique(prints.withColumnRenamed("w", "fingerprint"), materialise(every, "labels").withColumnRenamed("w", "fingerprint"), ["fingerprint"], "n", F.col("id")).select("id", "key", "fingerprint", "component_id")
 
 
 STAGE_SHINGLE = 5
@@ -271,8 +299,8 @@ STAGE_SHINGLE = 5
 STEP = 1 << 22
 #: Of 16 shingles, those whose owners are counted over all texts: more than the fifth that near copies may differ in.
 TRACKED = 5
-#: Rows (an id and two hashes) that a broadcast may have; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: A block of more sets than this is compared in parts, after a first look at so many pivots.
+SPLIT_SETS, PIVOTS = 2048, 8
 
 
 def shingle_set_udf(shingle: int):
@@ -288,8 +316,12 @@ def shingle_set_udf(shingle: int):
     return shingle_set
 
 
-def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, least: Fraction) -> np.ndarray:
-    """The first member of each set's component, linked where Jaccard >= least; values need to hold only what sets share."""
+def shares_enough(n: Column, m: Column, both: Column, least: Fraction) -> Column:
+    return F.lit(least.denominator) * both >= F.lit(least.numerator) * (n + m - both)
+
+
+def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, asks: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first member of each set's component, linked where Jaccard >= least and one of the two asks; values need to hold only what sets share."""
     n = len(sizes)
     _, codes = np.unique(values, return_inverse=True)
     owners = np.repeat(np.arange(n), np.diff(starts))[np.argsort(codes, kind="stable")]
@@ -302,45 +334,47 @@ def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, leas
             x = parent[x]
         return x
 
-    for i in range(n):
+    for i in np.flatnonzero(asks).tolist():
         mine = codes[starts[i] : starts[i + 1]]
         steps = np.cumsum(begin[mine + 1] - begin[mine]) // STEP
         both = np.zeros(n, dtype=np.int64)
         for some in np.split(mine, np.flatnonzero(np.diff(steps)) + 1):
             both += np.bincount(ragged_take(owners, begin, some)[0], minlength=n)
         near = least.denominator * both >= least.numerator * (sizes[i] + sizes - both)
-        for j in np.flatnonzero(near[i + 1 :]) + i + 1:
+        near[i] = False
+        for j in np.flatnonzero(near).tolist():
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
     return np.array([root(i) for i in range(n)], dtype=np.int64)
 
 
 def components_of(least: Fraction):
-    """Over rows (block, node, n, shared) sorted by block: (node, label), label a node of the component."""
+    """Over rows (task, node, n, shared, asks) sorted by task: links (a, b) of each node to the first one of its component."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the block that may go on in the next batch
+        held: list[pa.RecordBatch] = []  # rows of the task that may go on in the next batch
 
         def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(parts).combine_chunks()
-            block, node, n = (rows[c].to_numpy() for c in ("block", "node", "n"))
+            task, node, n, asks = (rows[c].to_numpy() for c in ("task", "node", "n", "asks"))
             lists = rows["shared"].combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             starts, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            label = np.concatenate([node[a + similar_sets(n[a:b], values[starts[a] : starts[b]], starts[a : b + 1] - starts[a], least)] for a, b in itertools.pairwise(cuts)])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], names=["node", "label"])
+            cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
+            first = np.concatenate([node[a + similar_sets(n[a:b], values[starts[a] : starts[b]], starts[a : b + 1] - starts[a], asks[a:b], least)] for a, b in itertools.pairwise(cuts)])
+            linked = first != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(first[linked])], names=["a", "b"])
             give_back()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = batch.column(0).to_numpy()
-            last = int(np.searchsorted(block, block[-1]))
+            task = batch.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))[-1])
             if last:
                 yield from found([*held, batch.slice(0, last)])
                 held = []
-            elif held and held[-1].column(0)[0].as_py() != block[0]:
+            elif held and held[-1].column(0)[0].as_py() != task[0]:
                 yield from found(held)
                 held = []
             held.append(batch.slice(last))
@@ -350,8 +384,45 @@ def components_of(least: Fraction):
     return over
 
 
+def searched(rows: DataFrame, least: Fraction) -> DataFrame:
+    """rows (task, node, n, shared, asks) -> links (a, b); each task is compared as a whole."""
+    dealt = rows.select("task", "node", "n", "shared", "asks").repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(components_of(least), "a long, b long")
+
+
+def large_block_links(rows: DataFrame, least: Fraction) -> DataFrame:
+    """Links (a, b) that connect what is connected in blocks too large for one task; rows (block, node, n, shared).
+
+    All rows are compared with a few pivots of their block, which joins up the copies of one text at the
+    cost of the block's length. Only rows outside the component that most rows are in then ask the others,
+    those of about their own number of shingles, in tasks of bounded parts of both sides.
+    """
+    pivots = [F.min_by(F.struct("node", "n", "shared"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = materialise(rows.groupBy("block").agg(*pivots, F.count("*").alias("size")), "pivots")
+    met = join_unique(rows, chosen, ["block"], "size", F.col("node"))
+    near = [F.when(shares_enough(F.col("n"), F.col(f"p{k}.n"), F.size(F.array_intersect("shared", f"p{k}.shared")), least), F.col(f"p{k}.node")) for k in range(PIVOTS)]
+    links = materialise(met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*near))).alias("b")).where("b IS NOT NULL AND a <> b"), "pivot-links")
+    labels = connected_components(links)
+    told = materialise(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "told")
+    main = told.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("size"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(least.denominator / least.numerator)).cast("int")
+    open_ = materialise(join_unique(told, materialise(main, "main"), ["block"], "size", F.col("node")).select("block", "node", "n", "shared", band.alias("band"), (F.col("label") != F.col("main")).alias("asks")), "open")
+    # two similar sets are in one band or in neighbouring ones
+    asking = open_.where("asks").select("block", "node", "n", "shared", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    units = open_.groupBy("block", "band").agg(F.count("*").alias("own")).join(asking.groupBy("block", "band").agg(F.count("*").alias("asked")), ["block", "band"])
+    parts = lambda c: F.ceil(F.col(c) / SPLIT_SETS).cast("int")
+    units = materialise(units.select("block", "band", "own", "asked", parts("own").alias("p"), parts("asked").alias("q")), "units")
+    task = lambda i, j: F.xxhash64("block", "band", i, j)
+    part = lambda c: F.pmod(F.xxhash64(F.lit("part"), "node"), F.col(c)).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = join_unique(open_, units, ["block", "band"], "own", F.col("node")).withColumn("task", F.explode(F.transform(upto("q"), lambda j: task(part("p"), j)))).withColumn("asks", F.lit(False))
+    ask = join_unique(asking, units, ["block", "band"], "asked", F.col("node")).withColumn("task", F.explode(F.transform(upto("p"), lambda i: task(i, part("q"))))).withColumn("asks", F.lit(True))
+    columns = ["task", "node", "n", "shared", "asks"]
+    return links.unionByName(searched(own.select(*columns).unionByName(ask.select(*columns)), least))
+
+
 def similar_rows(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets (node, set of distinct values) -> (node, label) of rows that may have a partner; no pair is missed and each link is counted out.
+    """sets (node, set of distinct values) -> (node, label) of rows that have a partner; no pair is missed and each link is counted out.
 
     Values are in order of how many rows hold them. Two sets at the similarity share a value among the
     first |x| - ceil(similarity |x|) + 1 of each, so rows whose first values are all their own have no
@@ -360,14 +431,25 @@ def similar_rows(sets: DataFrame, similarity: float) -> DataFrame:
     """
     least = Fraction(str(similarity))
     spots = sets.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("x"))
-    held = spots.withColumn("held", F.count("*").over(Window.partitionBy("x"))).where("held > 1")
+    counts = materialise(spots.groupBy("x").agg(F.count("*").alias("held")).where("held > 1"), "counts")
+    held = join_unique(spots, counts, ["x"], "held", F.col("node"))
     shared = materialise(held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("by")), "shared")
     first = F.expr(f"cast(n - (({least.numerator} * n + {least.denominator - 1}) div {least.denominator}) + 1 - (n - size(by)) as int)")
     lists = shared.select("node", F.explode(F.slice("by", 1, F.greatest(first, F.lit(0)))).alias("v")).select("node", F.col("v.x").alias("x"))
-    links = lists.join(lists.groupBy("x").agg(F.min("node").alias("b")), "x").where("node <> b").select(F.col("node").alias("a"), "b")
+    firsts = materialise(lists.groupBy("x").agg(F.min("node").alias("b"), F.count("*").alias("rows")).where("rows > 1"), "firsts")
+    links = join_unique(lists, firsts, ["x"], "rows", F.col("node")).where("node <> b").select(F.col("node").alias("a"), "b")
     blocks = connected_components(links).select("node", F.col("label").alias("block"))
-    rows = shared.join(blocks, "node").select("block", "node", "n", F.col("by.x").alias("shared"))
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(components_of(least), "node long, label long")
+    rows = materialise(shared.join(blocks, "node").select("block", "node", "n", F.col("by.x").alias("shared")), "blocks")
+    sizes = materialise(rows.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT_SETS), "large")
+    if sizes.isEmpty():
+        found = searched(rows.select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks")), least)
+    else:
+        # blocks over SPLIT_SETS rows are few against the rows
+        told = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "block", "left")
+        small = told.where("size IS NULL").select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks"))
+        large = materialise(told.where("size IS NOT NULL").select("block", "node", "n", "shared"), "large-blocks")
+        found = searched(small, least).unionByName(large_block_links(large, least))
+    return connected_components(found)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

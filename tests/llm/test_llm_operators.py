@@ -74,7 +74,7 @@ def linked(prints, ids, bits):
 def test_simhash(docs, rows):
     prints = [simhash_of(r[1]) for r in rows]
     want = sorted((str(r[0]), p, str(c)) for r, p, c in zip(rows, prints, linked(prints, [r[0] for r in rows], 4)))
-    got = sorted((str(r["id"]), r["words"][0] % 2**64, str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    got = sorted((str(r["id"]), r["fingerprint"] % 2**64, str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
     assert got == want
 
 
@@ -86,43 +86,81 @@ def test_simhash_on_a_table(spark):
     assert {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want
 
 
-@pytest.mark.parametrize("n", [2, 33, 700, 3000])
-def test_hierarchical_index_equals_all_pairs(n):
-    rng = np.random.default_rng(n)
-    seeds = rng.integers(0, 2**63, 12, dtype=np.int64).astype(np.uint64)
-    fps = seeds[rng.integers(0, 12, n)]
-    for _ in range(4):
-        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-    fps = np.unique(fps)
+def gray_sorted(fps):
     rank = fps.copy()
     for k in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(k)
-    fps = fps[np.argsort(rank)]
-    pairs = simhash.bucket_links(np.zeros(len(fps), dtype=np.int64), np.arange(len(fps)), fps.reshape(-1, 1), 4)
-    label = np.arange(len(fps))
-    for _ in range(len(fps)):
+    return fps[np.argsort(rank)]
+
+
+def least_reachable(n, pairs):
+    label = np.arange(n)
+    while True:
         new = label.copy()
         np.minimum.at(new, pairs[:, 0], label[pairs[:, 1]])
         np.minimum.at(new, pairs[:, 1], label[pairs[:, 0]])
         if (new == label).all():
-            break
+            return label
         label = new
-    want = np.arange(len(fps))
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    while True:
-        new = np.where(near, want[None, :], len(fps)).min(axis=1)
-        if (new == want).all():
-            break
-        want = new
-    assert (label == want).all()
-    if n == 3000:
-        assert len(pairs) < 4 * len(fps)
+
+
+@pytest.mark.parametrize("n", [2, 9, 33, 700, 3000])
+def test_hierarchical_index_equals_all_pairs(n):
+    rng = np.random.default_rng(n)
+    seeds = rng.integers(0, 2**63, 12, dtype=np.int64).astype(np.uint64)
+    fps = np.concatenate([seeds[rng.integers(0, 12, n)], rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)])
+    for _ in range(4):
+        fps[:n] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    fps = gray_sorted(np.unique(fps))
+    pairs = simhash.bucket_links(np.zeros(len(fps), dtype=np.int64), np.arange(len(fps)), fps, 4)
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    assert (least_reachable(len(fps), pairs) == least_reachable(len(fps), near)).all()
+    assert len(pairs) < len(fps)
+
+
+def test_index_prunes_groups_and_is_no_square():
+    import time
+
+    rng = np.random.default_rng(5)
+    fps = gray_sorted(np.unique(rng.integers(0, 2**63, 64_000, dtype=np.int64).astype(np.uint64)))
+    index, began = simhash.Index(fps, 4), time.time()
+    index.links()
+    assert time.time() - began < 6 and index.pruned > 1_000_000 and index.compared < len(fps) ** 2 / 6
+
+
+def test_split_buckets_and_blocks(spark, rows, docs, monkeypatch):
+    """Tiny bounds: every bucket, block and key is split, and the results are the same."""
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "SPLIT_ROWS", 2)
+    monkeypatch.setattr(simhash, "SPLIT_BUCKET", 8)
+    monkeypatch.setattr(simhash, "SPLIT_SETS", 3)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 2)
+    test_simhash(docs, rows)
+    test_near_duplicate_stage_at_its_bound(spark)
+    test_exact_duplicates(docs, rows)
+    test_components(spark)
+    rng = random.Random(2)
+    base = [words(rng, 60) for _ in range(3)]
+    texts = []
+    for k in range(60):  # three groups of near copies, one far larger than a task
+        t = list(base[k % 5 % 3])
+        t[rng.randrange(60)] = f"w{rng.randrange(3)}"
+        texts.append(" ".join(t))
+    sets = [shingles_of(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            parent = [parent[i] if p == parent[j] else p for p in parent]
+    assert stage_kept(spark, texts) == sorted({p: min(i for i, q in enumerate(parent) if q == p) for p in parent}.values())
 
 
 def test_masks_miss_no_pair():
     rng = random.Random(5)
-    for n in (10, 1 << 20, 1 << 26, 1 << 34):
-        masks = [m[0] for m in simhash.exact_masks(4, n)]
+    for n in (10, 10_000, 1 << 20, 1 << 26, 1 << 34):
+        masks = simhash.index_masks(4, n)
+        assert len({m.bit_count() for m in masks}) == 1 and n / 2 ** masks[0].bit_count() <= simhash.BUCKET_ROWS
         for _ in range(300):
             a = rng.getrandbits(64)
             b = a
