@@ -9,19 +9,22 @@ spans found are merged for each document.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_name, give_back, on_arrow, slices
+from .common import bounded_batches, fresh_name, give_back, materialise, on_arrow, slices
 
 WINDOW = 10
 #: Benchmark items are searched in blocks of so many bytes of text, so what each task holds is bounded.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Texts with hits that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SAMPLE = 8
 #: Word characters after lower-casing: 0-9, a-z and everything outside ASCII; every other byte separates.
 SEPARATE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -119,24 +122,49 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, by length, and which items have them."""
+    """The distinct windows of a block of benchmark items, by length, and which items have them.
+
+    All words of the block stand as codes in one row; a window is where it begins there.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.code: dict[bytes, int] = {}
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        owners: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        pairs = set()
-        for item, text in items:
-            seq = [self.code.setdefault(w, len(self.code) + 2) for w in words_of(text)]
-            n = min(window, len(seq))
-            pairs.update(zip(seq, seq[1:]))
-            for i in range(len(seq) - n + 1 if n else 0):
-                owners.setdefault(n, {}).setdefault(tuple(seq[i : i + n]), set()).add(item)
-        for n, found in owners.items():
-            self.by_length[n] = (np.array(list(found), dtype=np.int64), [sorted(x) for x in found.values()])
+        self.names = [item for item, _ in items]
+        coded = [np.array([self.code.setdefault(w, len(self.code) + 2) for w in words_of(text)], dtype=np.int32) for _, text in items]
+        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        self.seq = np.concatenate([*coded, np.zeros(0, dtype=np.int32)])
+        begins = np.cumsum(sizes) - sizes
         self.sigma = len(self.code) + 2
+        #: Of each length: where its windows begin, and the items of each (in a row, with where each window's begin).
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(window, s) for s in sizes.tolist() if s}):
+            of = np.flatnonzero(np.minimum(window, sizes) == n)
+            count = sizes[of] - n + 1
+            owner = np.repeat(of, count)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begins[owner]
+            group = self.groups(at, n)
+            order = np.lexsort((owner, group))
+            pairs = np.stack([group[order], owner[order]])
+            pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]
+            first = np.zeros(int(group.max()) + 1, dtype=np.int64)
+            first[group] = at
+            self.by_length[n] = first.astype(np.int32), pairs[1].astype(np.int32), np.searchsorted(pairs[0], np.arange(len(first) + 1)).astype(np.int32)
         self.shortest = min(self.by_length, default=0)
-        self.pairs = np.sort(np.array([a * self.sigma + b for a, b in pairs], dtype=np.int64))
+        inner = np.ones(len(self.seq), dtype=bool)
+        inner[(begins + sizes - 1)[sizes > 0]] = False
+        at = np.flatnonzero(inner)
+        self.pairs = np.unique(self.seq[at].astype(np.int64) * self.sigma + self.seq[at + 1]) if len(at) else np.zeros(0, dtype=np.int64)
+
+    def groups(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of the distinct windows that begin at these places, by doubling the compared length."""
+        group = np.unique(self.seq, return_inverse=True)[1].astype(np.int64)
+        size = 1
+        while size < n:
+            step = min(size, n - size)
+            far = np.minimum(np.arange(len(group)) + step, len(group) - 1)
+            group = np.unique(group * (int(group.max()) + 1) + group[far], return_inverse=True)[1].astype(np.int64)
+            size += step
+        return np.unique(group[at], return_inverse=True)[1]
 
     def find(self, docs: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
         """Of each document, the hit words and the items of the windows found."""
@@ -172,8 +200,14 @@ class Windows:
             where = np.zeros(len(text), dtype=np.int64)
             where[at] = spot
             index = FMIndex(text, self.sigma)
-            for n, (patterns, owners) in self.by_length.items():
-                low, high = index.search(patterns)
+            there = np.zeros(self.sigma, dtype=bool)
+            there[text] = True
+            for n, (first, owners, owner_at) in self.by_length.items():
+                # a window with a word that the shard doesn't have is nowhere in it
+                asked = np.arange(len(first))
+                for k in range(n):
+                    asked = asked[there[self.seq[first[asked] + k]]]
+                low, high = index.search(self.seq[first[asked][:, None] + np.arange(n)].astype(np.int64))
                 # a place begins one window of each length at most, so all places together are bounded by the shard
                 sizes = high - low
                 window = np.repeat(np.arange(len(sizes)), sizes)
@@ -181,9 +215,9 @@ class Windows:
                 begin = where[index.locate(rank)]
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + n, -1)
-                found = np.unique(np.searchsorted(ends, begin, side="right") * len(sizes) + window)
-                for d, p in zip((found // len(sizes)).tolist(), (found % len(sizes)).tolist()):
-                    items.setdefault(d, set()).update(owners[p])
+                found = np.unique(np.searchsorted(ends, begin, side="right") * len(first) + asked[window])
+                for d, p in zip((found // len(first)).tolist(), (found % len(first)).tolist()):
+                    items.setdefault(d, set()).update(self.names[o] for o in owners[owner_at[p] : owner_at[p + 1]].tolist())
         hits = np.cumsum(cover[:-1]) > 0
         return [(np.flatnonzero(hits[a:b]), items.get(i, set())) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
 
@@ -200,41 +234,63 @@ RESULT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<
 ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))])
 
 
-def search_udf(blocks, window: int):
-    """blocks: a broadcast list of blocks, each [(item, text)]."""
+#: The windows of the block that this Python worker searched last; a block is built once in each worker, not in each task.
+_built: dict[tuple[str, int], Windows] = {}
+
+
+def windows_of(block, window: int) -> Windows:
+    """block: a broadcast (name, items)."""
+    key = (block.value[0], window)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(block.value[1], window)
+    return _built[key]
+
+
+def search_udf(block, window: int):
+    """block: a broadcast (name, [(item, text)])."""
 
     @F.arrow_udf(RESULT)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found = [Windows(b, window) for b in blocks.value]
+        windows = windows_of(block, window)
         for batch in batches:
             rows = []
             for shard in slices(batch):
                 docs = [words_of(t.as_py()) for t in shard]
-                hits: list[tuple[np.ndarray, set[str]]] = [(np.zeros(0, dtype=np.int64), set()) for _ in docs]
-                for w in found:
-                    hits = [(np.union1d(a, c), b | d) for (a, b), (c, d) in zip(hits, w.find(docs))]
-                rows += [{"n_words": len(d), "n_hit": len(at), "items": sorted(items), "spans": spans(at)} for d, (at, items) in zip(docs, hits)]
+                rows += [{"n_words": len(d), "n_hit": len(at), "items": sorted(items), "spans": spans(at)} for d, (at, items) in zip(docs, windows.find(docs))]
             yield pa.array(rows, type=ARROW)
             give_back()
 
     return search
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None):
     """Blocks of (id as string, text), streamed to the driver one partition at a time; empty items have no window."""
+    most = BLOCK_BYTES if block_bytes is None else block_bytes
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
-        if size and size + len(row["text"]) > block_bytes:
+        if size and size + len(row["text"]) > most:
             yield block
             block, size = [], 0
         block.append((row["id"], row["text"]))
         size += len(row["text"]) + 16
-    if block:
-        yield block
+    yield block
+
+
+def two_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2")]
+
+
+def merged_spans(all_: Column) -> Column:
+    """Spans of one text from several searches, in order and joined where they touch or overlap."""
+    none = F.array().cast("array<struct<first:bigint,after:bigint>>")
 
+    def put(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["after"], s["after"]).alias("after"))))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["after"] >= s["first"]), joined).otherwise(F.concat(out, F.array(s)))
 
-#: A benchmark of more text than this is refused: it would be no bounded query set.
-MOST_BYTES = 1 << 30
+    return F.aggregate(F.array_sort(all_), none, put)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "found") -> DataFrame:
@@ -242,17 +298,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     Words are runs of 0-9, a-z and characters outside ASCII after lower-casing A-Z. A window is ``window``
     consecutive words of an item, or all of an item with fewer. Null texts have no words and no hits;
-    items without id or text are no items; repeated items count once. The benchmark is a stated query set:
-    its size is checked against MOST_BYTES before it is sent out, in blocks of BLOCK_BYTES.
+    items without id or text are no items; repeated items count once, repeated rows of docs as often as
+    they are there. The benchmark is a stated query set of any size: it is sent out in blocks of
+    BLOCK_BYTES, one at a time. With more than one block, each is a pass over the texts that writes only
+    the texts with hits, and these are put together by two hashes of the text.
     """
-    size = benchmark.agg(F.sum(F.octet_length(item_text_col)).alias("n")).first()["n"] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes of text; {MOST_BYTES} are the most")
-    blocks = docs.sparkSession.sparkContext.broadcast(list(benchmark_blocks(benchmark, item_col, item_text_col)))
-    return bounded_batches(docs).withColumn(into, search_udf(blocks, window)(F.col(text_col)))
+    sc, rows = docs.sparkSession.sparkContext, bounded_batches(docs)
+    send = lambda block: sc.broadcast((uuid.uuid4().hex, block))
+    found, blocks = None, benchmark_blocks(benchmark, item_col, item_text_col)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return rows.withColumn(into, search_udf(send(block), window)(F.col(text_col)))
+    texts = rows.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    while block is not None:
+        sent = send(block)
+        hit = texts.withColumn("f", search_udf(sent, window)("text")).where("f.n_hit > 0").select(*two_keys(F.col("text")), "f.items", "f.spans")
+        hit = materialise(hit.dropDuplicates(["__t1", "__t2"]), "hits")
+        found, block, after = hit if found is None else found.unionByName(hit), after, next(blocks, None)
+        sent.destroy()
+    merged = found.groupBy("__t1", "__t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"), merged_spans(F.flatten(F.collect_list("spans"))).alias("__spans"))
+    t1, t2, items, spans_ = (fresh_name(docs, c) for c in ("__t1", "__t2", "__items", "__spans"))
+    merged = materialise(merged.select(F.col("__t1").alias(t1), F.col("__t2").alias(t2), F.col("__items").alias(items), F.col("__spans").alias(spans_)), "merged")
+    left = rows.withColumns(dict(zip((t1, t2), two_keys(F.col(text_col)))))
+    left = left.join(F.broadcast(merged) if merged.count() <= BROADCAST_ROWS else merged, [t1, t2], "left")
+    n_hit = F.aggregate(spans_, F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    n_words = F.coalesce(F.regexp_count(text_col, F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")), F.lit(0)).cast("long")
+    whole = F.struct(n_words.alias("n_words"), F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), none(F.col(items), "array<string>").alias("items"), none(F.col(spans_), "array<struct<first:bigint,after:bigint>>").alias("spans"))
+    return left.withColumn(into, whole).select(*docs.columns if into in docs.columns else (*docs.columns, into))
 
 
-#: Text and its words, with where they lie, for cutting spans out of the original.
 def cut_spans(text: str, out: list[dict[str, int]]) -> str:
     """text without the words of the spans and what lies between them; the rest stays as it is, trimmed."""
     data = text.encode()

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh_name, give_back, slices, word_codes
 
-SLOTS = 1 << 16
+#: n-grams are hashed into so many slots; with many languages into fewer, so that the model has ENTRIES numbers at most.
+SLOTS, ENTRIES = 1 << 16, 1 << 23
 NGRAMS = (1, 2, 3)
 #: So many labelled texts of each language are expected in the sample that the model is fitted on.
 SAMPLE_PER_LANGUAGE = 4000
-MOST_LANGUAGES = 500
 #: So many words are scored at once.
 BLOCK = 16_384
 PENALTY = 6.0
@@ -93,8 +93,8 @@ class Model:
         script, letters = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         for at in range(0, len(words), BLOCK):  # a word has several n-grams, each with a row of numbers: not all at once
             part = slice(at, at + BLOCK)
-            slots, starts, script[part], letters[part] = features([" ".join(NOT_LETTERS.split(w.lower())).strip() for w in words[part]])
-            out[part] = np.add.reduceat(self.logs[slots], starts[:-1], axis=0)
+            slots, starts, script[part], letters[part] = features([" ".join(NOT_LETTERS.split(w.lower())).strip() if LETTER.search(w) else "" for w in words[part]])
+            out[part] = np.add.reduceat(self.logs[slots >> (16 - (len(self.logs) - 1).bit_length())], starts[:-1], axis=0)
         some = self.allowed[script].any(axis=1)
         out[some] = np.where(self.allowed[script[some]], out[some], -1e6)
         out[~some | (letters == 0)] = 0
@@ -150,39 +150,41 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     """A model from labelled rows that aren't held out; None if there are none.
 
     Labels are counted over all rows; n-grams over a sample, chosen by a hash of the id, of about
-    per_language texts of each language. What reaches the driver is bounded: SLOTS counts a language.
+    per_language texts of each language. What reaches the driver is a row for each label and at most ENTRIES
+    counts: beyond ENTRIES / SLOTS languages each has fewer slots.
     """
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {label_col} the label?")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.element_at(F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(per_language / counts[c]))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) < share * 1_000_003)
+    number = {c: i for i, c in enumerate(languages)}
+    size = SLOTS
+    while size > 256 and size * len(languages) > ENTRIES:
+        size //= 2
+    shift = (SLOTS // size).bit_length() - 1
+    known = docs.sparkSession.createDataFrame([(c, i, per_language / counts[c]) for c, i in number.items()], "lang string, number int, share double")
+    sample = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((SLOTS, len(languages)), dtype=np.int64)
-        scripts = np.zeros((len(SCRIPT_NAMES), len(languages)), dtype=np.int64)
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for text, lang in zip(batch.column(0), langs):
-                words = [w for w in NOT_LETTERS.split(text.as_py().lower()) if w]
+            codes, scripts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = [w for w in NOT_LETTERS.split(text.as_py().lower()) if LETTER.search(w)]
                 if words:
                     slots, _, script, letters = features(words)
-                    table[:, languages.index(lang)] += np.bincount(slots, minlength=SLOTS)
-                    scripts[:, languages.index(lang)] += np.bincount(script, weights=letters, minlength=len(SCRIPT_NAMES)).astype(np.int64)
-        for kind, counted in (("slot", table), ("script", scripts)):
-            at, lang = np.nonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), type=pa.string()), pa.array(at), pa.array(lang), pa.array(counted[at, lang])], names=["kind", "at", "lang", "n"])
-
-    summed = sample.select("text", "lang").mapInArrow(count, "kind string, at long, lang long, n long").groupBy("kind", "at", "lang").agg(F.sum("n").alias("n")).toArrow()
-    kind, at, lang, n = (summed.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "lang", "n"))
-    table, scripts = np.full((SLOTS, len(languages)), 0.1), np.zeros((len(SCRIPT_NAMES), len(languages)))
+                    codes.append((slots >> shift) * len(languages) + lang)
+                    scripts.append(np.repeat(script, letters) * len(languages) + lang)
+            for kind, found in (("slot", codes), ("script", scripts)):
+                code, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(code), type=pa.string()), pa.array(code), pa.array(n)], names=["kind", "code", "n"])
+
+    summed = sample.select("text", "number").mapInArrow(count, "kind string, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    kind, code, n = (summed.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "code", "n"))
+    table, scripts = np.full((size, len(languages)), 0.1), np.zeros((len(SCRIPT_NAMES), len(languages)))
     is_slot = kind == "slot"
-    table[at[is_slot], lang[is_slot]] += n[is_slot]
-    scripts[at[~is_slot], lang[~is_slot]] = n[~is_slot]
+    table.reshape(-1)[code[is_slot].astype(np.int64)] += n[is_slot]
+    scripts.reshape(-1)[code[~is_slot].astype(np.int64)] = n[~is_slot]
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
 
 
@@ -221,7 +223,7 @@ def predict_udf(shared, spans: bool):
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", into: str = "language", spans: bool = True) -> DataFrame:
     """docs with a struct column: lang, score (the share of the letters that it labels), spans (lang, words, in order).
 
-    Texts that are null or have no letter get ``und``, score 0 and no spans, and so does every text if
+    Of languages that label as many letters the first in alphabetical order wins. Texts that are null or have no letter get ``und``, score 0 and no spans, and so does every text if
     there was nothing to learn from. All rows and columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,7 +242,10 @@ def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """docs whose language is told (those with ``und`` go: null texts and texts without a letter); all columns come back."""
+    """docs whose language is told, with that language where the label is null; all columns come back.
+
+    Those with ``und`` go: null texts and texts without a letter. A label that is there stays as it is.
+    """
     into = fresh_name(docs, "__language")
-    found = identify(docs, fit(docs, text_col, label_col, id_col), text_col, into, spans=False)
-    return found.where(F.col(f"{into}.lang") != UNKNOWN).select(*docs.columns)
+    found = identify(docs, fit(docs, text_col, label_col, id_col), text_col, into, spans=False).where(F.col(f"{into}.lang") != UNKNOWN)
+    return found.withColumn(label_col, F.coalesce(F.col(label_col), F.col(f"{into}.lang"))).select(*docs.columns)

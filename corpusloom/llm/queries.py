@@ -39,8 +39,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filters.judge(read(spark, sf_dir, "pages"), labels)
+    """A page's outcome is the label of the document that the number in its url's path names."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), "^/[a-z]+/([0-9]+)", 1).try_cast("long")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", bad.alias("bad"))
+    return url_filters.judge(pages, outcomes)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +92,13 @@ ruled AS (
   SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
   FROM (SELECT DISTINCT * FROM seen) s JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY page_id, host, path),
-known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+known AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM seen JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) WHERE page_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY page_id),
 named AS (
   SELECT *, regexp_replace(domain, '^[^.]*\.', '') AS sfx FROM (
     SELECT host, regexp_extract(regexp_replace(host, ':.*$', ''), '([^.]*\.)?[^.]*$') AS domain FROM (SELECT DISTINCT host FROM seen))),
 by_host AS (
   SELECT host, domain, sfx, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM (SELECT DISTINCT page_id, host FROM seen) s JOIN known ON doc_id = page_id JOIN named USING (host) GROUP BY ALL),
+  FROM (SELECT DISTINCT page_id, host FROM seen) s JOIN known USING (page_id) JOIN named USING (host) GROUP BY ALL),
 by_domain AS (SELECT domain, sfx, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
 by_suffix AS (SELECT sfx, sum(n) AS n, sum(bad) AS bad FROM by_domain GROUP BY ALL),
 units AS (SELECT 'h' AS lv, n, bad FROM by_host UNION ALL SELECT 'd', n, bad FROM by_domain UNION ALL SELECT 's', n, bad FROM by_suffix),
@@ -105,11 +109,11 @@ rho AS (
 ks AS (SELECT lv, root, (1 - rho) / rho AS k FROM rho),
 k AS (SELECT max(k) FILTER (lv = 'h') AS kh, max(k) FILTER (lv = 'd') AS kd, max(k) FILTER (lv = 's') AS ks, max(root) FILTER (lv = 'h') AS root FROM ks),
 shrunk AS (
-  SELECT named.host, coalesce(h.n, 0) AS hn, coalesce(h.bad, 0) AS hb, coalesce(d.n, 0) AS dn, coalesce(d.bad, 0) AS db, (ks * root + coalesce(s.bad, 0)) / (ks + coalesce(s.n, 0)) AS ms, kh, kd
+  SELECT named.host, coalesce(h.n, 0) AS hn, coalesce(h.bad, 0) AS hb, coalesce(d.n, 0) AS dn, coalesce(d.bad, 0) AS db, (ks * root + coalesce(s.bad, 0)) / (ks + coalesce(s.n, 0)) AS ms, kh, kd, root
   FROM named LEFT JOIN by_host h USING (host) LEFT JOIN by_domain d ON d.domain = named.domain LEFT JOIN by_suffix s ON s.sfx = named.sfx CROSS JOIN k),
-post AS (SELECT host, (kh * ((kd * ms + db) / (kd + dn)) + hb) / (kh + hn) AS mean, kh + hn AS total FROM shrunk)
+post AS (SELECT host, root, (kh * ((kd * ms + db) / (kd + dn)) + hb) / (kh + hn) AS mean, kh + hn AS total FROM shrunk)
 SELECT seen.page_id, seen.host, seen.path, rule,
-  coalesce(action, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > least(1.5 * root, (1 + root) / 2) THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen JOIN post USING (host) LEFT JOIN ruled ON ruled.page_id IS NOT DISTINCT FROM seen.page_id AND ruled.host = seen.host AND ruled.path = seen.path
 """
 

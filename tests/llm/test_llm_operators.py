@@ -410,6 +410,59 @@ def test_url_filters(spark):
     }
 
 
+def test_url_reputations_block_some_hosts(spark, tmp_path):
+    """Hosts of different records under several domains and suffixes; the SQL and a computation by hand agree, and no constant does."""
+    import math
+
+    from corpusloom.llm import queries
+
+    rng = random.Random(14)
+    pages, labels, counts = [], [], {}
+    for h in range(40):
+        host, share = f"h{h}.d{h % 9}.{['com', 'net', 'co.uk'][h % 3]}", [0.02, 0.1, 0.6, 0.95][h % 4]
+        for _ in range(rng.randrange(1, 60)):
+            n = len(pages)
+            pages.append((n, f"https://{host}/en/{n}?x"))
+            if rng.random() < 0.7:
+                bad = rng.random() < share
+                labels.append((n, int(not bad), 0))
+                counts.setdefault(host, []).append(bad)
+    pages += [(9000, "http://new.d2.co.uk/fr/1"), (9001, "http://elsewhere.org/" + "x" * 100_000), (9002, "http://h2.d2.co.uk/de/99999999999999999999")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op5_url_filters(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP5})").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"])) for r in got)
+
+    def prior(units):
+        n, b, k = sum(x[0] for x in units), sum(x[1] for x in units), len(units)
+        m = b / n
+        v = m * (1 - m)
+        rho = (sum(x[1] ** 2 / x[0] for x in units) - b * b / n - v * (k - 1)) / (v * (n - sum(x[0] ** 2 for x in units) / n - (k - 1)))
+        rho = min(0.9999, max(0.0001, rho))
+        return (1 - rho) / rho, (b + 0.5) / (n + 1)
+
+    up = lambda d, f: {k: tuple(map(sum, zip(*[v for x, v in d.items() if f(x) == k]))) for k in map(f, d)}
+    domain = lambda h: ".".join(h.split(".")[-(3 if h.endswith("co.uk") else 2) :])
+    suffix = lambda d: d.split(".", 1)[1]
+    hosts = {h: (len(x), sum(x)) for h, x in counts.items()}
+    domains = up(hosts, domain)
+    suffixes = up(domains, suffix)
+    (kh, root), (kd, _), (ks, _) = (prior(list(x.values())) for x in (hosts, domains, suffixes))
+    verdicts = {}
+    for h in {r["host"] for r in got}:
+        d = domain(h)
+        (hn, hb), (dn, db), (sn, sb) = hosts.get(h, (0, 0)), domains.get(d, (0, 0)), suffixes.get(suffix(d), (0, 0))
+        m = (kh * ((kd * ((ks * root + sb) / (ks + sn)) + db) / (kd + dn)) + hb) / (kh + hn)
+        verdicts[h] = "block" if m - 1.645 * math.sqrt(m * (1 - m) / (kh + hn + 1)) > min(1.5 * root, (1 + root) / 2) else "allow"
+    assert all(r["verdict"] == verdicts[r["host"]] for r in got if r["rule"] is None)
+    own = [verdicts[h] for h in hosts]
+    assert 5 < own.count("block") < 30
+
+
 def alike(a, b):
     """Equal, or one character apart where both lines are long enough and their digits agree."""
     if a == b:
@@ -548,7 +601,9 @@ def test_language_spans_and_odd_rows(spark):
     got = {r["doc_id"]: r for r in language_id.predictions(df).collect()}
     assert [got[k]["lang_pred"] for k in (100, 101, 102, 103, 104, None)] == ["und", "und", "und", "en", "en", "fr"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    marks = spark.createDataFrame([(1, "\u0301\u0300 \u0302"), (2, "e\u0301te\u0301 chat")], "doc_id long, text string")
     model = language_id.fit(df, "text", "lang", "doc_id")
+    assert [r["language"]["lang"] for r in language_id.identify(marks, model).orderBy("doc_id").collect()] == ["und", "fr"]
     spans = language_id.identify(df.where("doc_id = 103"), model).first()["language"]["spans"]
     assert [s["lang"] for s in spans] == ["en", "ru", "en"]
     assert sorted(r["doc_id"] for r in language_id.keep_identified(df).where("doc_id >= 100").collect()) == [103, 104]
@@ -557,6 +612,19 @@ def test_language_spans_and_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.predictions(df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
+def test_many_languages_have_fewer_slots(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(19)
+    names = [f"l{i}" for i in range(600)]
+    rows = [(k * 600 + i, " ".join(letters[i % 26] + letters[i // 26] + rng.choice("xyz") for _ in range(8)), n) for k in range(3) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "ENTRIES", 1 << 21)
+    model = language_id.fit(df, "text", "lang", "doc_id")
+    assert model.logs.shape[0] * len(model.languages) <= 1 << 21 and len(model.languages) > 500
+    got = language_id.identify(df, model).collect()
+    assert np.mean([r["language"]["lang"] == r["lang"] for r in got]) > 0.8
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(4)
     emit = rng.normal(size=(9, 3)).astype(np.float32)
@@ -617,6 +685,34 @@ def test_decontamination(spark, short):
             assert clean[i] == texts[i]
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """A benchmark of many blocks gives what one block gives; a text with copies is one key."""
+    rng = random.Random(16)
+    w = lambda n: " ".join(rng.choice(["ab", "c", "d1", "é", "the", "zz"]) for _ in range(n))
+    items = [(i, w(rng.randrange(1, 40))) for i in range(30)]
+    texts = [w(rng.randrange(0, 40)) + " " + rng.choice(items)[1] + " " + w(9) for _ in range(40)] + [None, "", "."]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts * 2)], "doc_id long, text string, found string, __rows_ int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.find_contamination(df, bench)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    for broadcast in (decontaminate.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+        many = decontaminate.find_contamination(df, bench)
+        assert many.columns == one.columns
+        assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+
+
+def test_windows_of_a_block_are_small():
+    import tracemalloc
+
+    rng = random.Random(17)
+    items = [(str(i), " ".join(words(rng, 500))) for i in range(300)]
+    tracemalloc.start()
+    held = decontaminate.Windows(items, 10)
+    assert tracemalloc.get_traced_memory()[0] < 12 * sum(len(t) for _, t in items) and held.by_length
+    tracemalloc.stop()
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     seq = rng.integers(1, 5, 500)
