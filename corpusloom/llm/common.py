@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +27,8 @@ def ascii_lower(text: Column) -> Column:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for work tables: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Where it is unset (local tests) the session gets a checkpoint folder of its own.
+    Where it is unset a session on one machine (local tests) gets a checkpoint folder of its own; on a
+    cluster it is refused, since executors can't read the driver's folders.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -34,23 +36,44 @@ def work_dir(spark: SparkSession) -> str:
         return named
     kept = sc._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         kept = sc._jsc.sc().getCheckpointDir()
     return kept.get()
 
 
+_scopes: list[str] = []
+
+
 def session_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return "/".join([session_dir(spark), *_scopes, f"{tag}-{uuid.uuid4().hex}"])
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete the work tables of this session; results that still read them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, session_dir(spark))
+
+
+@contextmanager
+def work_tables(spark: SparkSession):
+    """Work tables made inside are deleted at the end; what reads them must have been written by then."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = "/".join([session_dir(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        drop_folder(spark, folder)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -91,12 +114,14 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -
 SPLIT_ROWS, SPLIT_KEYS = 512, 100_000
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: str, by: Column) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: str, by: Column, merge: bool = True) -> DataFrame:
     """left joined with right on keys (never null), which are unique in right; its column ``rows`` tells how many rows of left have each.
 
     The rows of a frequent key are dealt over several tasks, by a hash of ``by``; right's row goes to each of
-    them. right should be a written table: it is read several times.
+    them. right should be a written table: it is read several times. With ``merge`` right is taken to grow
+    with left, and both are shuffled at every size.
     """
+    right = right.hint("merge") if merge else right
     total = right.agg(F.sum(rows).alias("n")).first()["n"] or 0
     most = max(SPLIT_ROWS, -(-total // SPLIT_KEYS))
     hot = right.where(F.col(rows) > most).select(*keys, F.ceil(F.col(rows) / most).cast("int").alias("__parts"))

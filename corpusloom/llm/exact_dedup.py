@@ -23,7 +23,7 @@ BASE = (1_000_003, 998_244_353)
 CHUNK = 4096
 HUGE = 8 << 20
 #: Of a group of equal fingerprints, so many rows at most are compared in one task.
-GROUP_ROWS = 512
+GROUP_ROWS = 128
 POWERS = np.stack([np.array([pow(r, CHUNK - 1 - i, p) for i in range(CHUNK)], dtype=np.uint64) for r, p in zip(BASE, PRIMES)], axis=1)
 SHIFT = tuple(pow(r, CHUNK, p) for r, p in zip(BASE, PRIMES))
 EMPTY = (0, 0, 0)

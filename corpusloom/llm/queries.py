@@ -117,6 +117,23 @@ SELECT seen.page_id, seen.host, seen.path, rule,
 FROM seen JOIN post USING (host) LEFT JOIN ruled ON ruled.page_id IS NOT DISTINCT FROM seen.page_id AND ruled.host = seen.host AND ruled.path = seen.path
 """
 
+OP6 = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, no, trim(regexp_replace(lower(raw), '[ \t\x0B\f\r]+', ' ', 'g')) AS x FROM split),
+firsts AS (SELECT x, min((doc_id, no)) AS spot, length(x) AS n, regexp_replace(x, '[^0-9]+', '', 'g') AS digits FROM lines WHERE x <> '' GROUP BY x),
+halves AS (
+  SELECT x, spot, n, digits, k, side, CASE side WHEN 'l' THEN left(x, k // 2) ELSE right(x, k - k // 2) END AS half
+  FROM (SELECT *, unnest([n, n - 1]) AS k FROM firsts), (VALUES ('l'), ('r')) s(side) WHERE k >= 16),
+pairs AS (
+  SELECT DISTINCT a.x AS x, b.x AS y, b.spot AS spot, a.n AS n, b.n AS m FROM halves a JOIN halves b ON a.k = b.k AND a.side = b.side AND a.half = b.half AND a.digits = b.digits AND a.spot < b.spot AND least(a.n, b.n) = a.k),
+beginnings AS (
+  SELECT *, coalesce(list_position(list_transform(list_zip(string_split(x, ''), string_split(y, '')), lambda z: z[1] IS DISTINCT FROM z[2]), true), least(n, m) + 1) - 1 AS p FROM pairs),
+near AS (SELECT DISTINCT spot FROM beginnings WHERE substr(x, p + 1 + CASE WHEN n >= m THEN 1 ELSE 0 END) = substr(y, p + 1 + CASE WHEN m >= n THEN 1 ELSE 0 END)),
+kept AS (SELECT spot FROM firsts WHERE spot NOT IN (SELECT spot FROM near)),
+gone AS (SELECT doc_id, count(*) AS n_dropped, string_agg(no, ',' ORDER BY no) AS dropped FROM lines WHERE x <> '' AND (doc_id, no) NOT IN (SELECT spot FROM kept) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN gone USING (doc_id)
+"""
+
 WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP9 = f"""
@@ -135,4 +152,4 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_url_filters": OP5, "op9_decontaminate": OP9}
+    return {"op3_exact_dedup": OP3, "op5_url_filters": OP5, "op6_line_dedup": OP6, "op9_decontaminate": OP9}

@@ -219,6 +219,35 @@ def test_near_duplicate_stage_at_its_bound(spark):
     assert stage_kept(spark, texts) == want and 60 < len(want) < len(texts)
 
 
+def test_near_duplicate_stage_on_a_table(spark):
+    """Recall and precision against the true similarity of all pairs of the table: both are whole."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()
+    sets = {r["doc_id"]: shingles_of(r["text"]) for r in rows}
+    held = {}
+    for d, x in sets.items():
+        for sh in x:
+            held.setdefault(sh, []).append(d)
+    both = {}
+    for ids in held.values():
+        for a, b in itertools.combinations(sorted(ids), 2):
+            both[a, b] = both.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in both.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    empty = [d for d, x in sets.items() if not x]
+    want = {d for d in sets if sets[d] and find(d) == d} | set(sorted(empty)[:1])
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == want and len(pairs) > 50
+
+
 def test_near_duplicate_stage_counts_a_repeated_line_once(spark):
     rng = random.Random(22)
     line = " ".join(words(rng, 14))
@@ -781,7 +810,7 @@ def test_empty_tables(spark, docs):
     assert decontaminate.remove_contamination(docs, bench).count() == docs.count()
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op5_url_filters", "op9_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op5_url_filters", "op6_line_dedup", "op9_decontaminate"])
 def test_sql(spark, name, tmp_path):
     from corpusloom.llm import queries
 
