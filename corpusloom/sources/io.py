@@ -6,7 +6,10 @@ Readers fail on what they can't read, or give the bad rows beside the good ones.
 from __future__ import annotations
 
 import json
+import logging
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,8 +102,12 @@ def read_table(spark: SparkSession, url: str, table: str, columns: list[str], li
 
 
 def scalar_query(spark: SparkSession, url: str, query: str, **options: str) -> str:
-    """First column of the first row over JDBC; empty if the query gives none."""
-    row = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
+    """First column of the first row over JDBC; empty if the query gives none or fails, which is logged."""
+    try:
+        row = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
+    except Exception as error:  # whatever the driver of the database raises
+        logging.getLogger(__name__).warning("no value for %s: %s", query, type(error).__name__)
+        return ""
     return "" if row is None or row[0] is None else str(row[0])
 
 
@@ -117,6 +124,14 @@ def read_samples(spark: SparkSession, path: str, text: list[str], numbers: list[
     return df.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path, not made yet, that driver and executors share: below ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='corpusloom-')}/{uuid.uuid4().hex}"
+
+
 def outside_project(path: str) -> str:
     """path, unless it is in the project's folder."""
     local = path.removeprefix("file://")

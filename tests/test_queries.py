@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from corpusloom.plans import cases as _cases, queries as _queries  # noqa: F401
+from corpusloom.plans import cases as _cases, files as _files, queries as _queries  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
