@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
+import zlib
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -145,16 +146,6 @@ def slices(array: pa.Array, most_bytes: int = 1 << 20):
         at = to
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Split at spaces and newlines: word codes of all texts, where each text starts in them, the distinct words."""
-    flat = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-    if isinstance(flat, pa.ChunkedArray):
-        flat = flat.combine_chunks()
-    starts = flat.offsets.to_numpy().astype(np.int64)
-    words = flat.flatten().dictionary_encode()
-    return words.indices.to_numpy(zero_copy_only=False), starts - starts[0], words.dictionary.to_pylist()
-
-
 def ragged_take(values: np.ndarray, starts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the lists ``values[starts[p]:starts[p+1]]`` for each p of picks; also where each begins."""
     lens = (starts[1:] - starts[:-1])[picks]
@@ -188,6 +179,12 @@ def word_spans(data: np.ndarray, at: np.ndarray, separators: bytes) -> tuple[np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def crc32_of(ids: np.ndarray, at: np.ndarray) -> list[int]:
+    """Unsigned CRC-32 of each list ids[at[i]:at[i+1]] as little-endian unsigned 32-bit integers."""
+    ids = np.ascontiguousarray(ids).astype("<u4", copy=False)
+    return [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def grown(x: np.ndarray) -> np.ndarray:
     """x with as much room again; memory is taken only when it is written to."""
     out = np.zeros((2 * len(x), *x.shape[1:]), dtype=x.dtype)

@@ -230,8 +230,8 @@ def spans(words: np.ndarray) -> list[dict[str, int]]:
     return [{"first": int(a), "after": int(b) + 1} for a, b in zip(words[np.concatenate([[0], cut + 1])], words[np.concatenate([cut, [len(words) - 1]])])]
 
 
-RESULT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<first:long,after:long>>>"
-ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))])
+RESULT = "n_words:long,n_hit:long,items:array<string>,spans:array<struct<first:long,after:long>>"
+FIELDS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))]
 
 
 #: The windows of the block that this Python worker searched last; a block is built once in each worker, not in each task.
@@ -247,18 +247,23 @@ def windows_of(block, window: int) -> Windows:
     return _built[key]
 
 
-def search_udf(block, window: int):
-    """block: a broadcast (name, [(item, text)])."""
+def search_udf(block, window: int, cut: bool = False):
+    """block: a broadcast (name, [(item, text)]); with cut, texts with hits come back without them as ``left``."""
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(f"struct<{RESULT},left:string>" if cut else f"struct<{RESULT}>")
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         windows = windows_of(block, window)
         for batch in batches:
             rows = []
             for shard in slices(batch):
-                docs = [words_of(t.as_py()) for t in shard]
-                rows += [{"n_words": len(d), "n_hit": len(at), "items": sorted(items), "spans": spans(at)} for d, (at, items) in zip(docs, windows.find(docs))]
-            yield pa.array(rows, type=ARROW)
+                texts = shard.to_pylist()
+                docs = [words_of(t) for t in texts]
+                for t, d, (at, items) in zip(texts, docs, windows.find(docs)):
+                    found = spans(at)
+                    rows.append({"n_words": len(d), "n_hit": len(at), "items": sorted(items), "spans": found})
+                    if cut:
+                        rows[-1]["left"] = cut_spans(t, found) if found else None
+            yield pa.array(rows, type=pa.struct([*FIELDS, ("left", pa.string())] if cut else FIELDS))
             give_back()
 
     return search
@@ -293,7 +298,7 @@ def merged_spans(all_: Column) -> Column:
     return F.aggregate(F.array_sort(all_), none, put)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "found") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "found", cut: bool = False) -> DataFrame:
     """docs with a column ``into`` (one of that name is replaced): struct of n_words, n_hit, items (sorted as strings), spans (hit words, merged).
 
     Words are runs of 0-9, a-z and characters outside ASCII after lower-casing A-Z. A window is ``window``
@@ -301,14 +306,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     items without id or text are no items; repeated items count once, repeated rows of docs as often as
     they are there. The benchmark is a stated query set of any size: it is sent out in blocks of
     BLOCK_BYTES, one at a time. With more than one block, each is a pass over the texts that writes only
-    the texts with hits, and these are put together by two hashes of the text.
+    the texts with hits, and these are put together by two hashes of the text. With ``cut`` the struct has
+    a field ``left``: a text with hits without them, else null.
     """
     sc, rows = docs.sparkSession.sparkContext, bounded_batches(docs)
     send = lambda block: sc.broadcast((uuid.uuid4().hex, block))
     found, blocks = None, benchmark_blocks(benchmark, item_col, item_text_col)
     block, after = next(blocks), next(blocks, None)
     if after is None:
-        return rows.withColumn(into, search_udf(send(block), window)(F.col(text_col)))
+        return rows.withColumn(into, search_udf(send(block), window, cut)(F.col(text_col)))
     texts = rows.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
     while block is not None:
         sent = send(block)
@@ -325,6 +331,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     n_words = F.coalesce(F.regexp_count(text_col, F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")), F.lit(0)).cast("long")
     whole = F.struct(n_words.alias("n_words"), F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), none(F.col(items), "array<string>").alias("items"), none(F.col(spans_), "array<struct<first:bigint,after:bigint>>").alias("spans"))
+    if cut:
+        left = left.withColumn(into, whole)
+        whole = F.col(into).withField("left", F.when(F.col(f"{into}.n_hit") > 0, cut_udf(F.col(text_col), F.col(f"{into}.spans"))))
     return left.withColumn(into, whole).select(*docs.columns if into in docs.columns else (*docs.columns, into))
 
 
@@ -355,7 +364,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     where docs has it, is counted anew for texts that were cut.
     """
     found, cut = fresh_name(docs, "__found"), fresh_name(docs, "__cut")
-    hit = find_contamination(docs, benchmark, text_col, into=found).withColumn(cut, F.when(F.col(f"{found}.n_hit") > 0, cut_udf(F.col(text_col), F.col(f"{found}.spans"))))
+    hit = find_contamination(docs, benchmark, text_col, into=found, cut=True).withColumn(cut, F.col(f"{found}.left"))
     kept = hit.where(F.col(cut).isNull() | F.col(cut).rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
     new = {text_col: F.coalesce(cut, text_col)}
     if n_chars_col in docs.columns:

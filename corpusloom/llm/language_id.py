@@ -17,16 +17,19 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_name, give_back, slices, word_codes
+from .common import WordTable, bounded_batches, fresh_name, give_back, slices, text_bytes, word_spans
 
 #: n-grams are hashed into so many slots; with many languages into fewer, so that the model has ENTRIES numbers at most.
 SLOTS, ENTRIES = 1 << 16, 1 << 23
 NGRAMS = (1, 2, 3)
 #: So many labelled texts of each language are expected in the sample that the model is fitted on.
 SAMPLE_PER_LANGUAGE = 4000
+#: Bytes of text that are labelled at once, with up to 8 languages; fewer with more.
+SLICE = 4 << 20
 #: So many words are scored at once.
 BLOCK = 16_384
 PENALTY = 6.0
+LOSS = 50.0
 #: A language counts as written in a script if so large a share of its letters is.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -86,6 +89,7 @@ class Model:
     logs: np.ndarray  # slots x languages
     allowed: np.ndarray  # scripts x languages
     penalty: float = PENALTY
+    table: WordTable | None = None
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of raw tokens: scores by language (n x languages) and numbers of letters."""
@@ -100,19 +104,65 @@ class Model:
         out[~some | (letters == 0)] = 0
         return out - out.max(axis=1, keepdims=True, initial=-np.inf), letters
 
+    def words(self) -> WordTable:
+        """Letters and scores of the words seen by this worker, which are scored once."""
+        if self.table is None:
+            self.table = WordTable(self.rows, max(1024, min(1 << 20, (1 << 25) // (len(self.languages) + 1))))
+        return self.table
+
+    def rows(self, words: list[bytes]) -> list[bytes]:
+        """Of each word its letters, then its scores, as 32-bit numbers."""
+        scores, letters = self.scores([w.decode() for w in words])
+        table = np.concatenate([letters.astype(np.int32)[:, None], scores.view(np.int32)], axis=1)
+        data, size = table.tobytes(), 4 * table.shape[1]
+        return [data[at : at + size] for at in range(0, len(data), size)]
+
     def label(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """Of each text the language of each token, and the letters that each language labels (n x languages)."""
-        codes, starts, words = word_codes(texts)
-        emit, letters = self.scores(words)
-        useful = letters[codes] > 0
-        kept = np.concatenate([[0], np.cumsum(useful)])[starts]
-        path = viterbi(emit, codes[useful], kept, self.penalty)
-        share = np.zeros((len(starts) - 1, len(self.languages)))
-        text = np.repeat(np.arange(len(starts) - 1), np.diff(kept))
-        np.add.at(share, (text, path), letters[codes[useful]])
+        data, begin = text_bytes(texts)
+        first, after, at = word_spans(data, begin, b" \n")
+        rows = self.words().lists(data, first, after)[0].reshape(len(first), len(self.languages) + 1)
+        useful = rows[:, 0] > 0
+        kept, rows = np.concatenate([[0], np.cumsum(useful)])[at], rows[useful]
+        path = best_path(np.ascontiguousarray(rows[:, 1:]).view(np.float32), kept, self.penalty)
+        share = np.zeros((len(at) - 1, len(self.languages)))
+        np.add.at(share, (np.repeat(np.arange(len(at) - 1), np.diff(kept)), path), rows[:, 0])
         return [path[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist())], share
 
 
+def best_path(emit: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi() of each sequence of rows emit[starts[i]:starts[i+1]].
+
+    Most texts stay in the language b of the best sum, and that can be seen without the search: if no stretch
+    of words gains as much as the penalty in another language over b, no way that leaves b and has b in it
+    pays, and if the best other languages of all words together don't either, no way without b does.
+    """
+    n, k = emit.shape
+    full = np.flatnonzero(np.diff(starts))
+    if not n:
+        return np.zeros(0, dtype=np.int16)
+    lens = np.diff(starts)[full]
+    best = np.add.reduceat(emit, starts[:-1][full], axis=0, dtype=np.float64).argmax(axis=1)
+    path = np.repeat(best, lens).astype(np.int16)
+    # losses beyond LOSS count as that: the gains found are no less than the true ones
+    gain = np.maximum(emit.astype(np.float64) - emit[np.arange(n), path][:, None], -LOSS)
+    most = np.zeros(len(full))
+    for c in range(k):
+        sums = np.cumsum(gain[:, c])
+        # a text's sums lie below those of all texts before it, so the running minimum begins anew with each
+        before = np.concatenate([[0.0], sums[:-1]]) - np.repeat(np.arange(len(full)), lens) * (2.0 * np.abs(sums).max() + 1)
+        rise = sums - (np.minimum.accumulate(before) + np.repeat(np.arange(len(full)), lens) * (2.0 * np.abs(sums).max() + 1))
+        most = np.maximum(most, np.maximum.reduceat(rise, starts[:-1][full]))
+    gain[np.arange(n), path] = -np.inf
+    others = np.add.reduceat(gain.max(axis=1), starts[:-1][full]) if k > 1 else np.full(len(full), -np.inf)
+    # what rounding can have changed is searched
+    mixed = np.flatnonzero((most > penalty - 0.01) | (others > penalty - 0.01))
+    if len(mixed):
+        words = np.repeat(np.isin(np.arange(len(full)), mixed), lens)
+        path[words] = viterbi(emit, np.flatnonzero(words), np.concatenate([[0], np.cumsum(lens[mixed])]), penalty)
+    return path
+
+
 def viterbi(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best path of each sequence codes[starts[i]:starts[i+1]], all sequences a step at a time, longest first."""
     n, k = len(starts) - 1, emit.shape[1]
@@ -199,7 +249,7 @@ def predict_udf(shared, spans: bool):
         model = shared.value
         for batch in batches:
             rows = []
-            for texts in slices(batch, 4 << 20):
+            for texts in slices(batch, SLICE if model is None else max(1 << 16, SLICE // max(1, len(model.languages) // 8))):
                 if model is None:
                     rows += [{"lang": UNKNOWN, "score": 0.0, "spans": []}] * len(texts)
                     continue

@@ -10,7 +10,6 @@ later piece can still start at meet in one boundary, the ids up to it are final
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, fresh_name, give_back, on_arrow, ragged_take, slices, text_bytes
+from .common import WordTable, bounded_batches, crc32_of, fresh_name, give_back, ragged_take, slices, text_bytes
 
 SPACE = "▁"
 #: Odd, so that hashes of different characters differ; pieces are short.
@@ -44,7 +43,7 @@ def highest_bit(x: np.ndarray) -> np.ndarray:
 class Flags:
     """A bounded table of known answers by 64-bit key (0 and more), asked for many at once."""
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self):
         self.clear()
@@ -126,7 +125,7 @@ class Model:
             order = np.argsort(h)
             self.hashed.append((h[order], np.array([self.ids[p] for p in of], dtype=np.int64)[order]))
         self.pairs = Flags()
-        self.units = WordTable(self.encode_units)
+        self.units = WordTable(self.encode_units, 1 << 20)
         self.stems: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -303,7 +302,7 @@ class Model:
             if len(parts[-1]) > 1 and parts[-1][-2:] not in inside:
                 parts[-1:] = [parts[-1][:-1], parts[-1][-1]]
             plans.append([p for p in parts if p])
-        if len(self.stems) > 200_000:
+        if len(self.stems) > 50_000:
             self.stems = {}
         new = [p for p in dict.fromkeys(p for ps in plans for p in ps) if p not in self.stems]
         self.stems.update(zip(new, self.search_many(new), strict=True))
@@ -431,20 +430,22 @@ def decode_batch(model: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def encode_udf(path: str):
-    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    # all that a caller may ask for is told at once: each further Python step in a plan takes workers of its own
+    @F.arrow_udf("struct<ids:array<int>,ids_crc32:long,round_trip:boolean>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(path)
         for batch in batches:
-            all_ids, lens, same = [], [], []
+            all_ids, lens, same, sums = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [], []
             for texts in slices(batch):
                 ids, at = encode_batch(model, texts)
                 back = decode_batch(model, ids, at)
                 same += [b == (t or "").replace(SPACE, " ").encode() for b, t in zip(back, texts.to_pylist())]
+                sums += crc32_of(ids, at)
                 all_ids.append(ids)
                 lens.append(np.diff(at))
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32) if lens else np.zeros(1, dtype=np.int32)
-            flat = np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32)
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, type=pa.bool_())], names=["ids", "round_trip"])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids)))
+            yield pa.StructArray.from_arrays([lists, pa.array(sums, type=pa.int64()), pa.array(same, type=pa.bool_())], names=["ids", "ids_crc32", "round_trip"])
             give_back()
 
     return encode
@@ -463,24 +464,17 @@ def decode_udf(path: str):
 
 
 def encode_texts(docs: DataFrame, model: str, text_col: str = "text", into: str = "encoded") -> DataFrame:
-    """docs with a struct column: ids (as the library encodes the whole text, no control ids) and round_trip.
+    """docs with a struct column: ids (as the library encodes the whole text, no control ids), ids_crc32 and round_trip.
 
+    ids_crc32 is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers.
     round_trip tells whether decoding the ids gives the text back (a literal U+2581 comes back as a
-    space). Null and empty texts have no ids and round_trip true. All rows and columns stay.
+    space). Null and empty texts have no ids and round_trip true. All rows and columns stay, repeated rows too.
     """
     return bounded_batches(docs).withColumn(into, encode_udf(model)(F.col(text_col)))
 
 
-@on_arrow("long")
-def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        ids, at = batch.flatten().to_numpy(zero_copy_only=False).astype("<u4"), batch.offsets.to_numpy()
-        at = at - at[0]
-        yield pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], type=pa.int64())
-
-
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (as in token_output), round_trip."""
     into = fresh_name(docs, "encoded")
     rows = encode_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, into=into)
-    return rows.select("doc_id", F.size(f"{into}.ids").cast("long").alias("n_tokens"), ids_crc32(f"{into}.ids").alias("ids_crc32"), F.col(f"{into}.round_trip").alias("round_trip"))
+    return rows.select("doc_id", F.size(f"{into}.ids").cast("long").alias("n_tokens"), F.col(f"{into}.ids_crc32").alias("ids_crc32"), F.col(f"{into}.round_trip").alias("round_trip"))

@@ -9,7 +9,6 @@ tokenizer's own pre-split never joins what a space or newline separates.
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, give_back, new_path, on_arrow, slices, text_bytes, word_spans
+from .common import WordTable, bounded_batches, crc32_of, give_back, new_path, on_arrow, slices, text_bytes, word_spans
 
 #: The tokenizer's own pre-split never joins what these separate.
 SEPARATORS = b" \n"
@@ -127,9 +126,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def crc32_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     for batch in batches:
-        ids, at = batch.flatten().to_numpy(zero_copy_only=False).astype("<u4"), batch.offsets.to_numpy()
-        at = at - at[0]
-        yield pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], type=pa.int64())
+        at = batch.offsets.to_numpy()
+        yield pa.array(crc32_of(batch.flatten().to_numpy(zero_copy_only=False), at - at[0]), type=pa.int64())
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

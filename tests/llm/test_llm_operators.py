@@ -667,6 +667,21 @@ def test_viterbi_equals_enumeration():
         assert value(path[a:b].tolist()) == pytest.approx(best, abs=1e-5)
 
 
+@pytest.mark.parametrize("scale", [0.5, 3.0, 8.0])
+def test_best_path_equals_viterbi(scale):
+    rng = np.random.default_rng(int(10 * scale))
+    lens = np.concatenate([[0], rng.integers(1, 60, 80), [0, 0, 3000, 1]])
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    emit = rng.normal(size=(starts[-1], 4)).astype(np.float32) * scale
+    for a, b in itertools.pairwise(starts.tolist()):  # a main language with spans of another one
+        emit[a:b, rng.integers(0, 4)] += 2 * scale
+        if b - a > 20 and rng.random() < 0.5:
+            emit[a + 5 : a + 15, rng.integers(0, 4)] += 4 * scale
+    emit[5:9, 1] = -1e6
+    want = language_id.viterbi(emit, np.arange(len(emit)), starts, 6.0)
+    assert (language_id.best_path(emit, starts, 6.0) == want).all()
+
+
 def brute_windows(texts, items, n=10):
     out = []
     for t in texts:
@@ -729,6 +744,10 @@ def test_decontamination_in_blocks(spark, monkeypatch):
         many = decontaminate.find_contamination(df, bench)
         assert many.columns == one.columns
         assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+        cut = decontaminate.remove_contamination(df, bench)
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1 << 20)
+        assert sorted(map(str, cut.collect())) == sorted(map(str, decontaminate.remove_contamination(df, bench).collect()))
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
 
 
 def test_windows_of_a_block_are_small():
