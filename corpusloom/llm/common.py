@@ -179,6 +179,39 @@ def word_spans(data: np.ndarray, at: np.ndarray, separators: bytes) -> tuple[np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: ASCII that is neither letter, digit, white space nor control.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
+
+def without_end_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, with the marks at the end of a word that come after an ASCII letter as words of their own."""
+    at, live = ends.copy(), np.arange(len(ends))
+    while len(live):
+        live = live[(at[live] > starts[live]) & MARKS[data[np.maximum(at[live], 1) - 1]]]
+        at[live] -= 1
+    cut = (at < ends) & (at > starts)
+    cut[cut] = LETTERS[data[at[cut] - 1]]
+    pick = np.repeat(np.arange(len(ends)), 1 + cut)
+    second = np.concatenate([[False], pick[1:] == pick[:-1]])
+    first = np.concatenate([pick[1:] == pick[:-1], [False]])
+    return np.where(second, at[pick], starts[pick]), np.where(first, at[pick], ends[pick])
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make(), once in this Python worker: workers live on between tasks. What was kept under another key goes first."""
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def crc32_of(ids: np.ndarray, at: np.ndarray) -> list[int]:
     """Unsigned CRC-32 of each list ids[at[i]:at[i+1]] as little-endian unsigned 32-bit integers."""
     ids = np.ascontiguousarray(ids).astype("<u4", copy=False)

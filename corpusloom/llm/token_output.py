@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, crc32_of, give_back, new_path, on_arrow, slices, text_bytes, word_spans
+from .common import MARKS, WordTable, bounded_batches, crc32_of, give_back, kept, new_path, on_arrow, slices, text_bytes, without_end_marks, word_spans
 
 #: The tokenizer's own pre-split never joins what these separate.
 SEPARATORS = b" \n"
+#: A-Z as a-z.
+FOLDED = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
 #: Ids are few against their number: a dictionary; counters grow slowly: deltas (Parquet's version 2 writes them where no dictionary is).
 WRITER = {
@@ -46,6 +48,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = WordTable(self.encode_words)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Two properties of the file that make the words fewer: case is folded, and marks are split from letters.
+        self.folds = self.alike("The Of Zebra", "the of zebra")
+        self.marks_apart = all(self.alike(f"word{m} x", f"word {m} x") for m in [*map(chr, np.flatnonzero(MARKS)), '."', "',", "):", "!!!"])
+
+    def alike(self, a: str, b: str) -> bool:
+        return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Many words are one text with a newline between them; the places of the tokens tell the words apart."""
@@ -62,9 +71,16 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin; end_id follows each text."""
         data, begin = text_bytes(texts)
-        first, after, words_at = word_spans(data, begin, SEPARATORS)
+        folded = FOLDED[data]
+        held = folded.tobytes()
+        plain = not any(x in held for x in self.special)  # special tokens are told before case is folded, marks and all
+        if plain and self.folds:
+            data = folded
+        first, after, _ = word_spans(data, begin, SEPARATORS)
+        if plain and self.marks_apart:
+            first, after = without_end_marks(data, first, after)
         ids, sizes = self.words.lists(data, first, after)
-        at = np.concatenate([[0], np.cumsum(sizes)])[words_at]
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(first, begin)]
         if end_id is not None:
             n = len(texts)
             ids = np.insert(ids, at[1:], end_id)
@@ -72,15 +88,6 @@ class Encoder:
         return ids.astype(np.int32), at
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write files under ``to`` in ascending id order; null texts are empty.
 
@@ -92,7 +99,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None =
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, start = kept(("tokens", tokenizer), lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
             for texts in slices(batch.column(1)):
