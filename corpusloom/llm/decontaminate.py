@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_name, give_back, materialise, on_arrow, slices
+from .common import bounded_batches, fresh_name, give_back, kept, materialise, on_arrow, slices
 
 WINDOW = 10
 #: Benchmark items are searched in blocks of so many bytes of text, so what each task holds is bounded.
@@ -234,17 +234,9 @@ RESULT = "n_words:long,n_hit:long,items:array<string>,spans:array<struct<first:l
 FIELDS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))]
 
 
-#: The windows of the block that this Python worker searched last; a block is built once in each worker, not in each task.
-_built: dict[tuple[str, int], Windows] = {}
-
-
 def windows_of(block, window: int) -> Windows:
-    """block: a broadcast (name, items)."""
-    key = (block.value[0], window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Windows(block.value[1], window)
-    return _built[key]
+    """block: a broadcast (name, items); it is built once in each worker, not in each task."""
+    return kept(("windows", block.value[0], window), lambda: Windows(block.value[1], window))
 
 
 def search_udf(block, window: int, cut: bool = False):

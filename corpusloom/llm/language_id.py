@@ -8,6 +8,7 @@ labels most of its letters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, fresh_name, give_back, slices, text_bytes, word_spans
+from .common import WordTable, bounded_batches, fresh_name, give_back, kept, slices, text_bytes, word_spans
 
 #: n-grams are hashed into so many slots; with many languages into fewer, so that the model has ENTRIES numbers at most.
 SLOTS, ENTRIES = 1 << 16, 1 << 23
@@ -29,7 +30,6 @@ SLICE = 4 << 20
 #: So many words are scored at once.
 BLOCK = 16_384
 PENALTY = 6.0
-LOSS = 50.0
 #: A language counts as written in a script if so large a share of its letters is.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ class Model:
     logs: np.ndarray  # slots x languages
     allowed: np.ndarray  # scripts x languages
     penalty: float = PENALTY
-    table: WordTable | None = None
+    name: str = ""  # tells models apart
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of raw tokens: scores by language (n x languages) and numbers of letters."""
@@ -106,9 +106,8 @@ class Model:
 
     def words(self) -> WordTable:
         """Letters and scores of the words seen by this worker, which are scored once."""
-        if self.table is None:
-            self.table = WordTable(self.rows, max(1024, min(1 << 20, (1 << 25) // (len(self.languages) + 1))))
-        return self.table
+        most = max(1024, min(1 << 20, (1 << 25) // (len(self.languages) + 1)))
+        return kept(("languages", self.name), lambda: WordTable(self.rows, most))
 
     def rows(self, words: list[bytes]) -> list[bytes]:
         """Of each word its letters, then its scores, as 32-bit numbers."""
@@ -124,45 +123,12 @@ class Model:
         rows = self.words().lists(data, first, after)[0].reshape(len(first), len(self.languages) + 1)
         useful = rows[:, 0] > 0
         kept, rows = np.concatenate([[0], np.cumsum(useful)])[at], rows[useful]
-        path = best_path(np.ascontiguousarray(rows[:, 1:]).view(np.float32), kept, self.penalty)
+        path = viterbi(np.ascontiguousarray(rows[:, 1:]).view(np.float32), np.arange(len(rows)), kept, self.penalty)
         share = np.zeros((len(at) - 1, len(self.languages)))
         np.add.at(share, (np.repeat(np.arange(len(at) - 1), np.diff(kept)), path), rows[:, 0])
         return [path[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist())], share
 
 
-def best_path(emit: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
-    """viterbi() of each sequence of rows emit[starts[i]:starts[i+1]].
-
-    Most texts stay in the language b of the best sum, and that can be seen without the search: if no stretch
-    of words gains as much as the penalty in another language over b, no way that leaves b and has b in it
-    pays, and if the best other languages of all words together don't either, no way without b does.
-    """
-    n, k = emit.shape
-    full = np.flatnonzero(np.diff(starts))
-    if not n:
-        return np.zeros(0, dtype=np.int16)
-    lens = np.diff(starts)[full]
-    best = np.add.reduceat(emit, starts[:-1][full], axis=0, dtype=np.float64).argmax(axis=1)
-    path = np.repeat(best, lens).astype(np.int16)
-    # losses beyond LOSS count as that: the gains found are no less than the true ones
-    gain = np.maximum(emit.astype(np.float64) - emit[np.arange(n), path][:, None], -LOSS)
-    most = np.zeros(len(full))
-    for c in range(k):
-        sums = np.cumsum(gain[:, c])
-        # a text's sums lie below those of all texts before it, so the running minimum begins anew with each
-        before = np.concatenate([[0.0], sums[:-1]]) - np.repeat(np.arange(len(full)), lens) * (2.0 * np.abs(sums).max() + 1)
-        rise = sums - (np.minimum.accumulate(before) + np.repeat(np.arange(len(full)), lens) * (2.0 * np.abs(sums).max() + 1))
-        most = np.maximum(most, np.maximum.reduceat(rise, starts[:-1][full]))
-    gain[np.arange(n), path] = -np.inf
-    others = np.add.reduceat(gain.max(axis=1), starts[:-1][full]) if k > 1 else np.full(len(full), -np.inf)
-    # what rounding can have changed is searched
-    mixed = np.flatnonzero((most > penalty - 0.01) | (others > penalty - 0.01))
-    if len(mixed):
-        words = np.repeat(np.isin(np.arange(len(full)), mixed), lens)
-        path[words] = viterbi(emit, np.flatnonzero(words), np.concatenate([[0], np.cumsum(lens[mixed])]), penalty)
-    return path
-
-
 def viterbi(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best path of each sequence codes[starts[i]:starts[i+1]], all sequences a step at a time, longest first."""
     n, k = len(starts) - 1, emit.shape[1]
@@ -218,16 +184,20 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, scripts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = [w for w in NOT_LETTERS.split(text.as_py().lower()) if LETTER.search(w)]
-                if words:
-                    slots, _, script, letters = features(words)
-                    codes.append((slots >> shift) * len(languages) + lang)
-                    scripts.append(np.repeat(script, letters) * len(languages) + lang)
-            for kind, found in (("slot", codes), ("script", scripts)):
-                code, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(code), type=pa.string()), pa.array(code), pa.array(n)], names=["kind", "code", "n"])
+            at = 0
+            for texts in slices(batch.column(0), 1 << 18):
+                codes, scripts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for text, lang in zip(texts, batch.column(1).slice(at, len(texts)).to_pylist()):
+                    words = [w for w in NOT_LETTERS.split(text.as_py().lower()) if LETTER.search(w)]
+                    if words:
+                        slots, _, script, letters = features(words)
+                        codes.append((slots >> shift) * len(languages) + lang)
+                        scripts.append(np.repeat(script, letters) * len(languages) + lang)
+                at += len(texts)
+                for kind, found in (("slot", codes), ("script", scripts)):
+                    code, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(code), type=pa.string()), pa.array(code), pa.array(n)], names=["kind", "code", "n"])
+            give_back()
 
     summed = sample.select("text", "number").mapInArrow(count, "kind string, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     kind, code, n = (summed.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "code", "n"))
@@ -235,7 +205,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     is_slot = kind == "slot"
     table.reshape(-1)[code[is_slot].astype(np.int64)] += n[is_slot]
     scripts.reshape(-1)[code[~is_slot].astype(np.int64)] = n[~is_slot]
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
+    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)), name=uuid.uuid4().hex)
 
 
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))])

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, crc32_of, fresh_name, give_back, ragged_take, slices, text_bytes
+from .common import WordTable, bounded_batches, crc32_of, fresh_name, give_back, kept, ragged_take, slices, text_bytes
 
 SPACE = "▁"
 #: Odd, so that hashes of different characters differ; pieces are short.
@@ -380,13 +380,8 @@ class Stream:
         return [i for p in reversed(back) for i in self.model.piece_ids(p)]
 
 
-_models: dict[str, Model] = {}
-
-
 def model_of(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    return kept(("pieces", path), lambda: Model(path))
 
 
 def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
