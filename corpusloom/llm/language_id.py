@@ -30,6 +30,8 @@ SLICE = 4 << 20
 #: So many words are scored at once.
 BLOCK = 16_384
 PENALTY = 6.0
+#: Words of a text that are searched one after the other; the pieces of a long text are searched at once.
+PIECE = 256
 #: A language counts as written in a script if so large a share of its letters is.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -129,36 +131,74 @@ class Model:
         return [path[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist())], share
 
 
-def viterbi(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
-    """The best path of each sequence codes[starts[i]:starts[i+1]], all sequences a step at a time, longest first."""
-    n, k = len(starts) - 1, emit.shape[1]
-    lens = np.diff(starts)
+def forward(emit: np.ndarray, codes: np.ndarray, at: np.ndarray, lens: np.ndarray, state: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lanes a step at a time; a lane is emit[codes[at[i]:at[i]+lens[i]]] after a state of its own.
+
+    The states after each lane's last word, where each word's language came from, and where each lane begins there.
+    """
     order = np.argsort(-lens, kind="stable")
-    lens, begin = lens[order], starts[:-1][order]
-    path = np.zeros(len(codes), dtype=np.int16)
+    sizes, spot, s_all = lens[order], at[order], state[order]
+    store = np.cumsum(sizes) - sizes
+    k, m = emit.shape[1], len(lens)
+    own, lanes = np.arange(k, dtype=np.int16), np.arange(m)
+    came = np.zeros((int(sizes.sum()), k), dtype=np.int16)
+    active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # of each step, the lanes longer than it
+    for t in range(int(sizes[0])):
+        m = active[t]
+        s = s_all[:m]
+        best = s.argmax(axis=1)
+        jump = s[lanes[:m], best] - penalty
+        switch = jump[:, None] > s
+        came[store[:m] + t] = np.where(switch, best[:, None].astype(np.int16), own)
+        s_all[:m] = np.where(switch, jump[:, None], s) + emit[codes[spot[:m] + t]]
+    back = np.argsort(order)
+    return s_all[back], came, store[back]
+
+
+def viterbi(emit: np.ndarray, codes: np.ndarray, starts: np.ndarray, penalty: float, piece: int = PIECE) -> np.ndarray:
+    """The best path of each sequence codes[starts[i]:starts[i+1]].
+
+    All sequences are searched at once, and long ones in pieces at once: a piece but the first is searched
+    after each language that the word before it can have, and the pieces are put together at the end.
+    """
+    k, path = emit.shape[1], np.zeros(len(codes), dtype=np.int16)
     if not len(codes):
         return path
-    came = np.zeros((len(codes), k), dtype=np.int16)
-    active = np.searchsorted(-lens, -np.arange(int(lens[0]) + 1), side="left")  # of each step, the sequences longer than it
-    state = np.zeros((n, k), dtype=np.float32)
-    own = np.arange(k, dtype=np.int16)
-    for t in range(int(lens[0])):
-        m = active[t]
-        at = begin[:m] + t
-        s = state[:m]
-        if t:
-            best = s.argmax(axis=1)
-            jump = s[np.arange(m), best] - penalty
-            switch = jump[:, None] > s
-            came[at] = np.where(switch, best[:, None].astype(np.int16), own)
-            s = np.where(switch, jump[:, None], s)
-        state[:m] = s + emit[codes[at]]
-    now = state.argmax(axis=1).astype(np.int16)
-    for t in range(int(lens[0]) - 1, -1, -1):
+    lens = np.diff(starts)
+    size = piece if k <= 16 else int(lens.max())
+    count = -(-lens // size)
+    text = np.repeat(np.arange(len(lens)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    at, long = starts[:-1][text] + nth * size, np.minimum(size, lens[text] - nth * size)
+    lane_of = np.concatenate([[0], np.cumsum(np.where(nth == 0, 1, k))])  # of each piece, its first lane
+    of = np.repeat(np.arange(len(text)), np.diff(lane_of))
+    before = np.arange(len(of)) - lane_of[of]
+    state = np.where(before[:, None] == np.arange(k), 0.0, -np.inf).astype(np.float32)
+    state[nth[of] == 0] = 0
+    ended, came, store = forward(emit, codes, at[of], long[of], state, penalty)
+    # from the last piece of each text back: the language that it ends with, and the one before its first word
+    end, lane = np.zeros(len(text), dtype=np.int64), lane_of[:-1].copy()
+    last = np.flatnonzero(np.concatenate([nth[1:] == 0, [True]]))
+    end[last] = ended[lane[last]].argmax(axis=1)
+    for p in last[nth[last] > 0].tolist():
+        first = p - nth[p]
+        sums, froms = ended[lane[first]], []
+        for q in range(first + 1, p + 1):
+            through = sums[:, None] + ended[lane_of[q] : lane_of[q] + k]
+            froms.append(through.argmax(axis=0))
+            sums = through.max(axis=0)
+        now = int(sums.argmax())
+        for q in range(p, first, -1):
+            end[q], now = now, int(froms[q - first - 1][now])
+            lane[q] = lane_of[q] + now
+        end[first] = now
+    order = np.argsort(-long, kind="stable")
+    sizes, spot, kept, now = long[order], at[order], store[lane[order]], end[order].astype(np.int16)
+    active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+    for t in range(int(sizes[0]) - 1, -1, -1):
         m = active[t]
-        at = begin[:m] + t
-        path[at] = now[:m]
-        now[:m] = came[at, now[:m]] if t else now[:m]
+        path[spot[:m] + t] = now[:m]
+        now[:m] = came[kept[:m] + t, now[:m]]
     return path
 
 
