@@ -300,7 +300,7 @@ STEP = 1 << 22
 #: Of 16 shingles, those whose owners are counted over all texts: more than the fifth that near copies may differ in.
 TRACKED = 5
 #: A block of more sets than this is compared in parts, after a first look at so many pivots.
-SPLIT_SETS, PIVOTS = 2048, 8
+SPLIT_SETS, PIVOTS = 256, 8
 
 
 def shingle_set_udf(shingle: int):
