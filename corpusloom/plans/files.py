@@ -42,14 +42,14 @@ def labelled_csv(t: Tables) -> DataFrame:
     return io.read_labelled_csv(t.spark, path, "Query", "Label", " normal")
 
 
-@query("k2_k3_s2_event_log", "SELECT event_type, count(*) AS n, 0::BIGINT AS bad FROM events GROUP BY event_type UNION ALL SELECT 'bad', 0, count(*) FROM events WHERE event_id % 100 = 0")
+@query("k2_k3_s2_event_log", "SELECT event_type, count(*) AS n, 0::BIGINT AS bad FROM events GROUP BY event_type UNION ALL SELECT 'bad', 0, count(*) FROM events WHERE event_type = 'error'")
 def event_log(t: Tables) -> DataFrame:
-    """Half of the events written, the other half and broken lines appended."""
-    path, half = io.scratch_folder(t.spark), F.col("event_id") % 2 == 0
-    rows = t.events.select("event_id", "event_type")
+    """Some of the events written, the others appended, and a broken line for each error."""
+    path, half = io.scratch_folder(t.spark), F.col("value") < 50
+    rows = t.events.select("event_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
     io.write_jsonl(rows.where(half), path)
     io.append_events(rows.where(~half), path)
-    rows.where("event_id % 100 = 0").select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    rows.where("event_type = 'error'").select(F.lit("{broken").alias("value")).write.mode("append").text(path)
     good, bad = io.read_jsonl(t.spark, path, "event_id long, event_type string")
     counted = good.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("bad", F.lit(0).cast("long"))
     return counted.unionByName(bad.agg(F.count("*").alias("bad")).select(F.lit("bad").alias("event_type"), F.lit(0).cast("long").alias("n"), "bad"))

@@ -645,18 +645,18 @@ def count_mismatches(t):
     return contracts.count_mismatches(a, d, "split", "n", "count")
 
 
-@query("v3_j6_a24_selection", """WITH r AS (SELECT l.doc_id AS o, l.doc_id % 50 AS p, toxic = 0 AS label, quality::VARCHAR AS cluster, lang AS sha FROM labels l JOIN documents USING (doc_id)), par AS (SELECT doc_id AS p, lang AS sha, doc_id % 2 = 0 AS label, (doc_id % 3)::VARCHAR AS cluster FROM documents WHERE doc_id < 40)
+@query("v3_j6_a24_selection", """WITH r AS (SELECT l.doc_id AS o, n_chars::BIGINT AS p, toxic = 0 AS label, quality::VARCHAR AS cluster, lang AS sha FROM labels l JOIN documents USING (doc_id)), par AS (SELECT doc_id AS p, lang AS sha, doc_id % 2 = 0 AS label, (doc_id % 3)::VARCHAR AS cluster FROM documents)
 SELECT 'unique' AS rule, p::VARCHAR AS subject, '1' AS expected, count(*)::VARCHAR AS observed FROM r GROUP BY p HAVING count(*) > 1
 UNION ALL SELECT 'quota', cluster, '50', count(*)::VARCHAR FROM r WHERE NOT label GROUP BY cluster HAVING count(*) <> 50
 UNION ALL SELECT 'parent_sha256', r.p::VARCHAR, r.sha, par.sha FROM r LEFT JOIN par ON par.p = r.p WHERE par.sha IS DISTINCT FROM r.sha
 UNION ALL SELECT 'parent_label', r.p::VARCHAR, r.label::VARCHAR, par.label::VARCHAR FROM r LEFT JOIN par ON par.p = r.p WHERE par.label IS DISTINCT FROM r.label
 UNION ALL SELECT 'parent_cluster', r.p::VARCHAR, r.cluster, par.cluster FROM r LEFT JOIN par ON par.p = r.p WHERE par.cluster IS DISTINCT FROM r.cluster""")
 def selection(t):
-    """The first 40 documents are the parents of records that name 50, so some parents are missing."""
+    """A record names its document's number of characters as its parent: some of these documents are there, some are named twice."""
     d = F.col("doc_id")
-    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select(d.alias("output_index"), (d % 50).alias("parent_index"), F.col("lang").alias("record_sha256"), (F.col("toxic") == 0).alias("label"), F.col("quality").cast("string").alias("cluster"))
+    rows = t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id").select(d.alias("output_index"), F.col("n_chars").cast("long").alias("parent_index"), F.col("lang").alias("record_sha256"), (F.col("toxic") == 0).alias("label"), F.col("quality").cast("string").alias("cluster"))
     outputs = rows.select(F.col("output_index").alias("index"), F.col("record_sha256").alias("sha256"), "label", "cluster")
-    parents = t.documents.where("doc_id < 40").select(d.alias("index"), F.col("lang").alias("sha256"), (d % 2 == 0).alias("label"), (d % 3).cast("string").alias("cluster"))
+    parents = t.documents.select(d.alias("index"), F.col("lang").alias("sha256"), (d % 2 == 0).alias("label"), (d % 3).cast("string").alias("cluster"))
     return contracts.selection_violations(rows, outputs, parents, 50)
 
 
