@@ -156,6 +156,30 @@ def test_split_buckets_and_blocks(spark, rows, docs, monkeypatch):
     assert stage_kept(spark, texts) == sorted({p: min(i for i, q in enumerate(parent) if q == p) for p in parent}.values())
 
 
+def test_hot_groups_at_production_bounds(spark):
+    """Most rows are copies or near copies of one text: nothing is lost, and each group keeps one row."""
+    rng = random.Random(30)
+    base = words(rng, 120)
+    texts = [" ".join(base)] * 900
+    for _ in range(500):
+        t = list(base)
+        t[rng.randrange(120)] = f"odd{rng.randrange(10_000)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(words(rng, 60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["id"]: r for r in exact_dedup.exact_duplicates(df).collect()}
+    assert len(got) == len(texts) and all(got[i]["keep_id"] == 899 and got[i]["group_size"] == 900 for i in range(900)) and got[899]["kept"]
+    assert stage_kept(spark, texts) == [0, *range(1400, 1440)]
+    prints = [simhash_of(t) for t in texts]
+    distinct = sorted(set(prints))
+    label = least_reachable(len(distinct), np.argwhere(np.bitwise_count(np.array(distinct, dtype=np.uint64)[:, None] ^ np.array(distinct, dtype=np.uint64)[None, :]) <= 4))
+    of = dict(zip(distinct, label.tolist()))
+    least = {}
+    for i, p in enumerate(prints):
+        least.setdefault(of[p], i)
+    assert {r["id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {i: least[of[p]] for i, p in enumerate(prints)}
+
+
 def test_masks_miss_no_pair():
     rng = random.Random(5)
     for n in (10, 10_000, 1 << 20, 1 << 26, 1 << 34):
