@@ -212,6 +212,11 @@ def kept(key, make):
     return _kept[key]
 
 
+def drop_kept() -> None:
+    """For steps that keep nothing: what another step kept in this worker goes."""
+    _kept.clear()
+
+
 def crc32_of(ids: np.ndarray, at: np.ndarray) -> list[int]:
     """Unsigned CRC-32 of each list ids[at[i]:at[i+1]] as little-endian unsigned 32-bit integers."""
     ids = np.ascontiguousarray(ids).astype("<u4", copy=False)
@@ -376,9 +381,13 @@ def give_back() -> None:
 
 
 def on_arrow(ddl: str):
-    """Make a function over iterators of Arrow arrays into one over columns; the UDF is built on each call, when a session is there."""
+    """Make a function over iterators of Arrow arrays into one over columns; the UDF is built on each call, when a session is there.
+
+    A filter on its result, such as a join's on its keys, would be moved before it and the step be run
+    twice; called nondeterministic it runs once.
+    """
 
     def made(fn):
-        return lambda *cols: F.arrow_udf(fn, ddl)(*cols)
+        return lambda *cols: F.arrow_udf(fn, ddl).asNondeterministic()(*cols)
 
     return made

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, join_unique, keep_rows, materialise, on_arrow, text_key
+from .common import ascii_lower, bounded_batches, drop_kept, join_unique, keep_rows, materialise, on_arrow, text_key
 
 PRIMES = (2147483647, 2147483629)
 BASE = (1_000_003, 998_244_353)
@@ -62,12 +62,14 @@ def parts_array(found: list[tuple[int, int, int]]) -> pa.Array:
 
 @on_arrow(PARTS)
 def prints_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    drop_kept()
     for batch in batches:
         yield parts_array([fingerprint(normal(t.as_py())) for t in batch])
 
 
 @on_arrow("struct<h1:long,h2:long,len:long,sha:string>")
 def prints_and_sha_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    drop_kept()
     for batch in batches:
         found, sha = [], []
         for t in batch:
