@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_batches, fresh_name, give_back, kept, slices, text_bytes, word_spans
+from .common import WordTable, bounded_batches, drop_kept, fresh_name, give_back, kept, slices, text_bytes, word_spans
 
 #: n-grams are hashed into so many slots; with many languages into fewer, so that the model has ENTRIES numbers at most.
 SLOTS, ENTRIES = 1 << 16, 1 << 23
@@ -26,7 +26,7 @@ NGRAMS = (1, 2, 3)
 #: So many labelled texts of each language are expected in the sample that the model is fitted on.
 SAMPLE_PER_LANGUAGE = 4000
 #: Bytes of text that are labelled at once, with up to 8 languages; fewer with more.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: So many words are scored at once.
 BLOCK = 16_384
 PENALTY = 6.0
@@ -108,7 +108,7 @@ class Model:
 
     def words(self) -> WordTable:
         """Letters and scores of the words seen by this worker, which are scored once."""
-        most = max(1024, min(1 << 20, (1 << 25) // (len(self.languages) + 1)))
+        most = max(1024, min(1 << 19, (1 << 24) // (len(self.languages) + 1)))
         return kept(("languages", self.name), lambda: WordTable(self.rows, most))
 
     def rows(self, words: list[bytes]) -> list[bytes]:
@@ -223,6 +223,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_languag
     sample = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             at = 0
             for texts in slices(batch.column(0), 1 << 18):
@@ -277,7 +278,8 @@ def predict_udf(shared, spans: bool):
             yield pa.array(rows, type=RESULT)
             give_back()
 
-    return predict
+    # a filter on the result would be moved before it, and the step be run twice
+    return predict.asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", into: str = "language", spans: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, join_unique, keep_rows, materialise, ragged_take, text_key
+from .common import bounded_batches, drop_kept, give_back, join_unique, keep_rows, materialise, ragged_take, text_key
 from .components import connected_components
 
 SEED = 42
@@ -61,6 +61,7 @@ def majority(h: np.ndarray) -> np.uint64:
 def fingerprint_udf(shingle: int):
     @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         for batch in batches:
             out = np.zeros(len(batch), dtype=np.uint64)
             for i, text in enumerate(batch):
@@ -306,6 +307,7 @@ SPLIT_SETS, PIVOTS = 256, 8
 def shingle_set_udf(shingle: int):
     @F.arrow_udf("array<long>")
     def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         for batch in batches:
             sets = [np.unique(shingle_hashes(text.as_py(), shingle)) for text in batch]
             ends = np.zeros(len(sets) + 1, dtype=np.int32)
