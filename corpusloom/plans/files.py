@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,10 +87,8 @@ def output_paths(t: Tables) -> DataFrame:
 
 @query("s6_s7_database", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, (SELECT max(n_nationkey)::VARCHAR FROM nation) AS top, '' AS none FROM nation")
 def database(t: Tables) -> DataFrame:
-    """A table in an in-memory database of this process, sampled and asked for single values over JDBC."""
-    url, driver = "jdbc:derby:memory:corpusloom;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    t.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
-    t.nation.select("n_nationkey", "n_name").coalesce(1).write.mode("overwrite").jdbc(url, "nation", properties=driver)
+    """A table in a database of its own, sampled and asked for single values over JDBC."""
+    url, driver = io.small_database(t.nation.select("n_nationkey", "n_name"), "nation"), {"driver": io.DERBY}
     rows = io.read_table(t.spark, url, "nation", ["n_nationkey", "n_name"], 100, **driver)
     top = io.scalar_query(t.spark, url, 'SELECT max("n_nationkey") AS top FROM nation', **driver)
     none = io.scalar_query(t.spark, url, "SELECT no_such_column FROM nation", **driver)

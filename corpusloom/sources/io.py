@@ -8,8 +8,10 @@ from __future__ import annotations
 import json
 import logging
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +113,43 @@ def scalar_query(spark: SparkSession, url: str, query: str, **options: str) -> s
     return "" if row is None or row[0] is None else str(row[0])
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def small_database(df: DataFrame, table: str) -> str:
+    """The JDBC url of a new read-only database with the rows of a small df, which every executor and the driver can read.
+
+    An embedded database belongs to one process: one in memory or in a folder that the driver fills is not
+    there for executors. So the driver makes it, closes it, and Spark ships it to each process in a JAR.
+    """
+    spark, name = df.sparkSession, f"corpusloom_{uuid.uuid4().hex}"
+    jvm, made = spark._jvm, os.path.realpath(tempfile.mkdtemp(prefix="corpusloom-"))
+    jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    driver, none = jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver(), jvm.java.util.Properties()
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get("jdbc:derby:")
+    link = driver.connect(f"jdbc:derby:{made}/{name};create=true", none)
+    schema = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.schemaString(dialect, df._jdf.schema(), False, jvm.scala.Option.empty())
+    link.createStatement().executeUpdate(f"CREATE TABLE {table} ({schema})")
+    insert = link.prepareStatement(f"INSERT INTO {table} VALUES ({', '.join('?' * len(df.columns))})")
+    for row in df.toLocalIterator():
+        for k, value in enumerate(row, 1):
+            insert.setObject(k, value)
+        insert.executeUpdate()
+    link.close()
+    try:
+        driver.connect(f"jdbc:derby:{made}/{name};shutdown=true", none)
+    except Exception as error:  # a database that has been closed says so by an error
+        if "08006" not in str(error.java_exception.getSQLState()):
+            raise
+    with zipfile.ZipFile(f"{made}/{name}.jar", "w") as out:
+        for f in sorted(Path(made, name).rglob("*")):
+            if f.suffix != ".lck":
+                out.write(f, f.relative_to(made))
+    shutil.rmtree(f"{made}/{name}")
+    spark.sql(f"ADD JAR '{made}/{name}.jar'")
+    return f"jdbc:derby:classpath:{name}"
+
+
 def sample_values(table: DataFrame, limit: int = 100) -> DataFrame:
     """(column, value) of the values of a bounded sample that are neither null nor empty."""
     rows = table.limit(limit).select([F.col(c).cast("string").alias(c) for c in table.columns])
