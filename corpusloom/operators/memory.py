@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from ..functions import text as X
 from ..functions.hashing import fingerprint, uniform
 
 FORMAT_VERSION = 1
+#: A row of a checkpoint holds about so many bytes of texts, and a task deals with so many.
+PART_BYTES, TASK_BYTES = 1 << 20, 16 << 20
+SPLIT_KEYS = 100_000
 
 
 def known_fingerprints(*tables: DataFrame, text: str) -> DataFrame:
@@ -49,8 +55,64 @@ def stats(df: DataFrame, category: str, text: str) -> DataFrame:
 
 
 def checkpoint_rows(df: DataFrame, category: str, text: str, taxonomy_version: int) -> DataFrame:
-    """One row for each category: versions, its texts in order and its sorted fingerprints."""
-    return df.groupBy(category).agg(F.array_sort(F.collect_list(text)).alias("templates"), F.array_sort(F.collect_set(fingerprint(F.col(text)))).alias("fingerprints")).withColumns({"format_version": F.lit(FORMAT_VERSION), "taxonomy_version": F.lit(taxonomy_version)})
+    """Rows of a category, in order of ``part`` and ``piece``: versions, sorted fingerprints and their texts in order.
+
+    A part is a range of fingerprints with about PART_BYTES of texts (copies and null texts too): a small
+    category is one row, and no row grows with the table. Of a fingerprint with more than that, the copies
+    are dealt over pieces, and the first piece has the fingerprint. df is read four times, thrice for sizes.
+    """
+    size = F.sum((F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"))  # and what an array takes for an element
+    total = df.agg(size).first()[0] or 0
+    # at most SPLIT_KEYS categories and fingerprints are larger than this, so lists of them can be broadcast
+    most = max(PART_BYTES, -(-total // SPLIT_KEYS))
+    large = lambda *keys: F.broadcast(df.groupBy(*keys).agg(F.ceil(size / most).cast("long").alias("__n")).where("__n > 1"))
+    parts = large(F.col(category).alias("__c")).withColumnRenamed("__n", "__parts")
+    pieces = large(F.col(category).alias("__h"), fingerprint(F.col(text)).alias("__hot")).withColumnRenamed("__n", "__pieces")
+    # the leading 32 bits of a fingerprint tell its range; null texts are in the first
+    bits = F.coalesce(F.conv(F.substring("__fp", 1, 8), 16, 10).cast("long"), F.lit(0))
+    part = F.shiftright(bits * F.coalesce("__parts", F.lit(1)), 32)
+    piece = F.pmod(F.monotonically_increasing_id(), F.coalesce("__pieces", F.lit(1)))
+    dealt = (
+        df.select(category, text, fingerprint(F.col(text)).alias("__fp"))
+        .join(parts, F.col(category).eqNullSafe(F.col("__c")), "left")
+        .join(pieces, F.col(category).eqNullSafe(F.col("__h")) & F.col("__fp").eqNullSafe(F.col("__hot")), "left")
+        .select(category, text, "__fp", part.alias("part"), piece.alias("piece"))
+        .repartition(max(1, -(-total // TASK_BYTES)), category, "part", "piece")
+    )
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(text).alias("t")))), lambda r: r["t"])  # a list of plain texts would lack the null ones
+    prints = F.array_sort(F.collect_set("__fp"))
+    return dealt.groupBy(category, "part", "piece").agg(texts.alias("templates"), prints.alias("fingerprints")).withColumns({"format_version": F.lit(FORMAT_VERSION), "taxonomy_version": F.lit(taxonomy_version)})
+
+
+def digests(rows: DataFrame, category: str) -> DataFrame:
+    """checkpoint_rows -> (category, n texts, digest): the MD5 of a category's sorted fingerprints joined by commas, null if it has none.
+
+    An MD5 is a chain, so the fingerprints of a category (never its texts) stream through one task, which
+    holds one Arrow batch.
+    """
+
+    def chained(batches):
+        now, n, md5, last = None, 0, None, None
+
+        def told():
+            return pa.RecordBatch.from_pydict({"category": [now], "n": [n], "digest": [md5.hexdigest() if last else None]}, schema=pa.schema([("category", pa.string()), ("n", pa.int64()), ("digest", pa.string())]))
+
+        for batch in batches:
+            for c, k, fp in zip(*(x.to_pylist() for x in batch.columns)):
+                if md5 is None or c != now:
+                    if md5 is not None:
+                        yield told()
+                    now, n, md5, last = c, 0, hashlib.md5(), None
+                n += k
+                if fp not in (None, last):  # the pieces of a part repeat one
+                    md5.update(f",{fp}".encode() if last else fp.encode())
+                    last = fp
+        if md5 is not None:
+            yield told()
+
+    one = rows.select(F.col(category).cast("string").alias("category"), F.size("templates").cast("long").alias("k"), F.posexplode_outer("fingerprints").alias("at", "fp"))
+    each = one.select("category", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("k")).otherwise(0).alias("k"), "fp")
+    return each.repartition("category").sortWithinPartitions("category", "fp").mapInArrow(chained, "category string, n long, digest string").withColumnRenamed("category", category)
 
 
 def save(df: DataFrame, path: str, category: str) -> None:

@@ -327,7 +327,7 @@ def memory_stats(t):
 @query("k7_v10_checkpoint_rows", f"SELECT lang, count(*) AS n, md5(string_agg(DISTINCT {FP}, ',' ORDER BY {FP})) AS digest FROM documents GROUP BY lang")
 def checkpoint_rows(t):
     rows = memory.checkpoint_rows(t.documents.select("lang", "text"), "lang", "text", taxonomy.VERSION)
-    return rows.select("lang", F.size("templates").cast("long").alias("n"), F.md5(F.array_join("fingerprints", ",").cast("binary")).alias("digest"))
+    return memory.digests(rows, "lang")
 
 
 # Placeholder texts made of words of the documents; no template is built in.

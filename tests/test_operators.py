@@ -1,6 +1,8 @@
 """Expectations with hand-computed numbers, edge cases and round trips."""
 
+import hashlib
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,25 @@ def test_memory(spark, tmp_path):
     assert memory.recorded(new, new).count() == 1
 
 
+def test_checkpoint_in_bounded_rows(spark, tmp_path, monkeypatch):
+    """A category larger than a row is dealt over several, a frequent text over pieces; nothing is lost."""
+    monkeypatch.setattr(memory, "PART_BYTES", 2000)
+    monkeypatch.setattr(memory, "TASK_BYTES", 8000)
+    texts = {"a": [f"text number {i}" for i in range(900)] + ["Hot  text"] * 300 + ["hot text"] * 300 + [None, None], "b": ["x", "X ", "y", ""], "c": [None], None: ["z", "z"]}
+    df = spark.createDataFrame([(c, t) for c, ts in texts.items() for t in ts], "category string, text string").repartition(5)
+    memory.save(memory.checkpoint_rows(df, "category", "text", 3), f"{tmp_path}/m", "category")
+    rows = memory.restore(spark, f"{tmp_path}/m", 3)
+    held = sorted(rows.collect(), key=lambda r: (str(r["category"]), r["part"], r["piece"]))
+    assert max(sum(16 + len(t or "") for t in r["templates"]) for r in held) < 3 * 2000 and sum(r["category"] == "b" for r in held) == 1
+    fps = {c: sorted({hashlib.md5(" ".join(t.lower().split()).encode()).hexdigest() for t in ts if t is not None}) for c, ts in texts.items()}
+    for c, ts in texts.items():
+        own = [r for r in held if r["category"] == c]
+        assert Counter(t for r in own for t in r["templates"]) == Counter(ts) and list(dict.fromkeys(f for r in own for f in r["fingerprints"])) == fps[c]
+        assert all(r["templates"] == sorted(r["templates"], key=lambda t: (t is not None, t or "")) for r in own)
+    want = {(c, len(ts), hashlib.md5(",".join(fps[c]).encode()).hexdigest() if fps[c] else None) for c, ts in texts.items()}
+    assert {tuple(r) for r in memory.digests(rows, "category").collect()} == want
+
+
 def test_prompts_and_records(spark):
     df = spark.createDataFrame([("SELECT 1", True, None), ("SELECT 2", False, "hard")], "sql string, label boolean, difficulty string")
     out = sft.sft_records(df.withColumn("technique", F.lit("t")), "Classify.", "sql_only", "sql", "label", ["technique"]).collect()
