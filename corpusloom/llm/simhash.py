@@ -115,7 +115,7 @@ class Index:
 
     LEAF, FAN, TOP_ROWS = 8, 4, 2048
 
-    def __init__(self, fps: np.ndarray, max_bits: int):
+    def __init__(self, fps: np.ndarray, max_bits: int, pairs: bool = False):
         self.fps, self.most, self.n = fps, max_bits, len(fps)
         self.parent = np.arange(self.n)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up: shared bits, their values, first rows
@@ -130,6 +130,8 @@ class Index:
             step = self.FAN
         #: Pairs of nodes looked at, those dropped with all below them, and pairs of fingerprints compared.
         self.tested = self.pruned = self.compared = 0
+        #: Where asked for, the pairs that joined two components, each within the bound: a spanning forest.
+        self.forest: list[np.ndarray] | None = [] if pairs else None
 
     def roots(self, at: np.ndarray) -> np.ndarray:
         up = self.parent[at]
@@ -146,7 +148,12 @@ class Index:
             a, b = self.roots(i), self.roots(j)
             apart = a != b
             i, j = i[apart], j[apart]
-            np.minimum.at(self.parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            np.minimum.at(self.parent, high, low)
+            if self.forest is not None:
+                won = np.flatnonzero(self.parent[high] == low)
+                won = won[np.unique(high[won], return_index=True)[1]]
+                self.forest.append(np.stack([i[won], j[won]], axis=1))
 
     def labels(self) -> list[np.ndarray]:
         """Of each node of each level its one component, or -1."""
@@ -210,25 +217,29 @@ class Index:
         return np.where(first == np.arange(n), -1, first)
 
 
-def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """Links (node, node) that connect what is connected in each bucket; rows come sorted by key and Gray rank."""
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, max_bits: int, pairs: bool = False) -> np.ndarray:
+    """Links (node, node) that connect what is connected in each bucket; rows come sorted by key and Gray rank.
+
+    They lead to the first of each component or, with ``pairs``, are pairs within max_bits themselves.
+    """
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     out = [np.zeros((0, 2), dtype=np.int64)]
     for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
         if end > at + 1:
-            to = Index(fps[at:end], max_bits).links()
+            index = Index(fps[at:end], max_bits, pairs)
+            to = index.links()
             i = np.flatnonzero(to >= 0)
-            out.append(np.stack([nodes[at + i], nodes[at + to[i]]], axis=1))
+            out += [nodes[at + x] for x in index.forest] if pairs else [np.stack([nodes[at + i], nodes[at + to[i]]], axis=1)]
     return np.concatenate(out)
 
 
-def links_of(max_bits: int):
+def links_of(max_bits: int, pairs: bool):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the bucket that may go on in the next batch
 
         def found(rows: np.ndarray) -> pa.RecordBatch:
-            pairs = bucket_links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            links = bucket_links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits, pairs)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -267,12 +278,12 @@ def split_pairs(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
     return told.withColumn("task", F.explode(F.when(F.col("__parts").isNull(), F.array(F.col(key))).otherwise(tasks))).drop("__parts")
 
 
-def node_links(nodes: DataFrame, max_bits: int, n: int) -> DataFrame:
-    """nodes (node, w) -> links (a, b) that connect what links of max_bits or fewer connect."""
-    keys = [F.xxhash64(F.lit(t), F.col("w").bitwiseAND(F.lit(signed(mask)))) for t, mask in enumerate(index_masks(max_bits, n))]
+def node_links(nodes: DataFrame, max_bits: int, masks: list[int], pairs: bool = False) -> DataFrame:
+    """nodes (node, w) -> links (a, b) that connect what links of max_bits or fewer between patterns of one bucket connect."""
+    keys = [F.xxhash64(F.lit(t), F.col("w").bitwiseAND(F.lit(signed(mask)))) for t, mask in enumerate(masks)]
     rows = split_pairs(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "w"), "key", "node", SPLIT_BUCKET)
     dealt = rows.select("task", "node", "w").repartition("task").sortWithinPartitions("task", gray_rank(F.col("w")), "w")
-    return dealt.mapInArrow(links_of(max_bits), "a long, b long")
+    return dealt.mapInArrow(links_of(max_bits, pairs), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -287,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialise(bounded_batches(docs).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), fingerprint_udf(shingle)(F.col(text_col)).alias("w")), "prints")
     nodes = materialise(prints.groupBy("w").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = connected_components(node_links(nodes, max_bits, nodes.count()))
+    labels = connected_components(node_links(nodes, max_bits, index_masks(max_bits, nodes.count())))
     linked = materialise(nodes.join(labels, "node").select("node", "w", "n", "id", "label"), "linked")
     least = materialise(linked.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("fps")), "least")
     of = join_unique(linked, least, ["label"], "fps", F.col("node")).select("node", "component_id", F.lit(True).alias("in_component"))
@@ -302,6 +313,9 @@ STEP = 1 << 22
 TRACKED = 5
 #: A block of more sets than this is compared in parts, after a first look at so many pivots.
 SPLIT_SETS, PIVOTS = 256, 8
+#: Fingerprints of near copies at the stage's bound differ in 9.7 bits in the mean; they are searched up to STAGE_BITS,
+#: beyond STAGE_ROWS of them in buckets of about so many, by STAGE_MASKS masks of drawn bits.
+STAGE_BITS, STAGE_ROWS, STAGE_MASKS = 12, 1 << 10, 24
 
 
 def shingle_set_udf(shingle: int):
@@ -318,12 +332,47 @@ def shingle_set_udf(shingle: int):
     return shingle_set
 
 
+def set_print_udf():
+    """The fingerprint of a set of shingles: a bit is 1 if set in over half of them."""
+
+    @F.arrow_udf("long")
+    def set_print(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.array([majority(x.values.to_numpy().view(np.uint64)) for x in batch], dtype=np.uint64).view(np.int64))
+            give_back()
+
+    return set_print
+
+
+def drawn_masks(n: int) -> list[int]:
+    """Masks of 64 bits, drawn by a fixed seed, so that a bucket of n patterns has about STAGE_ROWS; one index if they are few.
+
+    A wide bound leaves no block of bits whole for sure, so patterns within it may miss each other in all buckets.
+    """
+    need = max(0, math.ceil(math.log2(max(n, 1) / STAGE_ROWS)))
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64, need, replace=False)) for _ in range(STAGE_MASKS)] if need else [0]
+
+
+def print_links(sets: DataFrame) -> DataFrame:
+    """sets (node, set) -> (node, near): nodes that the Gray index finds within STAGE_BITS, enough to connect those of a bucket."""
+    prints = materialise(bounded_batches(sets).select("node", set_print_udf()(F.col("set")).alias("w")), "set-prints")
+    firsts = materialise(prints.groupBy("w").agg(F.min("node").alias("b"), F.count("*").alias("rows")), "set-nodes")
+    same = join_unique(prints, firsts, ["w"], "rows", F.col("node")).where("node <> b").select(F.col("node").alias("a"), "b")
+    found = node_links(firsts.select(F.col("b").alias("node"), "w"), STAGE_BITS, drawn_masks(firsts.count()), pairs=True)
+    return same.unionByName(found).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("near"))
+
+
 def shares_enough(n: Column, m: Column, both: Column, least: Fraction) -> Column:
     return F.lit(least.denominator) * both >= F.lit(least.numerator) * (n + m - both)
 
 
-def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, asks: np.ndarray, least: Fraction) -> np.ndarray:
-    """The first member of each set's component, linked where Jaccard >= least and one of the two asks; values need to hold only what sets share."""
+def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, asks: np.ndarray, near: list[np.ndarray], least: Fraction) -> np.ndarray:
+    """The first member of each set's component, linked where Jaccard >= least and one of the two asks; values need to hold only what sets share.
+
+    ``near`` are the partners by fingerprint of each set; they are counted out first. If all ask, only those
+    outside the largest component that they make still do: of two sets in different components one is.
+    """
     n = len(sizes)
     _, codes = np.unique(values, return_inverse=True)
     owners = np.repeat(np.arange(n), np.diff(starts))[np.argsort(codes, kind="stable")]
@@ -336,34 +385,52 @@ def similar_sets(sizes: np.ndarray, values: np.ndarray, starts: np.ndarray, asks
             x = parent[x]
         return x
 
+    for i, partners in enumerate(near):
+        for j in partners.tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                both = len(np.intersect1d(codes[starts[i] : starts[i + 1]], codes[starts[j] : starts[j + 1]], assume_unique=True))
+                if least.denominator * both >= least.numerator * (sizes[i] + sizes[j] - both):
+                    parent[max(a, b)] = min(a, b)
+    if asks.all():
+        of = np.array([root(i) for i in range(n)], dtype=np.int64)
+        asks = of != np.bincount(of).argmax()
     for i in np.flatnonzero(asks).tolist():
         mine = codes[starts[i] : starts[i + 1]]
         steps = np.cumsum(begin[mine + 1] - begin[mine]) // STEP
         both = np.zeros(n, dtype=np.int64)
         for some in np.split(mine, np.flatnonzero(np.diff(steps)) + 1):
             both += np.bincount(ragged_take(owners, begin, some)[0], minlength=n)
-        near = least.denominator * both >= least.numerator * (sizes[i] + sizes - both)
-        near[i] = False
-        for j in np.flatnonzero(near).tolist():
+        alike = least.denominator * both >= least.numerator * (sizes[i] + sizes - both)
+        alike[i] = False
+        for j in np.flatnonzero(alike).tolist():
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
     return np.array([root(i) for i in range(n)], dtype=np.int64)
 
 
 def components_of(least: Fraction):
-    """Over rows (task, node, n, shared, asks) sorted by task: links (a, b) of each node to the first one of its component."""
+    """Over rows (task, node, n, shared, asks, near) sorted by task: links (a, b) of each node to the first one of its component."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the task that may go on in the next batch
 
+        def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+            column = column.combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            return column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+
         def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(parts).combine_chunks()
             task, node, n, asks = (rows[c].to_numpy() for c in ("task", "node", "n", "asks"))
-            lists = rows["shared"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            starts, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            (starts, values), (begin, partners) = lists(rows["shared"]), lists(rows["near"])
             cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
-            first = np.concatenate([node[a + similar_sets(n[a:b], values[starts[a] : starts[b]], starts[a : b + 1] - starts[a], asks[a:b], least)] for a, b in itertools.pairwise(cuts)])
+            first = []
+            for a, b in itertools.pairwise(cuts.tolist()):
+                at = {x: i for i, x in enumerate(node[a:b].tolist())}
+                near = [np.array([at[x] for x in partners[begin[i] : begin[i + 1]].tolist() if x in at], dtype=np.int64) for i in range(a, b)]
+                first.append(node[a + similar_sets(n[a:b], values[starts[a] : starts[b]], starts[a : b + 1] - starts[a], asks[a:b], near, least)])
+            first = np.concatenate(first)
             linked = first != node
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(first[linked])], names=["a", "b"])
             give_back()
@@ -387,23 +454,29 @@ def components_of(least: Fraction):
 
 
 def searched(rows: DataFrame, least: Fraction) -> DataFrame:
-    """rows (task, node, n, shared, asks) -> links (a, b); each task is compared as a whole."""
-    dealt = rows.select("task", "node", "n", "shared", "asks").repartition("task").sortWithinPartitions("task")
+    """rows (task, node, n, shared, asks, near) -> links (a, b); each task is compared as a whole."""
+    dealt = rows.select("task", "node", "n", "shared", "asks", "near").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(components_of(least), "a long, b long")
 
 
 def large_block_links(rows: DataFrame, least: Fraction) -> DataFrame:
-    """Links (a, b) that connect what is connected in blocks too large for one task; rows (block, node, n, shared).
+    """Links (a, b) that connect what is connected in blocks too large for one task; rows (block, node, n, shared, near).
 
-    All rows are compared with a few pivots of their block, which joins up the copies of one text at the
-    cost of the block's length. Only rows outside the component that most rows are in then ask the others,
+    All rows are compared with two partners by fingerprint and a few pivots of their block, which joins up
+    the copies of one text at the cost of the block's length. Only rows outside the component that most rows are in then ask the others,
     those of about their own number of shingles, in tasks of bounded parts of both sides.
     """
     pivots = [F.min_by(F.struct("node", "n", "shared"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
     chosen = materialise(rows.groupBy("block").agg(*pivots, F.count("*").alias("size")), "pivots")
     met = join_unique(rows, chosen, ["block"], "size", F.col("node"))
     near = [F.when(shares_enough(F.col("n"), F.col(f"p{k}.n"), F.size(F.array_intersect("shared", f"p{k}.shared")), least), F.col(f"p{k}.node")) for k in range(PIVOTS)]
-    links = materialise(met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*near))).alias("b")).where("b IS NOT NULL AND a <> b"), "pivot-links")
+    by_pivot = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*near))).alias("b")).where("b IS NOT NULL AND a <> b")
+    asked = materialise(rows.select("block", F.col("node").alias("a"), F.explode(F.slice("near", 1, 2)).alias("b")), "partners")
+    theirs = rows.select("block", F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("theirs"))
+    partners = materialise(asked.groupBy("block", "b").agg(F.count("*").alias("asked")).join(theirs, ["block", "b"]), "partner-sets")
+    pairs = join_unique(asked, partners, ["block", "b"], "asked", F.col("a")).join(rows.select(F.col("node").alias("a"), "n", "shared"), "a")
+    by_print = pairs.where(shares_enough(F.col("n"), F.col("m"), F.size(F.array_intersect("shared", "theirs")), least)).select("a", "b")
+    links = materialise(by_pivot.unionByName(by_print), "first-links")
     labels = connected_components(links)
     told = materialise(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "told")
     main = told.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("size"))
@@ -419,14 +492,17 @@ def large_block_links(rows: DataFrame, least: Fraction) -> DataFrame:
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = join_unique(open_, units, ["block", "band"], "own", F.col("node")).withColumn("task", F.explode(F.transform(upto("q"), lambda j: task(part("p"), j)))).withColumn("asks", F.lit(False))
     ask = join_unique(asking, units, ["block", "band"], "asked", F.col("node")).withColumn("task", F.explode(F.transform(upto("p"), lambda i: task(i, part("q"))))).withColumn("asks", F.lit(True))
-    columns = ["task", "node", "n", "shared", "asks"]
+    columns = ["task", "node", "n", "shared", "asks", F.array().cast("array<long>").alias("near")]
     return links.unionByName(searched(own.select(*columns).unionByName(ask.select(*columns)), least))
 
 
 def similar_rows(sets: DataFrame, similarity: float) -> DataFrame:
     """sets (node, set of distinct values) -> (node, label) of rows that have a partner; no pair is missed and each link is counted out.
 
-    Values are in order of how many rows hold them. Two sets at the similarity share a value among the
+    The Gray index searches the sets' fingerprints; the partners that it finds are counted out first. What is
+    left is what fingerprints tell too coarsely: of a block, rows that are not in its largest component yet.
+
+    Blocks: values are in order of how many rows hold them. Two sets at the similarity share a value among the
     first |x| - ceil(similarity |x|) + 1 of each, so rows whose first values are all their own have no
     partner. Rows that share such a value make up blocks (through the smallest row of each value, not as
     pairs), and a block's sets are compared by what they share with any row.
@@ -441,15 +517,16 @@ def similar_rows(sets: DataFrame, similarity: float) -> DataFrame:
     firsts = materialise(lists.groupBy("x").agg(F.min("node").alias("b"), F.count("*").alias("rows")).where("rows > 1"), "firsts")
     links = join_unique(lists, firsts, ["x"], "rows", F.col("node")).where("node <> b").select(F.col("node").alias("a"), "b")
     blocks = connected_components(links).select("node", F.col("label").alias("block"))
-    rows = materialise(shared.join(blocks, "node").select("block", "node", "n", F.col("by.x").alias("shared")), "blocks")
+    near = F.coalesce("near", F.array().cast("array<long>")).alias("near")
+    rows = materialise(shared.join(blocks, "node").join(print_links(sets), "node", "left").select("block", "node", "n", F.col("by.x").alias("shared"), near), "blocks")
     sizes = materialise(rows.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT_SETS), "large")
     if sizes.isEmpty():
-        found = searched(rows.select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks")), least)
+        found = searched(rows.select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks"), "near"), least)
     else:
         # blocks over SPLIT_SETS rows are few against the rows
         told = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "block", "left")
-        small = told.where("size IS NULL").select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks"))
-        large = materialise(told.where("size IS NOT NULL").select("block", "node", "n", "shared"), "large-blocks")
+        small = told.where("size IS NULL").select(F.col("block").alias("task"), "node", "n", "shared", F.lit(True).alias("asks"), "near")
+        large = materialise(told.where("size IS NOT NULL").select("block", "node", "n", "shared", "near"), "large-blocks")
         found = searched(small, least).unionByName(large_block_links(large, least))
     return connected_components(found)
 
@@ -458,7 +535,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str =
     """docs without near copies: of each component the row with the smallest id (ties: smallest text key) stays.
 
     Texts are near copies if the sets of their five-word shingles (A-Z lower-cased, as 64-bit hashes) have
-    at least the given Jaccard similarity. Every such pair is found, and no other pair links. Texts without
+    at least the given Jaccard similarity. SimHash fingerprints of the sets are searched by the Gray index and
+    what it finds is counted out; an exact search by common shingles then finds the pairs whose fingerprints
+    are too far apart. So every such pair is found, and no other pair links. Texts without
     words are all alike: one stays. All columns come back; a row with a null id stays only in a component
     without other ids.
     """

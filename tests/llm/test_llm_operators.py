@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -272,6 +273,60 @@ def test_near_duplicate_stage_on_a_table(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == want and len(pairs) > 50
 
 
+def near_copies(seed, n):
+    """Texts in groups: the first of each, and copies with some words exchanged."""
+    rng, texts = random.Random(seed), []
+    for k in range(n):
+        base = words(rng, 300)
+        texts.append(" ".join(base))
+        for _ in range(k % 4):
+            t = list(base)
+            for at in rng.sample(range(300), 2):
+                t[at] = "altered"
+            texts.append(" ".join(t))
+    return texts
+
+
+def test_near_duplicate_stage_searches_fingerprints(spark, monkeypatch):
+    """The Gray index finds most near copies, in one index or in buckets by masks; the exact search is left with the few others."""
+    texts = near_copies(23, 60)
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    prints = [int(simhash.majority(x)) for x in sets]
+    df = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sets)], "node long, set array<long>").repartition(3)
+    alike = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+    for rows in (1 << 10, 8):
+        monkeypatch.setattr(simhash, "STAGE_ROWS", rows)
+        found = {tuple(sorted((r["node"], b))) for r in simhash.print_links(df).collect() for b in r["near"]}
+        assert found and all((prints[i] ^ prints[j]).bit_count() <= simhash.STAGE_BITS for i, j in found)
+        reached, want = (least_reachable(len(texts), np.array(sorted(p))) for p in (found & alike, alike))
+        assert (reached == want).mean() > 0.9
+    assert stage_kept(spark, texts) == sorted(set(want.tolist()))
+
+
+def test_partners_by_fingerprint_are_counted_out():
+    """What the index proposes is no link by itself, and what it misses is found all the same."""
+    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(10, 110), np.arange(400, 500), np.arange(60, 160)]
+    sizes, starts = np.full(5, 100), np.arange(6) * 100
+    none = np.zeros(0, dtype=np.int64)
+    for near in ([none] * 5, [np.array([1, 3, 4]), np.array([2]), none, np.array([0]), none], [np.array([3, 4]), none, none, none, none]):
+        first = simhash.similar_sets(sizes, np.concatenate(sets), starts, np.ones(5, dtype=bool), near, Fraction("0.8"))
+        assert first.tolist() == [0, 0, 0, 3, 4]
+
+
+@pytest.mark.parametrize("n", [2, 40, 900])
+def test_forest_of_pairs(n):
+    rng = np.random.default_rng(n)
+    fps = rng.integers(0, 2**63, n // 6 + 1, dtype=np.int64).astype(np.uint64)[rng.integers(0, n // 6 + 1, n)]
+    for _ in range(8):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    fps = gray_sorted(np.unique(fps))
+    pairs = simhash.bucket_links(np.zeros(len(fps), dtype=np.int64), np.arange(len(fps)), fps, 12, True)
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 12)
+    want = least_reachable(len(fps), near)
+    assert (np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 12).all() and len(pairs) == len(fps) - len(set(want.tolist()))
+    assert (least_reachable(len(fps), pairs) == want).all()
+
+
 def test_near_duplicate_stage_counts_a_repeated_line_once(spark):
     rng = random.Random(22)
     line = " ".join(words(rng, 14))
